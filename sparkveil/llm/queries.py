@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality
+from . import op1_quality, op4_decontamination
 
-MODULES = [op1_quality]
+MODULES = [op1_quality, op4_decontamination]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
