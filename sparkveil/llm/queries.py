@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op4_decontamination
+from . import op1_quality, op2_bpe, op4_decontamination, op9_secrets
 
-MODULES = [op1_quality, op4_decontamination]
+MODULES = [op1_quality, op2_bpe, op4_decontamination, op9_secrets]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
