@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ from ._common import map_slices, table
 
 CHUNK_BITS = 9
 WORDS_KEPT, CHUNK_BYTES_KEPT = 250_000, 24_000_000
+#: Words of these characters only are normalised by lower-casing alone, and then split by _PIECE as the pre-tokeniser does.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _GEAR = np.random.default_rng(20240).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -67,6 +71,7 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.names = {i: t.encode() for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.pieces: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.texts: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple | None] = {}
@@ -78,15 +83,30 @@ class Codec:
         return b" ".join([names[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])
 
     def _learn(self, words: set[bytes]) -> None:
-        """Encode and decode the words that are not kept yet."""
-        new = [w for w in words if w not in self.words]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.words[w] = key = np.array(ids, "<u4").tobytes()
-                if key not in self.texts:
-                    self.texts[key] = self.decode(ids)
+        """Encode and decode the words that are not kept yet.
+
+        A plain word is the sequence of its pre-tokens, which are kept as well; any other goes to the library whole.
+        """
+        new = {w: w.decode() for w in words if w not in self.words}
+        split = {w: _PIECE.findall(t.lower()) for w, t in new.items() if "<|" not in t and _PLAIN.fullmatch(t)}
+        self._encode(self.pieces, list({p for ps in split.values() for p in ps if p not in self.pieces}))
+        whole = [w for w in new if w not in split]
+        found: dict[str, bytes] = {}
+        self._encode(found, [new[w] for w in whole])
+        for w in whole:
+            self.words[w] = found[new[w]]
+        pieces = self.pieces
+        for w, ps in split.items():
+            self.words[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+        for w in new:
+            if (key := self.words[w]) not in self.texts:
+                self.texts[key] = self.decode(np.frombuffer(key, "<u4"))
+
+    def _encode(self, into: dict[str, bytes], texts: list[str]) -> None:
+        for start in range(0, len(texts), 20_000):
+            part = texts[start : start + 20_000]
+            for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                into[t] = np.array(e.ids, "<u4").tobytes()
 
     def _join(self, words: list[bytes]) -> tuple[bytes, bytes]:
         """Token ids and decoded text of consecutive words."""
@@ -98,6 +118,8 @@ class Codec:
         """(ids as little-endian 32-bit numbers, decoded text) of each UTF-8 text."""
         if len(self.words) > WORDS_KEPT or self.chunk_bytes > CHUNK_BYTES_KEPT:
             self.words, self.texts, self.chunks, self.chunk_bytes = {}, {}, {}, 0
+        if len(self.pieces) > WORDS_KEPT:
+            self.pieces = {}
         plans: list[list[tuple[bytes | None, bytes | None]]] = []
         fresh: dict[bytes, tuple[bytes, list[bytes], bytes] | None] = {}
         need: set[bytes] = set()
