@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import redaction
+from .operators import redaction, rules
 
-MODULES = [redaction]
+MODULES = [redaction, rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
