@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import redaction, rules
+from .operators import metrics, redaction, regions, rules, state
 
-MODULES = [redaction, rules]
+MODULES = [redaction, rules, regions, metrics, state]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
