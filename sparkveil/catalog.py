@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import metrics, redaction, regions, rules, state
+from .operators import dom, metrics, plan_text, redaction, regions, rules, state
 
-MODULES = [redaction, rules, regions, metrics, state]
+MODULES = [redaction, rules, regions, metrics, state, dom, plan_text]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
