@@ -14,6 +14,8 @@ SSN = _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE_OPEN = r"(?:\+?[0-9]{1,3}[-.\s]?)?(?:\(?[0-9]{3}\)?[-.\s]?)?[0-9]{3}[-.\s]?[0-9]{4}"
 PHONE = PHONE_OPEN + _E
+#: Every text with a card, SSN, e-mail or phone has four digits in a row or an at sign.
+MAYBE = "[0-9]{4}|@"
 TEXT_PATTERNS = (("card", CARD), ("ssn", SSN), ("email", EMAIL), ("phone", PHONE))
 SQL_PATTERNS = {
     "card": r"\b(?:[0-9]{4}[ -]?){3}[0-9]{4}\b",

@@ -11,14 +11,15 @@ from ..sources import table
 
 
 def count_of(text, category: str):
-    return F.size(F.regexp_extract_all(text, F.lit(dict(P.TEXT_PATTERNS)[category]), F.lit(0))).cast("long")
+    found = F.size(F.regexp_extract_all(text, F.lit(dict(P.TEXT_PATTERNS)[category]), F.lit(0))).cast("long")
+    return F.when(text.isNull(), F.lit(None)).when(text.rlike(P.MAYBE), found).otherwise(F.lit(0).cast("long"))
 
 
 def pii_redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redact all documents, then count what was found and what is left, by language and source."""
     docs = table(spark, sf_dir, "documents").select("lang", "source", "text", X.redact_text(F.col("text")).alias("clean"))
     counts = [F.coalesce(F.sum(count_of(F.col("text"), c)), F.lit(0)).alias(f"n_{c}") for c in ("card", "email", "phone", "ssn")]
-    return docs.groupBy("lang", "source").agg(F.count("*").alias("docs"), F.count_if(X.has_pii(F.col("text"))).alias("docs_with_pii"), *counts, F.count_if(X.has_pii(F.col("clean"))).alias("leaked"))
+    return docs.groupBy("lang", "source").agg(F.count("*").alias("docs"), F.count_if(X.still_has_pii(F.col("text"), F.col("text"))).alias("docs_with_pii"), *counts, F.count_if(X.still_has_pii(F.col("clean"), F.col("text"))).alias("leaked"))
 
 
 def pii_redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +40,13 @@ def pii_spans_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages_html_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose redacted HTML still holds personal data (none may), and what the raw HTML held."""
     pages = table(spark, sf_dir, "pages").select("page_id", "html", X.redact_text(F.col("html")).alias("clean"))
-    return pages.select("page_id", *[count_of(F.col("html"), c).alias(f"n_{c}") for c in ("card", "email", "phone")], X.has_pii(F.col("clean")).alias("leaked"))
+    return pages.select("page_id", *[count_of(F.col("html"), c).alias(f"n_{c}") for c in ("card", "email", "phone")], X.still_has_pii(F.col("clean"), F.col("html")).alias("leaked"))
 
 
 def assert_sanitized(payloads: DataFrame, text: str = "payload") -> DataFrame:
     """Fail closed: the job stops at the first payload that still holds a card, an SSN or a clear password."""
-    leak = F.col(text).rlike(P.SSN) | F.col(text).rlike(P.CARD) | F.col(text).rlike(r"(?i)\"password\"\s*:\s*\"(?!\[REDACTED_)[^\"]+\"")
+    clear_password = r"(?i:\"password\"\s*:\s*\"(?!\[REDACTED_)[^\"]+\")"
+    leak = F.col(text).rlike(f"(?:{P.SSN})|(?:{P.CARD})|{clear_password}")
     return payloads.where(F.when(leak, F.raise_error(F.lit("payload is not sanitized"))).otherwise(F.lit(True)).cast("boolean"))
 
 
