@@ -196,7 +196,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     Rows without a doc_id cannot be told apart and stay.
     """
     found, _ = scratch.write(find(docs, shingle, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = docs.join(found.select("doc_id"), "doc_id", "left_semi")
+    kept = docs.join(found.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not found.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionAll(docs.where("doc_id is null"))
