@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import dom, metrics, plan_text, redaction, regions, rules, state
+from .operators import dom, metrics, plan_text, planning, redaction, regions, rules, state
 from .streaming import queries as streams
 
-MODULES = [redaction, rules, regions, metrics, state, dom, plan_text, streams]
+MODULES = [redaction, rules, regions, metrics, state, dom, plan_text, planning, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

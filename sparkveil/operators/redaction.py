@@ -62,7 +62,7 @@ def url_parts_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionAll(literal).select("id", X.redact_url(F.col("url")).alias("url"))
 
 
-SLUGS = ("https://example.com/in/daksh-shah/details", "https://example.com/profile?user=daksh", "https://example.org/~daksh/cv.pdf", "https://x.org/Users/a.b?Name=c&d=e#f")
+SLUGS = ("https://example.com/in/mira-patel/details", "https://example.com/profile?user=mira", "https://example.org/~mira/cv.pdf", "https://x.org/Users/a.b?Name=c&d=e#f")
 
 
 def category_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def name_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionAll(literal).distinct().select("name", X.is_personal_name(F.col("name")).alias("valid"))
 
 
-NAMES = ("Daksh Shah", "John von Neumann", "alan turing", "Terms of Service", "Grace", "Ludwig van der Rohe Jr", "Ana María de la Cruz Soto", "O'Brien Smith", "X1 Y2", "Jo", "Privacy Policy")
+NAMES = ("Mira Patel", "John von Neumann", "alan turing", "Terms of Service", "Grace", "Ludwig van der Rohe Jr", "Ana María de la Cruz Soto", "O'Brien Smith", "X1 Y2", "Jo", "Privacy Policy")
 
 REFUSED_AUTOCOMPLETE = ("current-password", "new-password", "cc-number", "cc-csc", "cc-exp", "cc-exp-month", "cc-exp-year", "cc-type", "transaction-amount", "bday", "sex", "ssn")
 REFUSED_NAME = r"(?i)(password|passwd|pwd|passcode|secret|credit[-_]?card|card[-_]?num|cvv|cvc|security[-_]?code|ssn|social[-_]?sec)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.functions import geometry as G
 from sparkveil.functions import images as I
-from sparkveil.operators import dom, metrics, plan_text, redaction, regions, rules, state
+from sparkveil.operators import dom, metrics, plan_text, planning, redaction, regions, rules, state
 from sparkveil.sources import corpus, html
 
 BOX = "page long, ord long, x long, y long, w long, h long, category string, source string, pct long"
@@ -74,7 +74,7 @@ def test_payload_fails_closed(spark):
         redaction.assert_sanitized(frame).collect()
 
 
-PAGE = """<html><head><title>Ada Lovelace | Site</title><script type="application/ld+json">{"@graph": [{"@type": "Person", "name": "Daksh Shah"}, {"@type": "Article", "author": {"@type": ["Person"], "givenName": "Alan", "familyName": "Turing"}}]}</script>
+PAGE = """<html><head><title>Ada Lovelace | Site</title><script type="application/ld+json">{"@graph": [{"@type": "Person", "name": "Mira Patel"}, {"@type": "Article", "author": {"@type": ["Person"], "givenName": "Alan", "familyName": "Turing"}}]}</script>
 </head><body><div style="display: none">hidden</div><label for="e">E-mail</label><input id="e" type="email" value="a@b.co"><a rel="author" href="/in/grace-hopper">Grace Hopper</a><div><span></span></div></body></html>"""
 
 
@@ -84,7 +84,7 @@ def test_html(spark):
     assert rows[3]["aria_label"] == "E-mail" and rows[3]["role"] == "textbox" and rows[3]["selector"] == "#e" and rows[4]["xpath"] == "/html[1]/body[1]/a[1]"
     assert html.flatten(None) == [] and html.flatten("<p") == []
     pages = spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")
-    assert {r.name for r in dom.identities(pages).collect()} == {"Daksh Shah", "Ada Lovelace", "Alan Turing", "Grace Hopper"}
+    assert {r.name for r in dom.identities(pages).collect()} == {"Mira Patel", "Ada Lovelace", "Alan Turing", "Grace Hopper"}
     clean = {r.tag: r for r in dom.redact_nodes(html.nodes(pages)).collect()}
     assert clean["input"].value == "[REDACTED_EMAIL]" and clean["a"].href == "/in/[REDACTED_NAME]"
 
@@ -122,3 +122,18 @@ def test_images():
     page[3:6, 5:30, :3] = page[12:15, 8:20, :3] = 0
     assert I.text_lines(page) == [(5, 3, 25, 3), (8, 12, 12, 3)]
     assert I.resize(image, 15).shape[:2] == (10, 15) and I.tensor(image, 8).shape == (3, 8, 8)
+
+
+def test_recognised_spans(spark):
+    got = {r.category: r for r in planning.ocr_span_boxes(spark, "").collect()}
+    card = got["card"]
+    assert (card.x, card.y, card.w, card.h, card.confidence) == (165, 100, 175, 30, 0.95)
+    assert got["email"].x == 10 + round(400 / 15 * 5) and set(got) == {"card", "email"}
+
+
+def test_server_boxes(spark):
+    row = spark.range(1).select(
+        planning.server_box(F.array(F.lit(5.0), F.lit(6.0))).alias("two"), planning.server_box(F.array(F.lit(-101.0), F.lit(6.0))).alias("off"),
+        planning.normalised(F.array(*map(F.lit, (100.0, 50.0, 20.0, 10.0))), F.lit(1000.0), F.lit(500.0)).alias("n"),
+    ).first()
+    assert row.two == [5.0, 6.0, 0.0, 0.0] and row.off is None and row.n == [0.1, 0.1, 0.02, 0.02]
