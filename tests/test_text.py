@@ -15,7 +15,7 @@ def one(spark, column, *values):
         ("Contact admin@example.com for support", [], "Contact [REDACTED_EMAIL] for support"),
         ("Card ending in 4532 0150 9823 8812 charged", [], "Card ending in [REDACTED_CARD] charged"),
         ("ssn 987-65-4321, call (415) 555-2671", [], "ssn [REDACTED_SSN], call [REDACTED_PHONE]"),
-        ("Profile viewed by Daksh Shah and 15 others recently.", ["Daksh Shah"], "Profile viewed by [REDACTED_NAME] and 15 others recently."),
+        ("Profile viewed by Mira Patel and 15 others recently.", ["Mira Patel"], "Profile viewed by [REDACTED_NAME] and 15 others recently."),
         ("[REDACTED_EMAIL]", [], "[REDACTED_EMAIL]"),
     ],
 )
@@ -26,11 +26,11 @@ def test_redact_text(spark, text, names, expect):
 @pytest.mark.parametrize(
     ("url", "names", "expect"),
     [
-        ("https://example.com/in/daksh-shah/details", [], "https://example.com/in/[REDACTED_NAME]/details"),
-        ("https://example.com/profile?user=daksh", [], "https://example.com/profile?user=[REDACTED_NAME]"),
-        ("https://example.org/~daksh/cv.pdf", [], "https://example.org/~[REDACTED_NAME]/cv.pdf"),
-        ("https://company.org/team/daksh_shah/x", ["Daksh Shah"], "https://company.org/team/[REDACTED_NAME]/x"),
-        ("https://company.org/team/daksh", ["Daksh Shah"], "https://company.org/team/[REDACTED_NAME]"),
+        ("https://example.com/in/mira-patel/details", [], "https://example.com/in/[REDACTED_NAME]/details"),
+        ("https://example.com/profile?user=mira", [], "https://example.com/profile?user=[REDACTED_NAME]"),
+        ("https://example.org/~mira/cv.pdf", [], "https://example.org/~[REDACTED_NAME]/cv.pdf"),
+        ("https://company.org/team/mira_patel/x", ["Mira Patel"], "https://company.org/team/[REDACTED_NAME]/x"),
+        ("https://company.org/team/mira", ["Mira Patel"], "https://company.org/team/[REDACTED_NAME]"),
     ],
 )
 def test_redact_url(spark, url, names, expect):
