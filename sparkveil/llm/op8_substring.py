@@ -49,7 +49,7 @@ from ._common import table
 
 WINDOW, PERIOD, COVER, ANCHOR = 20, 13, (0, 1, 3, 9), 8
 BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 16_000_000
-PACK_BYTES, WORDS_KEPT, BOUNDS_SAMPLE = 24_000_000, 300_000, 200_000
+PACK_BYTES, WORDS_KEPT, BOUNDS_SAMPLE, KEYS_A_TASK = 24_000_000, 300_000, 200_000, 4
 _M = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)]
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
@@ -212,8 +212,11 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["key", "kind", "part", "data"])
 
 
-def _by_key(df: DataFrame) -> DataFrame:
-    return df.repartition("key").sortWithinPartitions("key", "kind", "part")
+def _by_key(df: DataFrame, keys: int) -> DataFrame:
+    """A key's rows together and in order; more partitions than the session's where they would hold too many keys."""
+    wide = -(-keys // KEYS_A_TASK)
+    dealt = df.repartition(wide, "key") if wide > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition("key")
+    return dealt.sortWithinPartitions("key", "kind", "part")
 
 
 def _bits(rows: list[dict], kind: int, ends: np.ndarray) -> np.ndarray:
@@ -235,7 +238,7 @@ def _open(rows: list[dict], known: _Hashes, buckets: int) -> tuple[Block, np.nda
     return block, *block.candidates(places[repeated[number]] if hashes.size else places)
 
 
-def ask_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
+def ask_anchors(blocks: DataFrame, n: int, buckets: int) -> DataFrame:
     """Rows for the buckets: each block's distinct anchor hashes."""
 
     def run(batches):
@@ -246,10 +249,10 @@ def ask_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
             data = np.ascontiguousarray(distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
             yield _rows([(b, 0, key, data[ends[b] : ends[b + 1]].tobytes()) for b in range(buckets) if ends[b + 1] > ends[b]])
 
-    return _by_key(blocks).mapInArrow(run, _ROW)
+    return _by_key(blocks, n).mapInArrow(run, _ROW)
 
 
-def answer_anchors(asked: DataFrame) -> DataFrame:
+def answer_anchors(asked: DataFrame, buckets: int) -> DataFrame:
     """Rows for the blocks: which of their anchors another block has too."""
 
     def run(batches):
@@ -269,10 +272,10 @@ def answer_anchors(asked: DataFrame) -> DataFrame:
                     out.append((r["part"], _ANCHOR_BITS, bucket, np.packbits(hit).tobytes()))
             yield _rows(out)
 
-    return _by_key(asked).mapInArrow(run, _ROW)
+    return _by_key(asked, buckets).mapInArrow(run, _ROW)
 
 
-def ask_windows(blocks: DataFrame, buckets: int) -> DataFrame:
+def ask_windows(blocks: DataFrame, n: int, buckets: int) -> DataFrame:
     """Rows for the buckets: each block's distinct candidate windows."""
 
     def run(batches):
@@ -283,10 +286,10 @@ def ask_windows(blocks: DataFrame, buckets: int) -> DataFrame:
             ends = _ranges(distinct[:, 0], 64, buckets)
             yield _rows([(b, 0, key, _write_windows(distinct[ends[b] : ends[b + 1]])) for b in range(buckets) if ends[b + 1] > ends[b]])
 
-    return _by_key(blocks).mapInArrow(run, _ROW)
+    return _by_key(blocks, n).mapInArrow(run, _ROW)
 
 
-def answer_windows(asked: DataFrame) -> DataFrame:
+def answer_windows(asked: DataFrame, buckets: int) -> DataFrame:
     """Rows for the blocks: which of their windows an earlier block has."""
 
     def run(batches):
@@ -303,10 +306,10 @@ def answer_windows(asked: DataFrame) -> DataFrame:
                     out.append((r["part"], _WINDOW_BITS, bucket, np.packbits(hit).tobytes()))
             yield _rows(out)
 
-    return _by_key(asked).mapInArrow(run, _ROW)
+    return _by_key(asked, buckets).mapInArrow(run, _ROW)
 
 
-def remove(blocks: DataFrame, buckets: int, id_type: str, with_text: bool) -> DataFrame:
+def remove(blocks: DataFrame, n: int, buckets: int, id_type: str, with_text: bool) -> DataFrame:
     """The result rows of dedup()."""
     kinds = [to_arrow_type(T._parse_datatype_string(id_type)), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.string()]
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"]
@@ -333,7 +336,7 @@ def remove(blocks: DataFrame, buckets: int, id_type: str, with_text: bool) -> Da
                 columns = list(zip(*out[at : at + 2000], strict=True))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return _by_key(blocks).mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, removed array<array<bigint>>, kept string")
+    return _by_key(blocks, n).mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, removed array<array<bigint>>, kept string")
 
 
 def _bounds(docs: DataFrame, n: int, blocks: int) -> list:
@@ -348,9 +351,9 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     blocks, buckets = max(24, -(-(size.bytes or 0) // BLOCK_BYTES)), max(24, -(-(size.bytes or 0) // BUCKET_BYTES))
     packed = pack(docs, _bounds(docs, size.n, blocks))
-    anchors, _ = scratch.write(answer_anchors(ask_anchors(packed, buckets)))
-    windows, _ = scratch.write(answer_windows(ask_windows(packed.unionAll(anchors), buckets)))
-    return remove(packed.unionAll(anchors).unionAll(windows), buckets, dict(docs.dtypes)["doc_id"], with_text)
+    anchors, _ = scratch.write(answer_anchors(ask_anchors(packed, blocks, buckets), buckets))
+    windows, _ = scratch.write(answer_windows(ask_windows(packed.unionAll(anchors), blocks, buckets), buckets))
+    return remove(packed.unionAll(anchors).unionAll(windows), blocks, buckets, dict(docs.dtypes)["doc_id"], with_text)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
