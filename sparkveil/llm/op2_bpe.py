@@ -28,6 +28,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,14 @@ def cuts(data: bytes) -> list[int]:
     return [0, *at.tolist(), len(data)]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Token ids as little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Codec:
     """Encodes and decodes texts with one tokenizer; keeps chunks and words."""
 
@@ -71,48 +81,62 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.names = {i: t.encode() for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.words: dict[bytes, bytes] = {}
         self.texts: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple | None] = {}
         self.chunk_bytes = 0
 
-    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+    def decode(self, ids: list[int]) -> bytes:
         """The decoded text of token ids, in UTF-8."""
         names = self.names
-        return b" ".join([names[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])
+        return b" ".join([names[i] for i in ids])
 
     def _learn(self, words: set[bytes]) -> None:
         """Encode and decode the words that are not kept yet.
 
         A plain word is the sequence of its pre-tokens, which are kept as well; any other goes to the library whole.
         """
-        new = {w: w.decode() for w in words if w not in self.words}
-        split = {w: _PIECE.findall(t.lower()) for w, t in new.items() if "<|" not in t and _PLAIN.fullmatch(t)}
-        self._encode(self.pieces, list({p for ps in split.values() for p in ps if p not in self.pieces}))
-        whole = [w for w in new if w not in split]
-        found: dict[str, bytes] = {}
-        self._encode(found, [new[w] for w in whole])
-        for w in whole:
-            self.words[w] = found[new[w]]
-        pieces = self.pieces
-        for w, ps in split.items():
-            self.words[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-        for w in new:
-            if (key := self.words[w]) not in self.texts:
-                self.texts[key] = self.decode(np.frombuffer(key, "<u4"))
-
-    def _encode(self, into: dict[str, bytes], texts: list[str]) -> None:
+        known, texts, pieces = self.words, self.texts, self.pieces
+        plain: list[tuple[bytes, list[str]]] = []
+        whole: list[tuple[bytes, str]] = []
+        need: set[str] = set()
+        for w in words:
+            if w in known:
+                continue
+            t = w.decode()
+            if w.isalpha():  # ASCII letters: one pre-token
+                own = [t.lower()]
+            elif "<|" not in t and _PLAIN.fullmatch(t):
+                own = _PIECE.findall(t.lower())
+            else:
+                whole.append((w, t))
+                continue
+            plain.append((w, own))
+            need.update([p for p in own if p not in pieces])
+        self._encode(pieces, list(need))
+        for w, own in plain:
+            if len(own) == 1:
+                known[w], texts[w] = pieces[own[0]]
+            else:
+                both = [pieces[p] for p in own]
+                known[w], texts[w] = b"".join([i for i, _ in both]), b" ".join([t for _, t in both])
+        found: dict[str, tuple[bytes, bytes]] = {}
+        self._encode(found, [t for _, t in whole])
+        for w, t in whole:
+            known[w], texts[w] = found[t]
+
+    def _encode(self, into: dict[str, tuple[bytes, bytes]], texts: list[str]) -> None:
         for start in range(0, len(texts), 20_000):
             part = texts[start : start + 20_000]
             for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                into[t] = np.array(e.ids, "<u4").tobytes()
+                ids = e.ids
+                into[t] = packed(ids), self.decode(ids)
 
     def _join(self, words: list[bytes]) -> tuple[bytes, bytes]:
         """Token ids and decoded text of consecutive words."""
-        ids = list(map(self.words.__getitem__, words))
-        texts = list(map(self.texts.__getitem__, ids))
-        return b"".join(ids), b" ".join(texts if b"" not in texts else [t for t in texts if t])
+        texts = list(map(self.texts.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, words)), b" ".join(texts if b"" not in texts else [t for t in texts if t])
 
     def encode_all(self, texts: list[bytes | None]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit numbers, decoded text) of each UTF-8 text."""
@@ -173,8 +197,8 @@ class Codec:
         ids, texts = [], []
         for joint, chunk in plan:
             if joint is not None:
-                ids.append(own := self.words[joint])
-                texts.append(self.texts[own])
+                ids.append(self.words[joint])
+                texts.append(self.texts[joint])
             if chunk is not None:
                 _, own, text, _ = self.chunks[chunk]
                 ids.append(own)
