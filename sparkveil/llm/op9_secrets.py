@@ -4,14 +4,17 @@ Base spans come from three patterns (see the fixed values below): leftmost,
 non-overlapping matches of a kind, of which those that are too short are dropped
 after matching.
 
-The novelty part looks at candidate strings that follow a sensitive word on the
-same line.  For each it measures the *marginal* compressed size: zstandard is
+The novelty part looks at candidate strings, of any length and with inner dots,
+that follow a sensitive word on the same line; all that start within ``REACH`` of
+it count, not only the first.  A candidate is measured whole, by its parts between
+dots and by what base spans leave of it, in pieces of at most ``PIECE`` characters, and is reported whole if
+any of these is novel.  For each it measures the *marginal* compressed size: zstandard is
 primed with a dictionary of the surrounding code, without the candidate, and of
 common identifiers; the candidate's compressed size in that dictionary, less that
 of nothing, over its length is its novelty.  What the surroundings or the
 identifiers explain compresses; a random key does not.  Candidates whose novelty
 is at least ``novelty`` and that mix digits with letters are reported with kind
-``novel``, unless a base span already covers part of them.
+``novel``, unless base spans already cover all of them.
 
 Scale: one pass over the documents without a shuffle; a text's memory is its own.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -37,7 +41,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more: the same as dropping
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex")
 
-_CONTEXT = re.compile(r"(?:secret|token|passw|pwd|api_?key|access_?key|private_?key|auth|bearer|credential)[^\n]{0,40}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{16,256}={0,2})", re.IGNORECASE | re.ASCII)
+_SENSITIVE = re.compile(r"(?=(secret|token|passw|pwd|api_?key|access_?key|private_?key|auth|bearer|credential))", re.IGNORECASE | re.ASCII)
+#: Where a candidate starts: after a dot too, as 'secret.<key>' holds the sensitive word in its own run.
+_START = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]", re.ASCII)
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:\.+[A-Za-z0-9+/_-]+)*(?:={1,2}(?![A-Za-z0-9+/_.=-]))?", re.ASCII)
+REACH, LEAST, PIECE = 40, 16, 256
 _HINT = re.compile(r"secret|token|passw|pwd|key|auth|bearer|credential", re.IGNORECASE | re.ASCII)
 IDENTIFIERS = (
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 authorization bearer credentials password secret token api_key "
@@ -67,17 +75,55 @@ def novelty_of(candidate: str, around: str) -> float:
     return (len(coder.compress(data)) - len(coder.compress(b""))) / len(data)
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Whole runs of candidate characters that start at most ``REACH`` after a sensitive word, on its line; each run once."""
+    run_end = at = 0
+    for m in _SENSITIVE.finditer(text):
+        at, last = max(at, m.end(1)), m.end(1) + REACH
+        if (line_end := text.find("\n", m.end(1), last)) >= 0:
+            last = line_end
+        while found := _START.search(text, at, last + 1):
+            start = found.start()
+            if start >= run_end:
+                run_end = _RUN.match(text, start).end()
+                if run_end - start >= LEAST:
+                    yield start, run_end
+            at = max(start + 1, run_end)
+
+
+def pieces(parts: list[str]) -> Iterator[str]:
+    """What is measured: parts that mix digits with letters, at most ``PIECE`` characters at a time.
+
+    Over a long text zstandard's entropy coder gains on the alphabet alone, so a long key would seem explained.
+    """
+    for part in dict.fromkeys(parts):
+        for at in range(0, len(part), PIECE):
+            piece = part[at : at + PIECE] if at + LEAST <= len(part) else part[-PIECE:]
+            if len(piece) >= LEAST and any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece):
+                yield piece
+
+
+def uncovered(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What base spans, which are in order, leave of a range."""
+    out = []
+    for s, e, _ in base:
+        if s < end and start < e:
+            out.append((start, s))
+            start = e
+    return [(s, e) for s, e in [*out, (start, end)] if s < e]
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: float) -> list[tuple[int, int, str]]:
-    """Incompressible strings in sensitive context that no base span touches."""
+    """Incompressible strings in sensitive context that base spans do not cover."""
     if not _HINT.search(text):
         return []
     out = []
-    for m in _CONTEXT.finditer(text):
-        start, end = m.span(1)
-        word = m[1]
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or any(s < end and start < e for s, e, _ in base):
+    for start, end in candidates(text):
+        if not (left := uncovered(start, end, base)):
             continue
-        if novelty_of(word, text[max(0, start - AROUND) : start] + text[end : end + AROUND]) >= novelty:
+        word = text[start:end]
+        around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
+        if any(novelty_of(piece, around) >= novelty for piece in pieces([word, *word.split("."), *(text[s:e] for s, e in left)])):
             out.append((start, end, "novel"))
     return out
 

@@ -197,6 +197,29 @@ def test_secrets():
     assert op9_secrets.scan(None) == ([], []) and op9_secrets.redact(text, base).count("[REDACTED_") == 4
 
 
+def test_secrets_whole_candidates():
+    rng = np.random.default_rng(4)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    key = lambda n: "".join(rng.choice(letters, n))
+    long, jwt, one, two = key(600), f"{key(36)}.{key(300)}.{key(43)}", key(40), key(40)
+    cases = {
+        f"credential: {long} end": [long],
+        f"Authorization: Bearer {jwt}\n": [jwt],
+        f"credential store_identifier_name = '{one}'": [one],
+        f"bearer internationalization-service {one}": [one],
+        f"auth pair {one[:18]} {two[:18]}": [one[:18], two[:18]],
+        f"secret.{one}": [one],
+        f"auth={one}": [one],
+        f"auth {'0f' * 16}{one}": [f"{'0f' * 16}{one}"],
+        f"auth\n{one}": [],
+        f"auth {'.' * 40} {one}": [],
+    }
+    for text, want in cases.items():
+        spans = op9_secrets.scan(text)[1]
+        assert [text[s:e] for s, e, k in spans if k == "novel"] == want, text
+        assert not any(w in op9_secrets.redact(text, spans) for w in want)
+
+
 def test_simhash_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(op10_simhash, "BUCKET", 4)
     rng = np.random.default_rng(2)
