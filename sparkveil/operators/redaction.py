@@ -72,9 +72,17 @@ def category_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionAll(known).select("category", X.token_of(F.col("category")).alias("token"))
 
 
+#: Tokens that one pass over the documents looks for.
+TOKEN_BLOCK = 1000
+
+
 def leak_tokens(tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """(token, docs): in how many documents each raw token occurs.  ``tokens`` is a bounded manifest held as one array."""
-    found = docs.select(F.explode(F.filter(F.array(*[F.lit(r.token) for r in tokens.select("token").distinct().limit(1000).collect()]), lambda t: F.contains(F.col("text"), t))).alias("token"))
+    """(token, docs): in how many documents each raw token occurs.  ``tokens`` is a manifest that the driver can hold; each block of it is one pass."""
+    own = [r.token for r in tokens.select("token").where("token is not null").distinct().collect()]
+    found = tokens.select("token").limit(0)
+    for k in range(0, len(own), TOKEN_BLOCK):
+        block = F.array(*[F.lit(t) for t in own[k : k + TOKEN_BLOCK]])
+        found = found.unionAll(docs.select(F.explode(F.filter(block, lambda t: F.contains(F.col("text"), t))).alias("token")))
     return tokens.join(found.groupBy("token").agg(F.count("*").alias("docs")), "token", "left").select("token", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 

@@ -137,3 +137,10 @@ def test_server_boxes(spark):
         planning.normalised(F.array(*map(F.lit, (100.0, 50.0, 20.0, 10.0))), F.lit(1000.0), F.lit(500.0)).alias("n"),
     ).first()
     assert row.two == [5.0, 6.0, 0.0, 0.0] and row.off is None and row.n == [0.1, 0.1, 0.02, 0.02]
+
+
+def test_leak_tokens_of_a_long_manifest(spark):
+    tokens = spark.createDataFrame([(f"<tok{k}>",) for k in range(1001)] + [("absent",), (None,)], "token string")
+    docs = spark.createDataFrame([(" ".join(f"<tok{k}>" for k in range(1001)),), ("<tok7>",), (None,)], "text string")
+    got = {r.token: r.docs for r in redaction.leak_tokens(tokens, docs).collect()}
+    assert got == {f"<tok{k}>": 1 + (k == 7) for k in range(1001)} | {"absent": 0, None: 0}
