@@ -16,7 +16,9 @@ carried along and written to the shared folder between passes.
 
 ``clean`` is the pipeline's form: spans of hit words go, documents with more than
 ``max_coverage`` of their words hit go as a whole.  Removal repeats until no window
-is left, as it can bring words together.
+is left, as it can bring words together.  With more than one block, coverage and
+cuts come from the spans of all blocks, and whole rounds repeat over the documents
+that changed.
 
 Edge cases: null or word-less texts have no words and no hits; null or word-less
 items match nothing; repeated items and documents count for themselves; an empty
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..plans import scratch
 from ._common import map_slices, table
@@ -147,13 +150,17 @@ class Automaton:
         return spans, found
 
 
-def _blocks(bench: DataFrame, block_chars: int) -> Iterable[list[tuple[object, bytes]]]:
-    """The items, a bounded block at a time."""
+def _block_count(bench: DataFrame, block_chars: int) -> int:
+    """In how many bounded blocks the items are sent."""
+    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(1, -(-total // block_chars))
+
+
+def _blocks(bench: DataFrame, n: int) -> Iterable[list[tuple[object, bytes]]]:
+    """The items, one of ``n`` blocks at a time."""
     rows = bench.select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t")).where("t is not null and k is not null")
-    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
     for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("k"), F.lit(n)) == b)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b)
         yield [(r.k, r.t.encode()) for r in part.collect()]
 
 
@@ -196,9 +203,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, text, n_words, spans of hit words and items of every document."""
-    rows = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    return _find(docs.select("doc_id", "text"), bench, window, _block_count(bench, block_chars))
+
+
+def _find(docs: DataFrame, bench: DataFrame, window: int, n: int) -> DataFrame:
+    """``docs`` with n_words, spans and items, from ``n`` blocks."""
+    rows = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     path = None
-    for k, block in enumerate(_blocks(bench, block_chars)):
+    for k, block in enumerate(_blocks(bench, n)):
         if k:
             following, new_path = scratch.write(rows)
             if path:
@@ -219,17 +231,56 @@ def cut(text: str, automaton: Automaton, max_coverage: float) -> str | None:
         if first and sum(e - f for f, e in spans) > max_coverage * len(words):
             return None
         first = False
-        places = [m.span() for m in _WORD.finditer(text)]
-        out, at = [], 0
-        for f, e in spans:
-            out.append(text[at : places[f][0]])
-            at = places[e - 1][1]
-        text = "".join([*out, text[at:]])
+        text = without(text, spans)
+
+
+def without(text: str, spans: Iterable[tuple[int, int]]) -> str:
+    """The text without the words of ordered, disjoint spans."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for f, e in spans:
+        out.append(text[at : places[f][0]])
+        at = places[e - 1][1]
+    return "".join([*out, text[at:]])
+
+
+def _clean_by_blocks(docs: DataFrame, bench: DataFrame, window: int, max_coverage: float, n: int) -> DataFrame:
+    """``clean`` for a benchmark of several blocks: each round cuts what all blocks hit, and changed documents go round again."""
+    others = [c for c in docs.columns if c != "text"]
+    todo = docs.select(F.struct(*others).alias("row"), "text")
+    kept: DataFrame | None = None
+    while True:
+        first = kept is None
+
+        def make(first=first):
+            def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+                after, keep, changed = [], [], []
+                for text, words, found in zip(part.column("text").to_pylist(), part.column("n_words").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                    spans = np.frombuffer(found or b"", "<i4").reshape(-1, 2).tolist()
+                    keep.append(not (first and spans and sum(e - f for f, e in spans) > max_coverage * words))
+                    changed.append(bool(spans))
+                    after.append(without(text, spans) if spans and keep[-1] else text)
+                columns = [part.column("row"), pa.array(after, part.schema.field("text").type), pa.array(changed, pa.bool_())]
+                return pa.record_batch(columns, names=["row", "text", "changed"]).filter(pa.array(keep, pa.bool_()))
+
+            return kernel
+
+        schema = StructType([*todo.schema.fields, StructField("changed", BooleanType())])
+        done, _ = scratch.write(map_slices(_find(todo, bench, window, n).select("row", "text", "n_words", "spans"), make, schema))
+        cell = lambda c: F.col("text") if c == "text" else F.col("row")[c]
+        length = lambda c: F.length("text").cast(docs.schema[c].dataType).alias(c)
+        own = done.where("not changed").select(*[length(c) if c == "n_chars" and not first else cell(c).alias(c) for c in docs.columns])
+        kept = own if first else kept.unionAll(own)
+        todo = done.where("changed").select("row", "text")
+        if todo.isEmpty():
+            return kept
 
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents without benchmark windows; n_chars follows the text, other columns stay."""
-    for block in _blocks(bench, block_chars):
+    if (n := _block_count(bench, block_chars)) > 1:
+        return _clean_by_blocks(docs, bench, window, max_coverage, n)
+    for block in _blocks(bench, n):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(sent=sent):

@@ -119,6 +119,26 @@ def test_decontamination_blocks_agree(spark):
     assert {r.doc_id: r.text for r in op4_decontamination.clean(docs, bench, max_coverage=0.9).collect()} == {1: "x  y", 2: "clean text"}
 
 
+def test_decontamination_blocks_clean_alike(spark):
+    item = lambda c: " ".join(f"{c}{k}" for k in range(10))
+    a, b = item("a"), item("b")
+    filler = lambda n: " ".join(f"f{k}" for k in range(n))
+    texts = [
+        f"{a} {b} {filler(13)}",  # 60 % in both together
+        f"{filler(30)} {a[:14]} {b}{a[14:]} end",  # b's cut joins a's words
+        f"{filler(30)} {b[:14]} {a}{b[14:]} end",
+        f"{filler(30)} {a} {b} end",
+        "clean text", None,
+    ]
+    docs = spark.createDataFrame([(k, t, len(t or ""), "x") for k, t in enumerate(texts)], "doc_id long, text string, n_chars int, spans string")
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    rows = lambda n: sorted(map(tuple, op4_decontamination.clean(docs, bench, block_chars=n).collect()))
+    got = rows(10)
+    assert got == rows(10**6) and [r[0] for r in got] == [1, 2, 3, 4, 5]
+    assert all(r[1] is None or (r[2] == len(r[1]) and not set((a + " " + b).split()) & set(r[1].split())) for r in got)
+    assert op4_decontamination.clean(docs, bench, block_chars=10).schema == docs.schema
+
+
 def test_chat_fold(spark):
     events = spark.createDataFrame([(1, 0, "", 0, "message", "user", "hi"), (1, 1, "", 1, "message", "assistant", ""), (1, 1, "", 2, "delta", "assistant", "he"), (1, 1, "", 2, "delta", "assistant", "he"), (1, 1, "", 3, "delta", "assistant", "llo"), (1, 2, "", 4, "message", "user", "more"), (1, 1, "", 5, "regenerate", "assistant", None), (1, 1, "", 6, "delta", "assistant", "a<b [x] &lt;"), (1, 0, "", 7, "edit", "user", "hi!")], "conv_id long, slot long, tie string, seq long, kind string, role string, text string")
     row = op5_chat.read_back(op5_chat.render(op5_chat.fold(events))).first()
