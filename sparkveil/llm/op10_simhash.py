@@ -175,11 +175,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
     return found
 
 
-def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id): the smallest doc_id that each fingerprint reaches."""
+def rooted(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, least, root): the fingerprint that stands for each one's component, and the fingerprint's smallest doc_id."""
     nodes, _ = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots, _ = scratch.write(connected_components(links(nodes, radius)))
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+
+
+def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component_id): the smallest doc_id that each fingerprint reaches."""
+    joined = rooted(prints, radius)
     smallest = joined.where("component is not null").groupBy("root").agg(F.min("least").alias("smallest"))
     return joined.join(smallest, "root", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
 
@@ -190,16 +195,39 @@ def find(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataF
     return prints.join(components(prints, radius), "fp").select("doc_id", "fp", "component_id")
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with what tells rows apart: no_id, own_id and a digest of the text, in the order in which a row is kept."""
+    return docs.select("*", F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("own_id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
+
+
+def keep_least(docs: DataFrame, chosen: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``identified`` documents that ``chosen`` (own_id, digest) names; once: of rows equal in both, one."""
+    c = chosen.select(F.col("own_id").alias("c_id"), F.col("digest").alias("c_digest")).hint("merge")
+    kept = docs.join(c, (F.col("digest") == F.col("c_digest")) & F.col("own_id").eqNullSafe(F.col("c_id")), "left_semi")
+    return kept.dropDuplicates(["own_id", "digest"]) if once else kept
+
+
+def repeats(prints: DataFrame) -> bool:
+    """Whether rows are equal in own_id and digest."""
+    return not prints.groupBy("own_id", "digest").count().where("count > 1").isEmpty()
+
+
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id (one row, if that is repeated).
+    """One document of each component stays: the least by doc_id, null ids last, then by a digest of its text."""
+    own = identified(docs)
+    types = dict(own.dtypes)
 
-    Rows without a doc_id cannot be told apart and stay.
-    """
-    found, _ = scratch.write(find(docs, shingle, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = docs.join(found.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if not found.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.where("doc_id is null"))
+    def make():
+        def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+            got = np.array([fingerprint(t, shingle) for t in part.column("text").cast(pa.binary()).to_pylist()], np.uint64)
+            return pa.record_batch([*(part.column(c) for c in ("no_id", "own_id", "digest")), pa.array(got.view(np.int64))], names=["no_id", "own_id", "digest", "fp"])
+
+        return kernel
+
+    prints, _ = scratch.write(map_slices(own.select("no_id", "own_id", "digest", "text"), make, f"no_id boolean, own_id {types['own_id']}, digest string, fp long"))
+    joined = prints.join(rooted(prints.withColumnRenamed("own_id", "doc_id"), radius).select("fp", "root"), "fp")
+    kept, _ = scratch.write(joined.groupBy("root").agg(F.min(F.struct("no_id", "own_id", "digest")).alias("w")).select("w.own_id", "w.digest"))
+    return keep_least(own, kept, repeats(prints)).select(docs.columns)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,6 +271,17 @@ def test_simhash_against_brute_force(spark, monkeypatch):
     assert groups(deep.collect()) == [g for g in groups([(f, root(k)) for f, k in {f: k for k, f in reversed(prints)}.items()]) if len(g) > 1]
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join(f"{n}{v}" for v in rng.integers(0, 10**6, 60)) for n in "abc")
+    # 1 is repeated with another text, 2 copies a, null ids copy b, c and each other
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (7, None), (None, "")]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, own string").repartition(3)
+    for keep_first in (op10_simhash.keep_first,):
+        got = [(r.doc_id, r.text) for r in keep_first(docs).collect()]
+        assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (7, None)], key=str)
+
+
 def test_covering_masks_cover():
     rng = np.random.default_rng(0)
     masks = [m & (2**64 - 1) for m in op10_simhash.masks()]
