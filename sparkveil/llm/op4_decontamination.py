@@ -21,7 +21,8 @@ cuts come from the spans of all blocks, and whole rounds repeat over the documen
 that changed.
 
 Edge cases: null or word-less texts have no words and no hits; null or word-less
-items match nothing; repeated items and documents count for themselves; an empty
+items match nothing; items without an id hit like any other, and all of them count
+as one in n_items and not in items_sha256; repeated items and documents count for themselves; an empty
 benchmark hits nothing.
 """
 
@@ -158,7 +159,7 @@ def _block_count(bench: DataFrame, block_chars: int) -> int:
 
 def _blocks(bench: DataFrame, n: int) -> Iterable[list[tuple[object, bytes]]]:
     """The items, one of ``n`` blocks at a time."""
-    rows = bench.select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t")).where("t is not null and k is not null")
+    rows = bench.select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t")).where("t is not null")
     for b in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b)
         yield [(r.k, r.t.encode()) for r in part.collect()]
@@ -180,7 +181,7 @@ def _pass(docs: DataFrame, block: list[tuple[object, bytes]], window: int) -> Da
                 if old:
                     got = merged([*got, *map(tuple, np.frombuffer(old, "<i4").reshape(-1, 2).tolist())])
                 spans.append(np.array(got, "<i4").tobytes())
-                items.append(sorted(found | set(before or ())))
+                items.append(sorted(found | set(before or ()), key=lambda k: (k is None, k or "")))
             columns = {name: part.column(name) for name in part.schema.names}
             columns |= {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))}
             return pa.record_batch(list(columns.values()), names=list(columns))
@@ -315,7 +316,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
             spans = [np.frombuffer(x or b"", "<i4").reshape(-1, 2) for x in part.column("spans").to_pylist()]
             items = [x or [] for x in part.column("items").to_pylist()]
             n_hit = [int((s[:, 1] - s[:, 0]).sum()) for s in spans]
-            sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+            sha = [hashlib.sha256(",".join(sorted(k for k in x if k is not None)).encode()).hexdigest() for x in items]
             yield pa.record_batch([part.column("doc_id"), part.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(sha), pa.array([n > 0 for n in n_hit])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return found.select("doc_id", "n_words", "spans", "items").mapInArrow(digest, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

@@ -139,6 +139,22 @@ def test_decontamination_blocks_clean_alike(spark):
     assert op4_decontamination.clean(docs, bench, block_chars=10).schema == docs.schema
 
 
+@pytest.mark.parametrize("n", [10, 10**6])
+def test_decontamination_items_without_id(spark, tmp_path, monkeypatch, n):
+    docs = spark.createDataFrame([(1, "so x y z it is"), (2, "nothing"), (3, "x y z p q r u v w")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "x y z"), (None, "u v w"), (5, "p q r")], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    find = op4_decontamination.find
+    monkeypatch.setattr(op4_decontamination, "find", lambda d, b: find(d, b, block_chars=n))
+    got = sorted(map(tuple, op4_decontamination.op4_benchmark_decontamination(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(op4_decontamination.ORACLE["op4_benchmark_decontamination"]).fetchall()) and [r[5] for r in got] == [True, False, True]
+    assert {r.doc_id: r.text for r in op4_decontamination.clean(docs, bench, max_coverage=0.9, block_chars=n).collect()} == {1: "so  it is", 2: "nothing"}
+
+
 def test_chat_fold(spark):
     events = spark.createDataFrame([(1, 0, "", 0, "message", "user", "hi"), (1, 1, "", 1, "message", "assistant", ""), (1, 1, "", 2, "delta", "assistant", "he"), (1, 1, "", 2, "delta", "assistant", "he"), (1, 1, "", 3, "delta", "assistant", "llo"), (1, 2, "", 4, "message", "user", "more"), (1, 1, "", 5, "regenerate", "assistant", None), (1, 1, "", 6, "delta", "assistant", "a<b [x] &lt;"), (1, 0, "", 7, "edit", "user", "hi!")], "conv_id long, slot long, tie string, seq long, kind string, role string, text string")
     row = op5_chat.read_back(op5_chat.render(op5_chat.fold(events))).first()
