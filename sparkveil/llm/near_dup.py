@@ -1,0 +1,136 @@
+"""Near-dedup of the pipeline: documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
+
+Candidates come from MinHash: two documents meet if all ``ROWS`` values of one of
+``BANDS`` bands agree, which a pair of similarity 0.8 misses with a chance of 3 in
+a million, and more similar pairs less often.  Every link is confirmed by the
+similarity of the whole shingle sets (64-bit hashes).
+
+Scale: documents with the same words are one node.  A document sends ``BANDS``
+small rows.  In each bucket the least and the greatest node are compared with all
+members; after that only members of different components are compared, those of
+the bucket's largest component with the others.  So copies of one document cost
+one pair each, while members that are not similar to each other cost all their
+pairs: none is left out.  Texts are read again for nodes with a candidate only.
+
+Edge cases: words are those of the SimHash operator; fewer words than a shingle
+make one shingle of all words; null and word-less texts are one node.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans import scratch
+from ..plans.components import connected_components
+from ._common import map_slices
+from .op10_simhash import identified, keep_least, repeats
+
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+BANDS, ROWS = 32, 5
+_TIMES, _FLIP = np.random.default_rng(7).integers(0, 2**32, (2, BANDS * ROWS), np.uint32) | np.array([[1], [0]], np.uint32)
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted distinct hashes of a document's shingles."""
+    if len(words) < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(g, SEED) for g in grams]), ">u8").astype(np.uint64))
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []
+
+
+def node_of(words: list[bytes]) -> int:
+    """A number of the word sequence."""
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1)).astype(np.int64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One key a band."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)[:, None]
+    least = np.minimum.reduce([(short[k : k + 256] * _TIMES ^ _FLIP).min(0) for k in range(0, len(short), 256)]).tobytes()
+    size = 4 * ROWS
+    return np.array([xxhash.xxh64_intdigest(least[k * size : (k + 1) * size], k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+
+
+def _mapped(docs: DataFrame, columns: list[str], name: str, kind: pa.DataType, sql: str, value) -> DataFrame:
+    """``columns``, the node and a value of the words of every document."""
+
+    def make():
+        def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+            words = [words_of(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            own = [part.column(c) for c in columns]
+            return pa.record_batch([*own, pa.array(list(map(node_of, words)), pa.int64()), pa.array(list(map(value, words)), kind)], names=[*columns, "node", name])
+
+        return kernel
+
+    types = dict(docs.dtypes)
+    return map_slices(docs.select(*columns, "text"), make, ", ".join([*(f"{c} {types[c]}" for c in columns), "node long", f"{name} {sql}"]))
+
+
+def _similar(batches, least: float):
+    """Pairs (a, b, x, y) with their shingle sets -> those that are similar enough."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = 0
+            if min(p.size, q.size) >= least * max(p.size, q.size) - 1e-9:
+                both = np.intersect1d(p, q, assume_unique=True).size
+            keep.append(both >= least * (p.size + q.size - both) - 1e-9)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar enough, as a shared table."""
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    chosen = prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("no_id", "own_id", "digest")).alias("w")).select("w.own_id", "w.digest")
+    asked = keep_least(docs, chosen)
+    sets = _mapped(asked, [], "hashes", pa.binary(), "binary", lambda words: shingles(words).tobytes()).dropDuplicates(["node"])
+    sets, _ = scratch.write(sets)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return scratch.write(both.select("a", "b", "x", "y").mapInArrow(partial(_similar, least=SIMILARITY), "a long, b long"))[0]
+
+
+def components(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(node, component) of every node that is similar to another; ``prints`` has no_id, own_id, digest, node and keys."""
+    nodes, _ = scratch.write(prints.select("node", "keys").dropDuplicates(["node"]))
+    spread = nodes.select("node", F.explode("keys").alias("key"))
+    ends = spread.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    ends, _ = scratch.write(ends)
+    rows, _ = scratch.write(spread.join(ends, "key"))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    first = rows.select(*pair("node", "lo")).unionAll(rows.select(*pair("node", "hi"))).where("a <> b").distinct()
+    first, _ = scratch.write(first)
+    links = confirmed(first, docs, prints)
+    roots, _ = scratch.write(connected_components(links))
+    # what else may connect: members of a bucket that are in different components by now
+    placed = rows.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+    placed, _ = scratch.write(placed)
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("main"))
+    mixed = placed.join(main, "key")
+    apart = mixed.where("root <> main").select("key", F.col("node").alias("p"), F.col("root").alias("p_root"))
+    rest = apart.join(placed, "key").where("root <> p_root").select(*pair("p", "node")).distinct()
+    rest, _ = scratch.write(rest.join(first, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return roots
+    return connected_components(links.unionAll(confirmed(rest, docs, prints)))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each component stays: the least by doc_id, null ids last, then by its text."""
+    own = identified(docs)
+    prints, _ = scratch.write(_mapped(own, ["no_id", "own_id", "digest"], "keys", pa.list_(pa.int64()), "array<long>", lambda words: bands(shingles(words))))
+    roots, _ = scratch.write(components(own, prints))
+    joined = prints.select("no_id", "own_id", "digest", "node").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    kept, _ = scratch.write(joined.groupBy("root").agg(F.min(F.struct("no_id", "own_id", "digest")).alias("w")).select("w.own_id", "w.digest"))
+    return keep_least(own, kept, repeats(prints)).select(docs.columns)

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from sparkveil.llm import op1_quality, op2_bpe, op3_urls, op4_decontamination, op5_chat, op6_toxicity, op7_ann, op8_substring, op9_secrets, op10_simhash
+from sparkveil.llm import near_dup, op1_quality, op2_bpe, op3_urls, op4_decontamination, op5_chat, op6_toxicity, op7_ann, op8_substring, op9_secrets, op10_simhash
 from sparkveil.llm import queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -293,11 +293,37 @@ def test_simhash_keeps_one_row_of_each_component(spark):
     # 1 is repeated with another text, 2 copies a, null ids copy b, c and each other
     rows = [(1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (7, None), (None, "")]
     docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, own string").repartition(3)
-    for keep_first in (op10_simhash.keep_first,):
+    for keep_first in (op10_simhash.keep_first, near_dup.keep_first):
         got = [(r.doc_id, r.text) for r in keep_first(docs).collect()]
         assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (7, None)], key=str)
 
 
+def test_near_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    docs = []
+    for k in range(40):
+        words = [f"w{v}" for v in rng.integers(0, 5000, rng.integers(30, 200))]
+        docs.append(words)
+        for _ in range(k % 5):
+            words = list(words)  # chains: each changes the one before
+            for at in rng.integers(0, len(words), max(1, len(words) // rng.integers(25, 80))):
+                words[at] = f"v{rng.integers(0, 10**6)}"
+            docs.append(words)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    frame = spark.createDataFrame([(k, " ".join(w).upper() if k % 3 else "  ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in near_dup.keep_first(frame).collect())
+    assert got == sorted(set(root)) and 40 <= len(got) < len(docs) - 20
+    import corpus_pipeline as pipeline
+
+    assert sorted(r.doc_id for r in pipeline.STAGES[1][1](spark, frame, "").collect()) == got
+
+
 def test_covering_masks_cover():
     rng = np.random.default_rng(0)
     masks = [m & (2**64 - 1) for m in op10_simhash.masks()]
