@@ -4,7 +4,8 @@ Events are rows (conv_id, slot, tie, seq, kind, role, text).  A message is the p
 (slot, tie) of a conversation; its events apply in the order of ``seq``:
 ``message`` and ``edit`` set the text, ``regenerate`` empties it and withdraws what
 later slots held before it, ``delta`` appends.  A message whose events were all
-withdrawn is gone.  Repeated rows of one event count once.
+withdrawn is gone.  Repeated rows of one event count once (``events_of`` tells equal
+rows of whole turns apart, so each is a message).
 
 The fold groups by message, so a conversation with a third of all rows is spread
 over its messages; messages are rendered where they are folded, and a
@@ -18,13 +19,14 @@ occur in a text, and reading back is exact.  The loss mask is the list of
 assistant texts' places in the output.
 
 Edge cases: null texts and roles are empty; a null turn sorts first; a null conv_id is a
-conversation of its own; two different rows of one turn are two turns, ordered by
-role and text; equal rows of one turn are one event.  No rows give no conversation.
+conversation of its own; several rows of one turn, equal or not, are as many turns, ordered by
+role and text.  No rows give no conversation; columns other than conv_id, turn, role
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import table
@@ -53,12 +55,27 @@ def _joined(items: Column, part) -> Column:
     return F.array_join(F.transform(items, part), "")
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, slot, tie, role, text) of the messages that stand after all events."""
+def withdrawn(rows: DataFrame) -> DataFrame:
+    """``rows`` without the events that a later regeneration of an earlier slot withdraws.
+
+    Regenerations are pre-aggregated by block of slots; each block knows the latest one of all earlier blocks
+    (a running maximum over the blocks) and its own, so a long conversation is dealt by block.
+    """
+    block = F.floor(F.col("slot") / BLOCK)
+    at = F.when(F.col("kind") == "regenerate", F.struct(F.col("slot").alias("at_slot"), F.col("seq").alias("at_seq")))
+    blocks = rows.groupBy("conv_id", block.alias("block")).agg(F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("latest"), F.collect_set(at).alias("redone"))
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.max("latest").over(earlier)).where("before is not null or latest is not null")
+    blocks = blocks.select(F.col("conv_id").alias("own_id"), F.col("block").alias("own_block"), "before", "redone")
+    joined = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("own_id")) & (block == F.col("own_block")), "left")
+    gone = (F.col("before") > F.col("seq")) | F.exists("redone", lambda r: (r.at_slot < F.col("slot")) & (r.at_seq > F.col("seq")))
+    return joined.where(~F.coalesce(gone, F.lit(False))).select(rows.columns)
+
+
+def fold(events: DataFrame, regenerated: bool = True) -> DataFrame:
+    """(conv_id, slot, tie, role, text) of the messages that stand after all events; not ``regenerated``: no event is a regeneration."""
     rows = events.select("conv_id", F.coalesce("slot", F.lit(-(1 << 62))).alias("slot"), F.coalesce("tie", F.lit("")).alias("tie"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    redone = rows.where("kind = 'regenerate'").groupBy(F.col("conv_id").alias("redone_id")).agg(F.collect_set(F.struct(F.col("slot").alias("at_slot"), F.col("seq").alias("at_seq"))).alias("redone"))
-    rows = rows.join(redone, F.col("conv_id").eqNullSafe(F.col("redone_id")), "left").drop("redone_id")
-    rows = rows.where(F.col("redone").isNull() | ~F.exists("redone", lambda r: (r.at_slot < F.col("slot")) & (r.at_seq > F.col("seq")))).drop("redone")
+    rows = withdrawn(rows) if regenerated else rows
     by_message = rows.groupBy("conv_id", "slot", "tie").agg(F.array_sort(F.collect_set(F.struct("seq", "kind", "role", "text"))).alias("e"))
     last = F.array_max(F.transform(F.filter("e", lambda x: x.kind != "delta"), lambda x: x.seq))
     live = F.filter("e", lambda x: F.col("last").isNull() | (x.seq > F.col("last")) | ((x.seq == F.col("last")) & (x.kind != "regenerate")))
@@ -105,9 +122,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of whole turns as events."""
+    """A table of whole turns as events; every row is a message, equal rows too."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    return conversations.select("conv_id", F.col("turn").alias("slot"), F.concat(role, F.lit("\n"), text).alias("tie"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), role.alias("role"), text.alias("text"))
+    # a row's number only tells equal rows apart, so a rerun task may number them otherwise
+    own = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+    return conversations.select("conv_id", F.col("turn").alias("slot"), F.concat(role, F.lit("\n"), text, F.lit("\0"), own).alias("tie"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), role.alias("role"), text.alias("text"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +134,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    got = read_back(render(fold(events_of(rows.unionAll(probe)))))
+    got = read_back(render(fold(events_of(rows.unionAll(probe)), regenerated=False)))
     loss = _joined(F.col("loss"), lambda s: unescaped(F.substr("formatted", s.start + 1, s.length)))
     return got.withColumn("lost", loss).select(
         "conv_id",
@@ -129,7 +148,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {
     "op5_chat_format": r"""
-WITH c AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS body,
       replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;') AS r FROM c)
