@@ -57,3 +57,20 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, held: int, limi
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held))
     rows = rows.groupBy(F.col("doc_id").alias("sample_id")).agg(F.min(label).cast("int").alias("label"))
     return rows.withColumn("place", F.xxhash64("sample_id")).orderBy("place", "sample_id").limit(limit)
+
+
+def fitting_sample(docs: DataFrame, chosen: DataFrame, most_bytes: int) -> DataFrame:
+    """The first rows of a labelled sample, in its order, whose whole texts have at most ``most_bytes`` together.
+
+    A document is in the sample whole or not at all; the driver sees one number a sampled document.
+    """
+    sizes = docs.select(F.col("doc_id").alias("sample_id"), F.octet_length("text").alias("n")).join(F.broadcast(chosen), "sample_id")
+    rows = sizes.groupBy("sample_id", "label", "place").agg(F.sum("n").alias("n")).collect()
+    kept, total = [], 0
+    for r in sorted(rows, key=lambda r: (r.place, r.sample_id)):
+        total += r.n or 0
+        if total > most_bytes:
+            break
+        kept.append((r.sample_id, r.label, r.place))
+    fields = sizes.select("sample_id", "label", "place").schema
+    return docs.sparkSession.createDataFrame(kept, fields)

@@ -9,13 +9,15 @@ follow-the-regularised-leader updates, one document at a time; scoring is a spar
 dot product: a gather from the broadcast weight vector (a fixed 4 * 2**BITS bytes).
 
 Training reads a sample of at most ``sample`` labelled documents (a documented
-bound: 6,000 by default, chosen by a hash of the id); each contributes at most
-``SAMPLE_FEATURES`` distinct features, kept by hash order, which bounds what the
-driver receives.  Scoring reads every whole text.
+bound: 6,000 by default, chosen by a hash of the id; fewer if their texts would exceed
+``sample_bytes``, 24 MB by default, which bounds what the driver receives), every one
+of them whole.  Scoring reads every whole text.
 
 Edge cases: null and empty texts have no features, so their score is the logistic
 of the bias; without labels of both classes every score is the (smoothed) share
-of the class seen; null ids are scored and never held out.
+of the class seen (one half without labels); null ids are scored and never held out;
+repeated documents are scored for themselves and repeated labels count once; an empty
+table gives no rows; columns other than doc_id, text and the label are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import labelled_sample, map_slices, remainder, table
+from ._common import fitting_sample, labelled_sample, map_slices, remainder, table
 
 BITS = 20
-SAMPLE_FEATURES = 20_000
 WORDS_KEPT = 400_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -46,21 +47,21 @@ class _Kinds(dict):
 
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_KINDS, _RUNS = _Kinds(), re.compile(r"(.)\1{2,}", re.DOTALL)
+_KINDS, _RUNS, _ENDS = _Kinds(), re.compile(r"(.)\1{2,}", re.DOTALL), re.compile(r"(.)\1{3,}", re.DOTALL)
 
 
 def shape(word: str) -> str:
-    """Case, digits and punctuation of a word; a run of one kind counts as two at most, final punctuation as three."""
+    """Case, digits and punctuation of a whole word; a run of one kind counts as two, of one final mark as three."""
     core = word.rstrip(_MARKS)
     if core.isalpha():
-        tail = word[len(core) : len(core) + 3]
+        tail = _ENDS.sub(r"\1\1\1", word[len(core) :])
         if core.islower():
             return ("aa" if len(core) > 1 else "a") + tail
         if core.isupper():
             return ("AA" if len(core) > 1 else "A") + tail
         if core[0].isupper() and core[1:].islower():
             return ("Aaa" if len(core) > 2 else "Aa") + tail
-    return _RUNS.sub(r"\1\1", word[:64].translate(_KINDS))[:12]
+    return _RUNS.sub(r"\1\1", word.translate(_KINDS))
 
 
 _SAME = np.uint64(xxhash.xxh64_intdigest("=", 7))
@@ -131,9 +132,9 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, sample: int = 6000, epochs: int = 4) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, sample: int = 6000, epochs: int = 4, sample_bytes: int = 24_000_000) -> np.ndarray:
     """Weights (the bias last) from at most ``sample`` labelled documents outside the held-out fold."""
-    chosen = F.broadcast(labelled_sample(labels, label, modulus, held, sample))
+    chosen = F.broadcast(fitting_sample(docs, labelled_sample(labels, label, modulus, held, sample), sample_bytes))
 
     def make():
         features = Features()
@@ -142,8 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
             out = []
             for text in part.column("text").to_pylist():
                 at, count = np.unique(features(text), return_counts=True)
-                keep = np.argsort((at * 0x9E3779B1) & 0xFFFFFFFF, kind="stable")[:SAMPLE_FEATURES]
-                out.append((at[keep].astype("<i4").tobytes(), count[keep].astype("<i4").tobytes(), int(count.sum())))
+                out.append((at.astype("<i4").tobytes(), count.astype("<i4").tobytes(), int(count.sum())))
             ats, counts, totals = zip(*out, strict=True)
             return pa.record_batch([part.column("place"), part.column("label"), pa.array(ats, pa.binary()), pa.array(counts, pa.binary()), pa.array(totals, pa.int64())], names=["place", "label", "at", "n", "total"])
 
