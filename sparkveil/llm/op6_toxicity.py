@@ -13,14 +13,15 @@ Weights are fitted by AdaGrad with an L2 pull, for features of at least
 stay at zero or above: only evidence for toxicity adds up, so a sentence cannot be
 excused by its common words.  One sampled document in ``CHECKED`` does not train the weights but
 sets the threshold, which is moved to a score of one half.  Training reads at most ``sample`` labelled
-documents (a documented bound: 6,000 by default, chosen by a hash of the id), each
-with at most ``SAMPLE_WORDS`` words sent to the driver, whole sentences chosen by
-hash.  Scoring reads every whole text in one pass without a shuffle; the model is a
+documents (a documented bound: 6,000 by default, chosen by a hash of the id; fewer if their texts would
+exceed ``sample_bytes``, 24 MB by default), every one of them whole.  Scoring reads every whole text in one pass without a shuffle; the model is a
 fixed 4 * 2**BITS bytes or so.
 
 Edge cases: null and empty texts have no sentence; their score is that of a sentence
-without words.  Without labels of both classes every score is the smoothed share of
-the class seen.  Null ids are scored and never held out.
+without words.  Without labels of both classes every score, of long texts too, is the smoothed share of
+the class seen (one half without labels).  Null ids are scored and never held out; repeated documents are
+scored for themselves and repeated labels count once; an empty table gives no rows; columns other than
+doc_id, text and the label are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import labelled_sample, map_slices, remainder, table
+from ._common import fitting_sample, labelled_sample, map_slices, remainder, table
 
 BITS = 20
-SAMPLE_WORDS = 5_000
 WORDS_KEPT = 400_000
 #: One in so many sampled documents sets the threshold instead of the weights.
 CHECKED = 5
@@ -138,9 +138,9 @@ def document_score(weights: np.ndarray, z: np.ndarray) -> float:
     return float(_logistic(logit(noisy_or(z)) - weights[-2]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, sample: int = 6000, epochs: int = 12, rate: float = 0.5, l2: float = 1e-4, start: float = -6.0, least_docs: int = 6) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, sample: int = 6000, epochs: int = 12, rate: float = 0.5, l2: float = 1e-4, start: float = -6.0, least_docs: int = 6, sample_bytes: int = 24_000_000) -> np.ndarray:
     """Weights (the bias last) from at most ``sample`` labelled documents outside the held-out fold."""
-    chosen = F.broadcast(labelled_sample(labels, label, modulus, held, sample))
+    chosen = F.broadcast(fitting_sample(docs, labelled_sample(labels, label, modulus, held, sample), sample_bytes))
 
     def make():
         sentences = Sentences()
@@ -149,13 +149,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
             words, starts = [], []
             for text in part.column("text").to_pylist():
                 w, s = sentences.words(text)
-                if w.shape[1] > SAMPLE_WORDS:  # whole sentences, by a hash of their words
-                    sizes = np.diff(np.append(s, w.shape[1]))
-                    order = np.argsort(np.add.reduceat(w[0] * _MIX[1], s), kind="stable")
-                    keep = np.zeros(s.size, bool)
-                    keep[order[np.cumsum(sizes[order]) <= SAMPLE_WORDS]] = True
-                    w, sizes = w[:, np.repeat(keep, sizes)], sizes[keep]
-                    s = np.cumsum(sizes) - sizes
                 words.append(w.astype("<u8").tobytes())
                 starts.append(s.astype("<i4").tobytes())
             return pa.record_batch([part.column("place"), part.column("label"), pa.array(words, pa.binary()), pa.array(starts, pa.binary())], names=["place", "label", "words", "starts"])
@@ -175,10 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         common[at] += 1
     common = common >= least_docs
     common[_NOTHING] = False
-    ones = sum(b[0] for b in bags)
+    ones, seen_docs = sum(x["label"] for x in got), len(got)
     w = np.zeros((1 << BITS) + 3)
-    if ones in (0, len(bags)):
-        w[-1] = np.log((ones + 1) / (len(bags) - ones + 1))
+    if ones in (0, seen_docs) or len({b[0] for b in bags}) < 2:
+        # no sentence counts, whatever their number; the threshold puts that at the share of the documents
+        w[-1] = -30 * np.log(10)
+        w[-2] = logit(0.0) - np.log((ones + 1) / (seen_docs - ones + 1))
         return w.astype(np.float32)
     w[-1], seen = start, np.full(w.size, 0.1)
     for _ in range(epochs):
