@@ -21,11 +21,17 @@ hashes, dealt by hash range into buckets, and what comes back is one bit a hash:
 
 A hash reaches a bucket at most once from a block, so a passage with thousands of copies
 makes no hot bucket, and nothing is compared pair by pair.  Texts are shuffled, compressed, once
-a step; the answers' bits are small.  A 48-bit anchor hash may collide: that only
-adds candidates.  Block bounds come from a sample of at most some 200,000 ids.
+a step; the answers' bits are small.  A block sends a message only to
+buckets that get a hash of it, so there are never more messages than hashes, however many
+blocks and buckets.  A 48-bit anchor hash may collide: that only adds candidates.  Block
+bounds are quantiles of a sample of at most some 200,000 ids; with more blocks than that,
+the ids between two bounds are cut evenly.  Rows of one id (or of null) that fill several
+blocks are dealt by a hash of their text.
 
 Edge cases: null and word-less texts have no words; null ids count as smaller than all
-others; rows that repeat a doc_id are ordered by their text, equal rows by place.
+others; rows that repeat a doc_id are ordered by a hash of their text, then by the text,
+equal rows by place; an empty table gives no rows; columns other than doc_id and text are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,6 +71,10 @@ class _Hashes(dict):
         return out
 
 
+def _text_hash(text: bytes | None) -> int:
+    return xxhash.xxh64_intdigest(text or b"", 8)
+
+
 def _power(m: np.uint64, k: int) -> np.uint64:
     return np.uint64(pow(int(m), k, 1 << 64))
 
@@ -96,7 +106,7 @@ class Block:
         rows = []
         for part in parts:
             rows += zip(*pickle.loads(zstandard.decompress(part)), strict=True)  # noqa: S301  packed by pack()
-        rows.sort(key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1] or b""))
+        rows.sort(key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, _text_hash(r[1]), r[1] or b""))
         self.ids, self.texts = [r[0] for r in rows], [r[1] or b"" for r in rows]
         self.words, starts = [], [0]
         for t in self.texts:
@@ -134,10 +144,11 @@ class Block:
         return np.concatenate(hashes), np.concatenate(at_all)
 
 
-def _ranges(sorted_hashes: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where each bucket's range of sorted hashes begins, and the end."""
-    edges = np.array([(k << bits) // buckets for k in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [sorted_hashes.size]])
+def _ranges(sorted_hashes: np.ndarray, bits: int, buckets: int) -> tuple[list[int], list[int], list[int]]:
+    """The buckets that sorted hashes fall into, in order, and where the hashes of each begin and end."""
+    bucket = (sorted_hashes >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63))) if bucket.size else np.zeros(0, np.int64)
+    return bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), bucket.size][: first.size]
 
 
 def _first(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,12 +185,35 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield held[0][key], held
 
 
-def pack(docs: DataFrame, bounds: list) -> DataFrame:
-    """(key, kind, part, data): compressed documents by the block that their id falls into."""
-    sent = docs.sparkSession.sparkContext.broadcast(bounds)
+class Blocks:
+    """Which block a document falls into: blocks are in the order of ids, null first, then of the texts' hashes.
+
+    ``bounds`` are sorted quantiles of the ids, with repeats; ``cuts``: in how many blocks the numbers between two bounds are cut.
+    """
+
+    def __init__(self, bounds: list, nulls: int = 1, cuts: int = 1) -> None:
+        self.bounds, self.nulls = bounds, nulls
+        self.cuts = cuts if bounds and isinstance(bounds[0], (int, float)) else 1
+
+    def __call__(self, key, text: bytes | None) -> int:
+        if key is None:
+            return _text_hash(text) * self.nulls >> 64
+        first, end = bisect.bisect_left(self.bounds, key), bisect.bisect_right(self.bounds, key)
+        if end > first + 1:  # the id fills blocks of its own
+            return self.nulls + self.cuts * (first + 1 + (_text_hash(text) * (end - first - 1) >> 64))
+        at = self.nulls + self.cuts * end
+        if self.cuts > 1 and 0 < end < len(self.bounds):
+            low, high = self.bounds[end - 1], self.bounds[end]
+            at += min(self.cuts - 1, int((key - low) * self.cuts // (high - low)))
+        return at
+
+
+def pack(docs: DataFrame, block_of: Blocks) -> DataFrame:
+    """(key, kind, part, data): compressed documents by the block that they fall into."""
+    sent = docs.sparkSession.sparkContext.broadcast(block_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds, held, size = sent.value, {}, 0
+        block_of, held, size = sent.value, {}, 0
         coder = zstandard.ZstdCompressor(level=1)
 
         def flush():
@@ -191,7 +225,7 @@ def pack(docs: DataFrame, bounds: list) -> DataFrame:
         for batch in batches:
             for key, cell in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = cell.as_buffer().to_pybytes() if cell.is_valid else None
-                held.setdefault(0 if key is None else bisect.bisect_right(bounds, key), []).append((key, text))
+                held.setdefault(block_of(key, text), []).append((key, text))
                 size += len(text or b"") + 50
                 if size >= PACK_BYTES:
                     yield flush()
@@ -219,12 +253,13 @@ def _by_key(df: DataFrame, keys: int) -> DataFrame:
     return dealt.sortWithinPartitions("key", "kind", "part")
 
 
-def _bits(rows: list[dict], kind: int, ends: np.ndarray) -> np.ndarray:
+def _bits(rows: list[dict], kind: int, ranges: tuple[list[int], list[int], list[int]]) -> np.ndarray:
     """Answers to all that a block has sent: bits of the buckets in order; a bucket that says nothing means none."""
-    out = np.zeros(ends[-1], bool)
+    out = np.zeros(ranges[2][-1] if ranges[2] else 0, bool)
+    place = {b: (first, end) for b, first, end in zip(*ranges, strict=True)}
     for r in rows:
         if r["kind"] == kind:
-            first, end = ends[r["part"]], ends[r["part"] + 1]
+            first, end = place[r["part"]]
             out[first:end] = np.unpackbits(np.frombuffer(r["data"], np.uint8), count=end - first)
     return out
 
@@ -245,9 +280,8 @@ def ask_anchors(blocks: DataFrame, n: int, buckets: int) -> DataFrame:
         known = _Hashes()
         for key, rows in _groups(batches, "key"):
             distinct = np.unique(Block([r["data"] for r in rows], known).anchors()[0])
-            ends = _ranges(distinct, 48, buckets)
             data = np.ascontiguousarray(distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            yield _rows([(b, 0, key, data[ends[b] : ends[b + 1]].tobytes()) for b in range(buckets) if ends[b + 1] > ends[b]])
+            yield _rows([(b, 0, key, data[first:end].tobytes()) for b, first, end in zip(*_ranges(distinct, 48, buckets), strict=True)])
 
     return _by_key(blocks, n).mapInArrow(run, _ROW)
 
@@ -283,8 +317,7 @@ def ask_windows(blocks: DataFrame, n: int, buckets: int) -> DataFrame:
         for key, rows in _groups(batches, "key"):
             _, hashes, _ = _open(rows, known, buckets)
             distinct, _, _ = _first(hashes)
-            ends = _ranges(distinct[:, 0], 64, buckets)
-            yield _rows([(b, 0, key, _write_windows(distinct[ends[b] : ends[b + 1]])) for b in range(buckets) if ends[b + 1] > ends[b]])
+            yield _rows([(b, 0, key, _write_windows(distinct[first:end])) for b, first, end in zip(*_ranges(distinct[:, 0], 64, buckets), strict=True)])
 
     return _by_key(blocks, n).mapInArrow(run, _ROW)
 
@@ -339,18 +372,25 @@ def remove(blocks: DataFrame, n: int, buckets: int, id_type: str, with_text: boo
     return _by_key(blocks, n).mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, removed array<array<bigint>>, kept string")
 
 
-def _bounds(docs: DataFrame, n: int, blocks: int) -> list:
-    """Ids that cut the documents into about equal blocks of neighbours, from a bounded sample of the ids."""
+def _blocks(docs: DataFrame, n: int, blocks: int, null_bytes: int) -> Blocks:
+    """Bounds that cut the documents into about equal blocks of neighbours, from a bounded sample of the ids.
+
+    Rows are sampled by a hash of id and text, so an id that many rows repeat is in the sample as often as it should be.
+    """
     every = max(1, n // BOUNDS_SAMPLE)
-    ids = sorted(r[0] for r in docs.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id").collect())
-    return sorted({ids[k * len(ids) // blocks] for k in range(1, blocks)}) if ids else []
+    sampled = docs.where("doc_id is not null")
+    sampled = sampled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0) if every > 1 else sampled
+    ids = sorted(r[0] for r in sampled.select("doc_id").collect())
+    asked = min(blocks, max(1, len(ids) // 2))
+    return Blocks([ids[k * len(ids) // asked] for k in range(1, asked)], max(1, -(-null_bytes // BLOCK_BYTES)), -(-blocks // asked))
 
 
 def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, removed (word spans [first, end)) and, with_text, the kept text of every document."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    length = F.octet_length("text")
+    size = docs.agg(F.sum(length).alias("bytes"), F.sum(F.when(F.col("doc_id").isNull(), length)).alias("null_bytes"), F.count(F.lit(1)).alias("n")).first()
     blocks, buckets = max(24, -(-(size.bytes or 0) // BLOCK_BYTES)), max(24, -(-(size.bytes or 0) // BUCKET_BYTES))
-    packed = pack(docs, _bounds(docs, size.n, blocks))
+    packed = pack(docs, _blocks(docs, size.n, blocks, size.null_bytes or 0))
     anchors, _ = scratch.write(answer_anchors(ask_anchors(packed, blocks, buckets), buckets))
     windows, _ = scratch.write(answer_windows(ask_windows(packed.unionAll(anchors), blocks, buckets), buckets))
     return remove(packed.unionAll(anchors).unionAll(windows), blocks, buckets, dict(docs.dtypes)["doc_id"], with_text)
