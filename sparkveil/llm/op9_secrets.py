@@ -9,28 +9,34 @@ that follow a sensitive word on the same line; all that start within ``REACH`` o
 it count, not only the first.  A candidate is measured whole, by its parts between
 dots and by what base spans leave of it, in pieces of at most ``PIECE`` characters, and is reported whole if
 any of these is novel.  For each it measures the *marginal* compressed size: zstandard is
-primed with a dictionary of the surrounding code, without the candidate, and of
-common identifiers; the candidate's compressed size in that dictionary, less that
+primed with a dictionary of common identifiers, of the identifiers that the corpus itself
+repeats (``learn_identifiers``: the ``LEARNED`` most frequent by documents) and of the surrounding code (``AROUND`` characters
+on either side, without the candidate); the candidate's compressed size in that dictionary, less that
 of nothing, over its length is its novelty.  What the surroundings or the
 identifiers explain compresses; a random key does not.  Candidates whose novelty
-is at least ``novelty`` and that mix digits with letters are reported with kind
-``novel``, unless base spans already cover all of them.
+is at least ``novelty`` and that mix digits with letters, or that are letters whose case
+changes at least every fourth letter, are reported with kind ``novel``, unless base spans already cover all of them.
 
-Scale: one pass over the documents without a shuffle; a text's memory is its own.
+Scale: one pass over the documents to count identifiers (pre-aggregated in the tasks, at most
+``LEARNED`` rows reach the driver) and one to scan them, neither of which shuffles texts; a text's memory is its own.
 
 Edge cases: null texts are empty; offsets are code points of the whole text, ends
-exclusive; repeated documents are scanned for themselves.
+exclusive; candidates of any length are reported whole; overlapping spans are all listed, by start,
+then kind as listed; repeated documents are scanned for themselves; an empty table gives no rows;
+columns other than doc_id and text are not read (``clean`` keeps them), whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._common import map_slices, table
 
@@ -45,7 +51,8 @@ _SENSITIVE = re.compile(r"(?=(secret|token|passw|pwd|api_?key|access_?key|privat
 #: Where a candidate starts: after a dot too, as 'secret.<key>' holds the sensitive word in its own run.
 _START = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]", re.ASCII)
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:\.+[A-Za-z0-9+/_-]+)*(?:={1,2}(?![A-Za-z0-9+/_.=-]))?", re.ASCII)
-REACH, LEAST, PIECE = 40, 16, 256
+REACH, LEAST, PIECE = 40, 16, 64
+_TURN = re.compile(r"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")
 _HINT = re.compile(r"secret|token|passw|pwd|key|auth|bearer|credential", re.IGNORECASE | re.ASCII)
 IDENTIFIERS = (
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 authorization bearer credentials password secret token api_key "
@@ -53,7 +60,9 @@ IDENTIFIERS = (
     b"localhost example default changeme placeholder your_token_here config settings environment variable export import from return "
     b"function class const public static void string integer boolean http https www com org net index value name type path file data "
 )
-AROUND = 1000
+AROUND, LEARNED = 1000, 1000
+#: Names of two or more words, without digits: no key looks like that, however often it is copied.
+_NAME = re.compile(r"(?<![A-Za-z0-9_])(?:[A-Za-z][a-z]{2,}(?:_[A-Za-z][a-z]{2,})+|[A-Z]{3,}(?:_[A-Z]{3,})+|[A-Za-z][a-z]{2,}(?:[A-Z][a-z]{2,})+)(?![A-Za-z0-9_])", re.ASCII)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -67,9 +76,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def novelty_of(candidate: str, around: str) -> float:
-    """Marginal compressed bytes a character, given the surroundings and common identifiers."""
-    own = zstandard.ZstdCompressionDict(IDENTIFIERS + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def learn_identifiers(docs: DataFrame, most: int = LEARNED) -> bytes:
+    """The names that most documents hold, at least two; the most frequent last, where a dictionary costs least."""
+
+    def count(batches):
+        for batch in batches:
+            found: Counter = Counter()
+            for cell in batch.column("text"):
+                text = cell.as_py()
+                if text and _HINT.search(text):
+                    found.update(set(_NAME.findall(text)))
+            yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["name", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+    return " ".join([r.name for r in reversed(counts.orderBy(F.desc("n"), "name").limit(most).collect())]).encode()
+
+
+def novelty_of(candidate: str, around: str, names: bytes = b"") -> float:
+    """Marginal compressed bytes a character, given the surroundings and identifiers."""
+    own = zstandard.ZstdCompressionDict(IDENTIFIERS + names + b" " + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     coder = zstandard.ZstdCompressor(level=19, dict_data=own, write_content_size=False, write_dict_id=False, write_checksum=False)
     data = candidate.encode()
     return (len(coder.compress(data)) - len(coder.compress(b""))) / len(data)
@@ -92,14 +117,14 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 
 
 def pieces(parts: list[str]) -> Iterator[str]:
-    """What is measured: parts that mix digits with letters, at most ``PIECE`` characters at a time.
+    """What is measured: parts that mix digits with letters or change case often, at most ``PIECE`` characters at a time.
 
     Over a long text zstandard's entropy coder gains on the alphabet alone, so a long key would seem explained.
     """
     for part in dict.fromkeys(parts):
         for at in range(0, len(part), PIECE):
             piece = part[at : at + PIECE] if at + LEAST <= len(part) else part[-PIECE:]
-            if len(piece) >= LEAST and any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece):
+            if len(piece) >= LEAST and any(c.isalpha() for c in piece) and (any(c.isdigit() for c in piece) or 4 * len(_TURN.findall(piece)) >= len(piece)):
                 yield piece
 
 
@@ -113,7 +138,7 @@ def uncovered(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tu
     return [(s, e) for s, e in [*out, (start, end)] if s < e]
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: float) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: float, names: bytes = b"") -> list[tuple[int, int, str]]:
     """Incompressible strings in sensitive context that base spans do not cover."""
     if not _HINT.search(text):
         return []
@@ -123,15 +148,15 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: float) ->
             continue
         word = text[start:end]
         around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-        if any(novelty_of(piece, around) >= novelty for piece in pieces([word, *word.split("."), *(text[s:e] for s, e in left)])):
+        if any(novelty_of(piece, around, names) >= novelty for piece in pieces([word, *word.split("."), *(text[s:e] for s, e in left)])):
             out.append((start, end, "novel"))
     return out
 
 
-def scan(text: str | None, novelty: float = 0.85) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan(text: str | None, novelty: float = 0.85, names: bytes = b"") -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans, of a whole text."""
     base = base_spans(text or "")
-    added = novel_spans(text, base, novelty) if text else []
+    added = novel_spans(text, base, novelty, names) if text else []
     return base, sorted([*base, *added], key=lambda s: (s[0], (*KINDS, "novel").index(s[2])))
 
 
@@ -147,12 +172,13 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def find(docs: DataFrame, novelty: float = 0.85) -> DataFrame:
     """doc_id, base and spans (arrays of start, end, kind) of every document."""
+    names = learn_identifiers(docs)
 
     def make():
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
         def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-            found = [scan(t, novelty) for t in part.column("text").to_pylist()]
+            found = [scan(t, novelty, names) for t in part.column("text").to_pylist()]
             lists = [pa.array([[dict(zip(("start", "end", "kind"), s, strict=True)) for s in f[k]] for f in found], kind) for k in (0, 1)]
             return pa.record_batch([part.column("doc_id"), *lists], names=["doc_id", "base", "spans"])
 
@@ -165,11 +191,12 @@ def find(docs: DataFrame, novelty: float = 0.85) -> DataFrame:
 
 def clean(docs: DataFrame, novelty: float = 0.85) -> DataFrame:
     """All documents with their secrets replaced by marks; n_chars follows the text, other columns stay."""
+    names = learn_identifiers(docs)
 
     def make():
         def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
             before = part.column("text").to_pylist()
-            after = [redact(t, s) if t and (s := scan(t, novelty)[1]) else t for t in before]
+            after = [redact(t, s) if t and (s := scan(t, novelty, names)[1]) else t for t in before]
             columns = {name: part.column(name) for name in part.schema.names}
             columns["text"] = pa.array(after, part.schema.field("text").type)
             if "n_chars" in columns:
