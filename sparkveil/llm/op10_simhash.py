@@ -17,14 +17,16 @@ Scale: equal fingerprints are one node, so copies cost one row.  Each node sends
 only a spanning forest of their links leaves it, never all pairs.  A bucket with
 more than ``BUCKET`` nodes is not compared there: its rows go to a next level,
 where a fresh covering family splits it (again without loss, as the members'
-other bits still differ in at most ``radius`` places); the last level compares
-whatever is left in blocks.  Components are found by distributed star
+other bits still differ in at most ``radius`` places).  What is over the limit on all levels
+is compared in blocks: a bucket's nodes are dealt to blocks of some ``LAST_BLOCK`` and each pair
+of blocks meets in one task, so no task holds more than two blocks.  Components are found by distributed star
 contractions.  Fingerprints, links and components stay in the executors.
 
 Edge cases: null or word-less texts have fingerprint zero and link like any other;
 fewer words than a shingle make one shingle of all words; repeated doc_ids are
 rows of their own with equal results; null doc_ids count for links but are never a
-component's id unless a component has no other (then it is null).
+component's id unless a component has no other (then it is null); an empty table gives
+no rows; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from ..plans.components import connected_components
 from ._common import map_slices, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-BUCKET, LEVELS = 2048, 4
+BUCKET, LEVELS, LAST_BLOCK = 2048, 4, 65_536
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -155,7 +157,17 @@ def _links(batches, radius: int, limit: int | None):
         yield batch_of(*done(held_path, held, over))
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def _in_blocks(over: DataFrame, radius: int, block: int) -> DataFrame:
+    """Links among rows (path, fp) of buckets that no level has split: every pair of a bucket's blocks in one task."""
+    sizes = over.groupBy("path").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = over.join(sizes, "path").select("path", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("t"), F.lit(0).cast("long").alias("key"), "fp").distinct()
+    dealt = dealt.repartition("t").sortWithinPartitions("t", "key")
+    return dealt.mapInArrow(partial(_links, radius=radius, limit=None), "path binary, a long, b long").select("a", "b")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, block: int = LAST_BLOCK) -> DataFrame:
     """(a, b): links within the radius that connect all that is connected; ``nodes`` has distinct fp."""
     spark = nodes.sparkSession
     rows = nodes.select("fp", F.lit(0).cast("long").alias("seed"))
@@ -164,7 +176,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
         tables = F.array(*[F.struct(F.xxhash64("seed", F.lit(level), F.lit(k)).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(radius, level))])
         spread = rows.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
         spread = spread.repartition("t", "key").sortWithinPartitions("t", "key")
-        done, _ = scratch.write(spread.mapInArrow(partial(_links, radius=radius, limit=bucket if level < LEVELS - 1 else None), "path binary, a long, b long"))
+        done, _ = scratch.write(spread.mapInArrow(partial(_links, radius=radius, limit=bucket), "path binary, a long, b long"))
         own = done.where("path is null").select("a", "b")
         found = own if found is None else found.unionAll(own)
         over = done.where("path is not null")
@@ -172,6 +184,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
             break
         # a bucket's members meet again under the next family, apart from other buckets
         rows = over.select(F.col("a").alias("fp"), F.xxhash64("path").alias("seed"))
+    else:
+        found = found.unionAll(_in_blocks(over.select("path", F.col("a").alias("fp")), radius, block))
     return found
 
 
