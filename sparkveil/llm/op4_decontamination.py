@@ -10,8 +10,9 @@ words that no item uses reset the automaton, so only runs of known words that ar
 at least as long as the shortest window are streamed.
 
 Scale: one pass over the documents without a shuffle.  The items reach the
-executors by broadcast in blocks of at most ``BLOCK_CHARS`` characters (the size
-is checked first); a larger benchmark takes one pass a block, with the hits so far
+executors by broadcast in blocks of at most ``BLOCK_CHARS`` characters (sizes
+are checked first, by hash bucket, and buckets are put together up to the bound; only an item that is longer
+by itself exceeds it); a larger benchmark takes one pass a block, with the hits so far
 carried along and written to the shared folder between passes.
 
 ``clean`` is the pipeline's form: spans of hit words go, documents with more than
@@ -22,8 +23,8 @@ that changed.
 
 Edge cases: null or word-less texts have no words and no hits; null or word-less
 items match nothing; items without an id hit like any other, and all of them count
-as one in n_items and not in items_sha256; repeated items and documents count for themselves; an empty
-benchmark hits nothing.
+as one in n_items and not in items_sha256; an item_id counts once in n_items, whatever rows it has; repeated documents count for themselves; an empty
+benchmark hits nothing; no documents give no rows; ``clean`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -151,17 +152,34 @@ class Automaton:
         return spans, found
 
 
-def _block_count(bench: DataFrame, block_chars: int) -> int:
-    """In how many bounded blocks the items are sent."""
-    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(1, -(-total // block_chars))
-
-
-def _blocks(bench: DataFrame, n: int) -> Iterable[list[tuple[object, bytes]]]:
-    """The items, one of ``n`` blocks at a time."""
-    rows = bench.select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t")).where("t is not null")
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b)
+def _items(bench: DataFrame) -> DataFrame:
+    return bench.select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t")).where("t is not null").distinct()
+
+
+def _block_plan(bench: DataFrame, block_chars: int) -> tuple[int, list[list[int]]]:
+    """Into how many hash buckets the items are dealt, and which buckets make a block of bounded size."""
+    rows = _items(bench)
+    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    if total <= block_chars:
+        return 1, [[0]]
+    n = 16 * -(-total // block_chars)
+    sizes = rows.groupBy(F.pmod(F.xxhash64("k", "t"), F.lit(n)).cast("int").alias("b")).agg(F.sum(F.length("t")).alias("c")).orderBy("b").collect()
+    blocks, size = [], 0
+    for r in sizes:
+        if not blocks or size + r.c > block_chars:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(r.b)
+        size += r.c
+    return n, blocks
+
+
+def _blocks(bench: DataFrame, plan: tuple[int, list[list[int]]]) -> Iterable[list[tuple[object, bytes]]]:
+    """The items, one block at a time."""
+    n, blocks = plan
+    for own in blocks:
+        rows = _items(bench)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)).isin(own))
         yield [(r.k, r.t.encode()) for r in part.collect()]
 
 
@@ -204,14 +222,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, text, n_words, spans of hit words and items of every document."""
-    return _find(docs.select("doc_id", "text"), bench, window, _block_count(bench, block_chars))
+    return _find(docs.select("doc_id", "text"), bench, window, _block_plan(bench, block_chars))
 
 
-def _find(docs: DataFrame, bench: DataFrame, window: int, n: int) -> DataFrame:
-    """``docs`` with n_words, spans and items, from ``n`` blocks."""
+def _find(docs: DataFrame, bench: DataFrame, window: int, plan: tuple) -> DataFrame:
+    """``docs`` with n_words, spans and items, from all blocks of the plan."""
     rows = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     path = None
-    for k, block in enumerate(_blocks(bench, n)):
+    for k, block in enumerate(_blocks(bench, plan)):
         if k:
             following, new_path = scratch.write(rows)
             if path:
@@ -245,7 +263,7 @@ def without(text: str, spans: Iterable[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _clean_by_blocks(docs: DataFrame, bench: DataFrame, window: int, max_coverage: float, n: int) -> DataFrame:
+def _clean_by_blocks(docs: DataFrame, bench: DataFrame, window: int, max_coverage: float, plan: tuple) -> DataFrame:
     """``clean`` for a benchmark of several blocks: each round cuts what all blocks hit, and changed documents go round again."""
     others = [c for c in docs.columns if c != "text"]
     todo = docs.select(F.struct(*others).alias("row"), "text")
@@ -267,7 +285,7 @@ def _clean_by_blocks(docs: DataFrame, bench: DataFrame, window: int, max_coverag
             return kernel
 
         schema = StructType([*todo.schema.fields, StructField("changed", BooleanType())])
-        done, _ = scratch.write(map_slices(_find(todo, bench, window, n).select("row", "text", "n_words", "spans"), make, schema))
+        done, _ = scratch.write(map_slices(_find(todo, bench, window, plan).select("row", "text", "n_words", "spans"), make, schema))
         cell = lambda c: F.col("text") if c == "text" else F.col("row")[c]
         length = lambda c: F.length("text").cast(docs.schema[c].dataType).alias(c)
         own = done.where("not changed").select(*[length(c) if c == "n_chars" and not first else cell(c).alias(c) for c in docs.columns])
@@ -279,9 +297,10 @@ def _clean_by_blocks(docs: DataFrame, bench: DataFrame, window: int, max_coverag
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents without benchmark windows; n_chars follows the text, other columns stay."""
-    if (n := _block_count(bench, block_chars)) > 1:
-        return _clean_by_blocks(docs, bench, window, max_coverage, n)
-    for block in _blocks(bench, n):
+    plan = _block_plan(bench, block_chars)
+    if len(plan[1]) > 1:
+        return _clean_by_blocks(docs, bench, window, max_coverage, plan)
+    for block in _blocks(bench, plan):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(sent=sent):
