@@ -1,7 +1,10 @@
 """Operators against brute-force versions, exact round trips or held-out accuracy."""
 
 import hashlib
+import html.parser
 import os
+import re
+import urllib.parse
 import zlib
 
 import duckdb
@@ -10,7 +13,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from sparkveil.llm import near_dup, op1_quality, op2_bpe, op3_urls, op4_decontamination, op5_chat, op6_toxicity, op7_ann, op8_substring, op9_secrets, op10_simhash
+from sparkveil.llm import _common, op1_quality, op2_bpe, op3_urls, op4_decontamination, op5_chat, op6_toxicity, op7_ann, op8_substring, op9_secrets, op10_simhash
 from sparkveil.llm import queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -47,8 +50,87 @@ def test_held_out_accuracy(spark, query, label, modulus, held, least):
     assert (both.predicted == both[label]).mean() >= least
 
 
+def test_quality_scores_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=(1 << op1_quality.BITS) + 1).astype(np.float32)
+    texts = ["", None, "one", "The the THE cat!!!!! sat.", " ".join(f"Word{v}x" for v in rng.integers(0, 50, 400)), "aB" * 500 + " x", "é É 12 ab12"]
+    mask = (1 << 64) - 1
+    mix = [int(m) for m in op1_quality._MIX]
+
+    def naive(text):
+        words = (text or "").split()
+        word = [xxhash.xxh64_intdigest(w) for w in words]
+        form = [xxhash.xxh64_intdigest("=" if k and w == words[k - 1] else op1_quality.shape(w), 7) for k, w in enumerate(words)]
+        hashes = [w * mix[0] for w in word] + [f * mix[1] for f in form]
+        hashes += [(word[k] * mix[2] + word[k + 1]) * mix[0] for k in range(len(words) - 1)] + [(form[k] * mix[3] + form[k + 1]) * mix[1] for k in range(len(words) - 1)]
+        hashes += [((form[k] * mix[3] + form[k + 1]) * mix[2] + form[k + 2]) * mix[0] for k in range(len(words) - 2)]
+        z = float(weights[-1]) + sum(float(weights[(h & mask) >> (64 - op1_quality.BITS)]) for h in hashes) / max(1, len(hashes)) ** 0.5
+        return 1 / (1 + np.exp(-min(30, max(-30, z))))
+
+    got = {r.doc_id: r.score for r in op1_quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), weights).collect()}
+    assert all(abs(got[k] - naive(t)) < 1e-6 for k, t in enumerate(texts))
+    assert op1_quality.shape("aB" * 500) == "aA" * 500 and op1_quality.shape("x" * 70 + "!!!!!!") == "aa!!!"
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    weights = np.abs(rng.normal(size=(1 << op6_toxicity.BITS) + 3)).astype(np.float32)
+    weights[op6_toxicity._NOTHING], weights[-2], weights[-1] = 0, -1.5, -9
+    texts = ["", None, "You fool. (Go away!) fine fine day", "one two three four five six seven. Eight", "no end here", "A. B. C. D. E."]
+    mask, mix = (1 << 64) - 1, [int(m) for m in op6_toxicity._MIX]
+
+    def naive(text):
+        sentences, words = [[]], (text or "").split()
+        for w in words:
+            sentences[-1].append(w)
+            if w.rstrip("\"')]»”*").endswith(op6_toxicity._ENDS):
+                sentences.append([])
+        off, last = 1.0, None
+        for own in [s for s in sentences if s] or [[]]:
+            z, before = float(weights[-1]), 0
+            for w in own:
+                core = w.strip(op6_toxicity._MARKS).lower()
+                h = xxhash.xxh64_intdigest(core)
+                if h != last:
+                    for x in (h, xxhash.xxh64_intdigest(core[:6], 6), xxhash.xxh64_intdigest(core[:8], 8), before * mix[1] + h):
+                        z += float(weights[(x * mix[0] & mask) >> (64 - op6_toxicity.BITS)])
+                before = last = h
+            off *= 1 - 1 / (1 + np.exp(-z))
+        p = min(1 - 1e-12, max(1e-12, 1 - off))
+        return 1 / (1 + np.exp(-(np.log(p / (1 - p)) + 1.5)))
+
+    got = {r.doc_id: r.score for r in op6_toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), weights).collect()}
+    assert all(abs(got[k] - naive(t)) < 1e-5 for k, t in enumerate(texts)), [(got[k], naive(t)) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("label", [0, 1, None])
+def test_one_class_gives_its_share(spark, label):
+    docs = spark.createDataFrame([(k, "Some words here. " * (1 + 500 * (k == 9))) for k in range(10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, label) for k in range(10)], "doc_id long, l int")
+    for module, modulus, held in ((op1_quality, 3, 1), (op6_toxicity, 5, 0)):
+        n = 0 if label is None else sum(zlib.crc32(str(k).encode()) % modulus != held for k in range(10))
+        share = (n * (label or 0) + 1) / (n + 2)
+        got = module.score(docs, module.fit(docs, labels, label="l", modulus=modulus, held=held)).collect()
+        assert len(got) == 10 and all(abs(r.score - share) < 1e-4 for r in got), module
+
+
+def test_sample_holds_whole_documents(spark):
+    docs = spark.createDataFrame([(k, "x" * 100 * (1 + k % 3)) for k in range(30)], "doc_id long, text string")
+    chosen = _common.labelled_sample(spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, l int"), "l", 3, 1, 12)
+    places = sorted((r.place, r.sample_id) for r in chosen.collect())
+    assert len(places) == 12
+    got = {r.sample_id for r in _common.fitting_sample(docs, chosen, 1000).collect()}
+    total, want = 0, set()
+    for _, k in places:
+        total += 100 * (1 + k % 3)
+        if total > 1000:
+            break
+        want.add(k)
+    assert got == want and 3 <= len(got) < 12
+
+
 def test_located_sentences(spark):
-    w = np.zeros((1 << op6_toxicity.BITS) + 2, np.float32)
+    w = np.zeros((1 << op6_toxicity.BITS) + 3, np.float32)
     w[-1] = -8
     word, starts = op6_toxicity.Sentences().words("scum")
     w[op6_toxicity.Sentences.features(word, starts)[0]] = 16
@@ -65,10 +147,35 @@ def test_bpe_equals_library(spark):
     texts = [*TEXTS, *TEXTS, None]
     if os.path.isdir(DATA):
         texts += [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
-    for text, (ids, decoded) in zip(texts, codec.encode_all([t.encode() if t is not None else None for t in texts]), strict=True):
-        want = codec.tokenizer.encode(text or "", add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want
-        assert decoded.decode() == codec.tokenizer.decode(want, skip_special_tokens=False)
+    for _ in range(2):  # fresh, then with all chunks kept
+        for text, ids in zip(texts, codec.encode_all([t.encode() if t is not None else None for t in texts]), strict=True):
+            want = codec.tokenizer.encode(text or "", add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want
+            assert codec.decode(ids).decode() == codec.tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_joins_inside_words(monkeypatch):
+    """Cuts everywhere: one byte in four ends a chunk, so most joins lie inside words, letters and contractions."""
+    monkeypatch.setattr(op2_bpe, "CHUNK_BITS", 2)
+    codec = op2_bpe.Codec(op2_bpe.tokenizer_path())
+    rng = np.random.default_rng(9)
+    parts = ["don't", "we'", "'ll", "re", "x1y22", "É", "é", "e\u0301", "ñandú", "--", "?!", "<|endoftext|>", "<|", "ß", "日本", "\u00a0", "\x1f", " ", " ", " ", "\n\t", "İ", "Word", "ing", "²", "ª"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 40))) for _ in range(600)]
+    for at in range(0, 600, 50):
+        part = texts[at : at + 50]
+        for text, ids in zip(part, codec.encode_all([t.encode() for t in part]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == codec.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert 0 < codec.reused < codec.asked
+
+
+def test_bpe_forgets_the_oldest(monkeypatch):
+    monkeypatch.setattr(op2_bpe, "WORDS_KEPT", 50)
+    monkeypatch.setattr(op2_bpe, "CHUNK_BYTES_KEPT", 20_000)
+    codec = op2_bpe.Codec(op2_bpe.tokenizer_path())
+    for k in range(30):
+        text = " ".join(f"w{k * n}x" for n in range(400))
+        assert np.frombuffer(codec.encode_all([text.encode()])[0], "<u4").tolist() == codec.tokenizer.encode(text, add_special_tokens=False).ids
+    assert codec.chunk_bytes == sum(op2_bpe._weight(k, v) for k, v in codec.chunks.items()) < 60_000 and len(codec.words) < 1000
 
 
 def test_bpe_chunks_are_content_defined():
@@ -89,6 +196,82 @@ def test_url_classes(spark):
     assert op3_urls.judge(more, redirects=hops).first().verdict == "block"
 
 
+class _Links(html.parser.HTMLParser):
+    """The links of a page by the standard library's parser: an independent version of op3's edges."""
+
+    def __init__(self, url: str) -> None:
+        super().__init__()
+        self.base, self.found = url, []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: (v or "").strip() for k, v in attrs}
+        if tag == "base" and a.get("href") and self.base_open:
+            self.base, self.base_open = urllib.parse.urljoin(self.base, a["href"]), False
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            self.found.append(a.get("href", ""))
+        if tag == "meta" and a.get("http-equiv", "").lower() == "refresh" and "url=" in a.get("content", "").lower():
+            self.found.append(re.split("(?i)url=", a["content"], maxsplit=1)[1].strip().strip("'\""))
+
+    base_open = True
+
+
+def brute_urls(pages):
+    def parts(url):
+        rest = url.split("://", 1)[1]
+        host = re.match("[^/?#]*", rest)[0]
+        return host.lower(), re.match("[^?#]*", rest[len(host) :])[0]
+
+    def node(url):
+        if "://" not in url:
+            return None
+        u = urllib.parse.urlsplit(urllib.parse.urljoin(url, urllib.parse.urlsplit(url)._replace(scheme="", netloc="").geturl() or "/"))
+        return u.netloc.lower() + (u.path or "/") + ("?" + u.query if u.query else "")
+
+    def rule(host, path):
+        fits = [(len(h + q), v, h + q) for v, h, q in op3_urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(q)]
+        return max(fits)[1:] if fits else (None, None)
+
+    near = {}
+    for _, url, text in pages:
+        parser = _Links(url)
+        parser.feed(text or "")
+        for link in parser.found:
+            if not link or link.startswith("#") or re.match("(?i)(mailto|javascript):", link):
+                continue
+            a, b = node(url), node(urllib.parse.urljoin(parser.base, link))
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    written = {}
+    for _, url, _ in pages:
+        written.setdefault(node(url), []).append(url)
+    bad = {n for n in near if rule(*parts("x://" + n))[0] == "block" or any(rule(*parts(u))[0] == "block" for u in written.get(n, ()))}
+    todo = list(bad)
+    while todo:
+        for n in near[todo.pop()] - bad:
+            bad.add(n)
+            todo.append(n)
+    return {k: rule(*parts(url))[0] or ("block" if node(url) in bad else "allow") for k, url, _ in pages}
+
+
+def test_urls_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    hosts, paths = ["a.com", "B.com", "w.example.com", "x.net", "c.org", "d.io"], ["/en/1", "/en/7", "/de/8", "/es/q", "/p/q", "/p/", "", "/p/./q", "/en/../p/q", "/p/q?z=1", "/p/q#f"]
+    links = ["?z=1", "../p/q", "./q", "q", "//d.io/p/q", "/es/q", "#x", "", "mailto:a@b.c", "https://a.com/en/1", "http://d.io", "http://d.io/", "HTTP://B.COM/p/q?z=1", "/p/q?a=1&amp;b=2", "..", "/p/../../en/1"]
+    one = lambda x: str(rng.choice(x))
+    makers = [
+        lambda h: f'<link rel="canonical" href="{h}">', lambda h: f"<LINK href='{h}' rel='alternate canonical'/>", lambda h: f'<link rel="nofollow" href="{h}">',
+        lambda h: '<meta http-equiv="refresh" content="5">', lambda h: f'<meta content="0; url={h}" http-equiv=Refresh>', lambda h: f"<meta http-equiv='refresh' content=\"0;URL='{h}'\">", lambda h: '<link rel=canonical>',
+        lambda h: f'<link data-rel="canonical" title="a>b" href="{h}">', lambda h: f'<link title="a>b" rel="x\ncanonical" href="{h}">',
+    ]
+    for run in (1, 3):
+        pages = []
+        for k in range(80):
+            own = "".join(makers[rng.integers(len(makers))](one(links)) for _ in range(rng.integers(0, 3 + run)))
+            pages.append((k, f"http{'s' * (k % 2)}://{one(hosts)}{one(paths)}{'-' + str(rng.integers(0, 9)) if k % 3 == 0 else ''}", ("<base href='/p/x'>" if k % 17 == 0 else "") + own + "<p>"))
+        got = {r.page_id: r.verdict for r in op3_urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert got == brute_urls(pages), [(p, got[p[0]]) for p in pages if got[p[0]] != brute_urls(pages)[p[0]]]
+
+
 def test_automaton_against_brute_force():
     rng = np.random.default_rng(3)
     words = [bytes([97 + k]) for k in range(5)]
@@ -162,6 +345,31 @@ def test_chat_fold(spark):
     assert [row.formatted[s.start : s.start + s.length] for s in row.loss] == ["a&lt;b &#91;x] &amp;lt;"]
 
 
+def test_chat_keeps_repeated_rows(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a")]
+    row = op5_chat.read_back(op5_chat.render(op5_chat.fold(op5_chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))).first()
+    assert [(t.role, t.text) for t in row.turns] == [("user", "a"), ("user", "a"), ("assistant", "a"), ("assistant", "b"), ("assistant", "b")]
+
+
+def test_chat_regenerations_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(op5_chat, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    for _ in range(3):
+        events = []
+        for seq in range(150):
+            kind = str(rng.choice(["message", "delta", "edit", "regenerate"], p=[0.4, 0.4, 0.1, 0.1]))
+            events.append((int(rng.integers(0, 2)), int(rng.integers(0, 20)), "", seq, kind, "assistant", f"<{seq}>"))
+        state = {}
+        for conv, slot, _, seq, kind, _, text in events:
+            if kind == "regenerate":
+                state = {k: v for k, v in state.items() if not (k[0] == conv and k[1] > slot)}
+                state[conv, slot] = ""
+            else:
+                state[conv, slot] = (state.get((conv, slot), "") if kind == "delta" else "") + text
+        got = op5_chat.fold(spark.createDataFrame(events, "conv_id long, slot long, tie string, seq long, kind string, role string, text string")).collect()
+        assert {(r.conv_id, r.slot): r.text for r in got} == state
+
+
 @needs_data
 def test_neighbours_recall(spark):
     d = DATA.replace("0.001", "0.1")
@@ -178,12 +386,60 @@ def test_neighbours_recall(spark):
 
 def test_index_returns_every_code_within_its_radius():
     rng = np.random.default_rng(5)
-    code = rng.integers(0, 256, (500, 4)).astype(np.uint8)
+    code = rng.integers(0, 1 << 16, (500, 3)).astype(np.uint16)
+    code[:200] = code[0] ^ (1 << rng.integers(0, 16, (200, 3)).astype(np.uint16))
     index = op7_ann.Index(code)
-    for q in rng.integers(0, 256, (20, 4)).astype(np.uint8):
+    for q in [*rng.integers(0, 1 << 16, (20, 3)).astype(np.uint16), *code[:20]]:
         got = index.within(q, 30)
         distance = np.bitwise_count(code ^ q).sum(1)
         assert set(np.flatnonzero(distance <= distance[got].max())) == set(got) and len(got) >= 30
+    assert 0 < index.swept < 40 and index.probed
+
+
+def _recall(x, queries, found):
+    hit = 0
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d, kind="stable")[:10].tolist()) & set(found(q)))
+    return hit / (10 * len(queries))
+
+
+def test_neighbours_at_fifty_thousand():
+    """Recall and the share of codes that probing touches: isotropic vectors need the sweep, clustered ones do not."""
+    rng = np.random.default_rng(3)
+    n, d = 50_000, 64
+    isotropic = rng.normal(size=(n, d))
+    clustered = rng.normal(size=(1000, d))[rng.integers(0, 1000, n)] + 0.05 * rng.normal(size=(n, d))
+    for x, most in ((isotropic, 1.0), (clustered, 0.2)):
+        model = op7_ann.learn(x[:4096])
+        code = op7_ann.codes(x, model)
+        index = op7_ann.Index(code)
+        enough = int(op7_ann.DEPTH_EACH * 10 + (op7_ann.DEPTH_SHARE if most == 1.0 else 0) * n)
+        enough = enough if most == 1.0 else 40
+
+        def found(q, x=x, index=index, code=code, enough=enough):
+            rows = index.within(code[q], enough)
+            rows = rows[rows != q]
+            return rows[np.argsort(((x[rows] - x[q]) ** 2).sum(1), kind="stable")[:10]].tolist()
+
+        queries = range(0, n, 1000)
+        assert _recall(x, queries, found) >= 0.9
+        assert min(1.0, (index.probed + index.swept * n) / (len(queries) * n)) <= most
+
+
+def test_neighbours_of_mixed_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=5).tolist()) for k in range(0, 40, 4)] + [(k, rng.normal(size=3).tolist()) for k in range(1, 40, 4)]
+    rows += [(100, rng.normal(size=3).tolist()), (200, [9.0] * 5), (200, [-9.0] * 5), (8, [50.0] * 5)]
+    got = op7_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), op7_ann.F.col("vec_id") % 100 == 0).collect()
+    least = {}
+    for k, v in rows:
+        least[k] = min(v, least.get(k, v))
+    for q in (0, 100, 200):
+        near = sorted((float(np.sqrt(((np.array(v) - np.array(least[q])) ** 2).sum())), k) for k, v in least.items() if k != q and len(v) == len(least[q]))[:10]
+        own = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r for r, _, _ in own] == list(range(1, len(near) + 1)) and [(s, k) for _, k, s in own] == near
 
 
 def brute_substring(docs, window=20):
@@ -218,6 +474,26 @@ def test_substring_against_brute_force(spark, monkeypatch):
     assert got == brute_substring(docs) and any(n for _, n, _ in got.values())
 
 
+def test_substring_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(op8_substring, "BLOCK_BYTES", 400)
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{v}" for v in range(30))
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(f"w{v}" for v in rng.integers(0, 10**6, 30)) + (" " + passage if k % 4 == 0 else "")) for k in range(60)]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in op8_substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, op8_substring._text_hash(r[1].encode())))
+    want = brute_substring([(k, t) for k, (_, t) in enumerate(ordered)])
+    assert sorted(map(str, got)) == sorted(str((i, *want[k])) for k, (i, _) in enumerate(ordered)) and sum(r[2] for r in got) == 14 * 30
+
+
+def test_substring_blocks_are_in_order():
+    block_of = op8_substring.Blocks([10, 20, 20, 20, 30, 90], nulls=3, cuts=4)
+    keys = [(None if k < 40 else int(v), f"t{k}".encode()) for k, v in enumerate(sorted(np.random.default_rng(0).integers(0, 120, 400)))]
+    keys += [(20, f"x{k}".encode()) for k in range(40)]
+    keys.sort(key=lambda r: (r[0] is not None, r[0] or 0, op8_substring._text_hash(r[1])))
+    numbers = [block_of(*k) for k in keys]
+    assert numbers == sorted(numbers) and len({n for n, k in zip(numbers, keys, strict=True) if k[0] == 20}) == 2 and len({n for n, k in zip(numbers, keys, strict=True) if k[0] is None}) == 3
+
+
 def test_difference_cover():
     p, cover = op8_substring.PERIOD, op8_substring.COVER
     assert all(any((i + d) % p in cover and (j + d) % p in cover for d in range(p)) for i in range(p) for j in range(p))
@@ -233,6 +509,85 @@ def test_secrets():
     assert op9_secrets.scan(None) == ([], []) and op9_secrets.redact(text, base).count("[REDACTED_") == 4
 
 
+def test_base_spans_against_brute_force():
+    """A matcher without regular expressions, on texts of awkward pieces."""
+    word = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+    names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+
+    def assign(t, at):
+        for n in names:
+            if t[at : at + len(n)].lower() == n and t[at : at + len(n)].isascii():
+                k = at + len(n)
+                ends = {k, k + (t[k : k + 1] in ("'", '"') and t[k : k + 1] != "")}
+                for k in sorted(ends, reverse=True):
+                    while t[k : k + 1] == " ":
+                        k += 1
+                    if t[k : k + 1] not in (":", "="):
+                        continue
+                    k += 1
+                    while t[k : k + 1] == " ":
+                        k += 1
+                    k += t[k : k + 1] in ("'", '"') and t[k : k + 1] != ""
+                    end = k
+                    while end < len(t) and t[end] in word:
+                        end += 1
+                    if end > k:
+                        return end, end - k >= 8
+        return None
+
+    def run(t, at, prefix, letters, least):
+        end = at + len(prefix)
+        if not t.startswith(prefix, at) or t[end : end + 1] not in letters or not t[end : end + 1]:
+            return None
+        while end < len(t) and t[end] in letters:
+            end += 1
+        return end, end - at >= least
+
+    kinds = {
+        "assign": assign, "access": lambda t, at: run(t, at, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16),
+        "hex": lambda t, at: run(t, at, "", set("0123456789abcdef"), 32),
+    }
+    rng = np.random.default_rng(1)
+    parts = ["password", "Token", "API_KEY", "apikey", "SECRET", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIAABCDEFGHIJKLM", "deadbeef" * 4, "abcdefgh", "x1.y/z=", "é", "\n", "ſecret", "0" * 31]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(1, 12)))
+        want = []
+        for kind, match in kinds.items():
+            at = 0
+            while at < len(text):
+                if found := match(text, at):
+                    if found[1]:
+                        want.append((at, found[0], kind))
+                    at = found[0]
+                else:
+                    at += 1
+        want.sort(key=lambda w: (w[0], op9_secrets.KINDS.index(w[2])))
+        assert op9_secrets.base_spans(text) == want, text
+
+
+def test_novelty_finds_planted_keys(spark):
+    """Recall by length and alphabet, and precision on identifiers in the same places."""
+    rng = np.random.default_rng(7)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    key = lambda letters, n: "".join(rng.choice(list(letters), n))
+    frames = ["client = Client(auth, '{}')\nclient.start()", "Authorization: Bearer {}\n", "the credential was {} until May", "pwd {}", "export PRIVATE_KEY\t{}"]
+    for letters in (upper + lower + digits, upper + lower, lower + digits):
+        for n in (20, 32, 64, 300, 5000):
+            hit = 0
+            for k in range(40):
+                own = key(letters, n)
+                text = frames[k % 5].format(own)
+                hit += op9_secrets.redact(text, op9_secrets.scan(text)[1]) == text.replace(own, "[REDACTED_NOVEL]")
+            assert hit >= 36, (letters, n, hit)
+    words = ["authentication", "provider", "service", "default", "session", "handler", "factory", "configuration", "internal", "manager"]
+    names = ["_".join(rng.choice(words, 3)) for _ in range(100)] + ["".join(w.title() for w in rng.choice(words, 3)) for _ in range(100)]
+    wrong = [n for k, n in enumerate(names) if op9_secrets.scan(frames[k % 5].format(n))[1]]
+    assert not wrong
+    docs = spark.createDataFrame([(k, f"secret of {n} in {names[0]}") for k, n in enumerate(names + names[:50])], "doc_id long, text string")
+    learned = op9_secrets.learn_identifiers(docs).decode().split()
+    assert learned[-1] == names[0] and set(names[1:50]) <= set(learned)
+
+
 def test_secrets_whole_candidates():
     rng = np.random.default_rng(4)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
@@ -293,35 +648,22 @@ def test_simhash_keeps_one_row_of_each_component(spark):
     # 1 is repeated with another text, 2 copies a, null ids copy b, c and each other
     rows = [(1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (7, None), (None, "")]
     docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, own string").repartition(3)
-    for keep_first in (op10_simhash.keep_first, near_dup.keep_first):
-        got = [(r.doc_id, r.text) for r in keep_first(docs).collect()]
-        assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (7, None)], key=str)
+    got = [(r.doc_id, r.text) for r in op10_simhash.keep_first(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (7, None)], key=str)
 
 
-def test_near_dedup_against_brute_force(spark):
-    rng = np.random.default_rng(8)
-    docs = []
-    for k in range(40):
-        words = [f"w{v}" for v in rng.integers(0, 5000, rng.integers(30, 200))]
-        docs.append(words)
-        for _ in range(k % 5):
-            words = list(words)  # chains: each changes the one before
-            for at in rng.integers(0, len(words), max(1, len(words) // rng.integers(25, 80))):
-                words[at] = f"v{rng.integers(0, 10**6)}"
-            docs.append(words)
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
-    root = list(range(len(docs)))
-    for i in range(len(docs)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root = [new if r == old else r for r in root]
-    frame = spark.createDataFrame([(k, " ".join(w).upper() if k % 3 else "  ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string").repartition(3)
-    got = sorted(r.doc_id for r in near_dup.keep_first(frame).collect())
-    assert got == sorted(set(root)) and 40 <= len(got) < len(docs) - 20
-    import corpus_pipeline as pipeline
-
-    assert sorted(r.doc_id for r in pipeline.STAGES[1][1](spark, frame, "").collect()) == got
+def test_simhash_last_level_compares_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op10_simhash, "LEVELS", 1)
+    rng = np.random.default_rng(11)
+    chain, fp = [0], 0
+    for k in range(60):  # each three bits from the one before, all in the same buckets of many tables
+        for b in rng.choice(20, 3, replace=False):
+            fp ^= 1 << int(b)
+        chain.append(fp)
+    nodes = spark.createDataFrame([(x,) for x in sorted(set(chain))], "fp long")
+    found = op10_simhash.links(nodes, 4, bucket=2, block=3)
+    assert all((a ^ b).bit_count() <= 4 for a, b in found.collect())
+    assert len({r.component for r in op10_simhash.connected_components(found).collect()}) == 1
 
 
 def test_covering_masks_cover():
@@ -341,3 +683,53 @@ def test_fingerprint():
     want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
     assert op10_simhash.fingerprint(text.encode()) == want
     assert op10_simhash.fingerprint(None) == 0 and op10_simhash.fingerprint(b"a B") == xxhash.xxh64_intdigest(b"a b", 42)
+
+
+@needs_data
+def test_pipeline_against_naive_stages(spark, tmp_path):
+    """Every stage of the pipeline on its predecessor's rows, against a plain version of its decision."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    bench = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    rows = {r.doc_id: r for r in docs.collect()}
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        before = rows
+        stage(spark, docs, DATA).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        after = docs.collect()
+        rows = {r.doc_id: r for r in after}
+        assert len(rows) == len(after), name
+        if k == 0:
+            scores = op1_quality.op1_quality_classifier(spark, DATA).collect()
+            assert set(rows) == {r.doc_id for r in scores if r.predicted == 1}
+        elif k == 1:
+            ids = sorted(before)
+            fps = np.array([op10_simhash.fingerprint((before[i].text or "").encode()) for i in ids], np.uint64)
+            root = list(range(len(ids)))
+            for i in range(len(ids)):
+                for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 4):
+                    old, new = max(root[i], root[j]), min(root[i], root[j])
+                    root = [new if r == old else r for r in root]
+            assert set(rows) == {ids[r] for r in root}
+        elif k == 2:
+            windows = {tuple(w[i : i + min(10, len(w))]) for t in bench if (w := op4_decontamination.words_of((t or "").encode())) for i in range(max(1, len(w) - 9))}
+            sizes = {len(w) for w in windows}
+
+            def hit(t):
+                w = op4_decontamination.words_of((t or "").encode())
+                return sum(any(tuple(w[i : i + n]) in windows for n in sizes for i in range(max(0, at - n + 1), min(at, len(w) - n) + 1)) for at in range(len(w)))
+
+            hits = {i: hit(r.text) for i, r in before.items()}
+            assert set(rows) == {i for i, n in hits.items() if 2 * n <= len(op4_decontamination.words_of((before[i].text or "").encode()))}
+            assert all(rows[i].text == before[i].text for i in rows if not hits[i]) and not any(hit(rows[i].text) for i in rows)
+        elif k == 3:
+            assert set(rows) == set(before)
+            assert all(rows[i].text == op9_secrets.redact(before[i].text or "", op9_secrets.scan(before[i].text)[1]) for i in rows if before[i].text is not None)
+        else:
+            tokenizer = op2_bpe.Codec(op2_bpe.tokenizer_path()).tokenizer
+            want = {i: tokenizer.encode(r.text or "", add_special_tokens=False).ids for i, r in before.items()}
+            assert {i: list(r.ids) for i, r in rows.items()} == want and all(r.n_tokens == len(want[i]) for i, r in rows.items())
+        if 0 < k < 4:
+            assert all(r.asDict() == before[i].asDict() | {"text": r.text, "n_chars": len(r.text) if r.text != before[i].text else before[i].n_chars} for i, r in rows.items())
+    assert pipeline.run(spark, DATA).count() == len(rows)
