@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkveil.llm import near_dup, op1_quality, op2_bpe, op4_decontamination, op9_secrets
+from sparkveil.llm import op1_quality, op2_bpe, op4_decontamination, op9_secrets, op10_simhash
 from sparkveil.llm._common import table
 from sparkveil.plans import scratch
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each component of near copies: five-word shingle sets of similarity 0.8 or more."""
-    return near_dup.keep_first(docs)
+    """The least document of each component of near copies, by the SimHash contract's links (4 words, 4 of 64 bits)."""
+    return op10_simhash.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op2_bpe.encode(docs, keep_ids=True)
 
 
-STAGES = [("quality classifier", quality), ("near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("secret scans", secrets), ("BPE encoding and decoding", token_ids)]
+STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("secret scans", secrets), ("BPE encoding and decoding", token_ids)]
 
 #: SQL cannot express the learned classifier, XXH64 or BPE; tests hold the stages against brute-force versions.
 ORACLE_SQL: str | None = None
