@@ -102,3 +102,68 @@ def centre(b: Column, vw, vh, scale=1.0, image_w=None, image_h=None) -> Column:
     px, py = px.when(thousand, x * vw / 1000).otherwise(x), py.when(thousand, y * vh / 1000).otherwise(y)
     zero = F.lit(0.0)
     return F.struct(F.least(F.greatest(px, zero), vw).alias("x"), F.least(F.greatest(py, zero), vh).alias("y"))
+
+
+_PARTS = ("x", "y", "w", "h", "left", "top", "width", "height", "x0", "y0", "x1", "y1")
+
+
+def box_from_json(j: Column, style: str = "merge") -> Column:
+    """struct(x, y, w, h) of doubles from a box as JSON: a list, or an object by corner and size, by edges, or by two corners.
+
+    merge (P1): rounded, sizes at least zero, null if it is no box.  dom (P1b): as it is, zeros if it is no box, no two corners.
+    ocr (P1c): rounded, lists of exactly four, zeros if it is no box.  server (P1e): as it is, short lists are filled up, far off the page is null.
+    """
+    is_list, is_object = F.startswith(F.trim(j), F.lit("[")), F.startswith(F.trim(j), F.lit("{"))
+    many, one = F.from_json(F.when(is_list, j), "array<double>"), F.from_json(F.when(is_object, j), ", ".join(f"{p} double" for p in _PARTS))
+    get = lambda *names: F.coalesce(*[one[n] for n in names], F.lit(0.0))
+    at = lambda k: F.coalesce(F.get(many, k), F.lit(0.0))
+    box_ = lambda parts: F.struct(*[p.alias(n) for p, n in zip(parts, "xywh", strict=True)])
+    listed = [at(k) for k in range(4)]
+    sized = [get("x", "left"), get("y", "top"), get(*(("w", "width") if style in ("merge", "server") else ("width", "w"))), get(*(("h", "height") if style in ("merge", "server") else ("height", "h")))]
+    corners = [F.least(get("x0"), get("x1")), F.least(get("y0"), get("y1")), F.abs(get("x1") - get("x0")), F.abs(get("y1") - get("y0"))]
+    cornered = one["x0"].isNotNull() & one["x1"].isNotNull()
+    if style == "merge":
+        tidy = lambda p: box_([half_up(p[0]).cast("double"), half_up(p[1]).cast("double"), F.greatest(F.lit(0.0), half_up(p[2]).cast("double")), F.greatest(F.lit(0.0), half_up(p[3]).cast("double"))])
+        return F.when(is_list & (F.size(many) >= 4), tidy(listed)).when(is_object & cornered, tidy(corners)).when(is_object, tidy(sized))
+    none = box_([F.lit(0.0)] * 4)
+    if style == "dom":
+        return F.when(is_list & (F.size(many) >= 4), box_(listed)).when(is_object, box_(sized)).otherwise(none)
+    if style == "ocr":
+        tidy = lambda p: box_([half_up(v).cast("double") for v in p])
+        return F.when(is_list & (F.size(many) == 4), tidy(listed)).when(is_object & cornered, tidy(corners)).when(is_object, tidy(sized)).otherwise(none)
+    off = (F.size(many) >= 2) & ((at(0) < -100) | (at(1) < -100))
+    return F.when(is_list & (F.size(many) > 0) & ~off, box_(listed)).when(is_object, box_(sized))
+
+
+def unit(c: Column) -> Column:
+    """A confidence clamped to [0, 1]; missing counts 1."""
+    v = F.coalesce(F.nanvl(c.cast("double"), F.lit(1.0)), F.lit(1.0))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+
+
+def converted(v: Column, scale: Column, to_viewport: bool = True) -> Column:
+    """A coordinate from the scaled canvas to the viewport, or back; a scale of one or without sense only rounds."""
+    plain = (scale <= 0) | (scale == 1) | scale.isNull()
+    return half_up(F.when(plain, v).otherwise(v / scale if to_viewport else v * scale)).cast("long")
+
+
+def overlaps(a: tuple, b: tuple, least: float = 0.0) -> Column:
+    """Whether two boxes with an area intersect, by at least a share of the smaller one."""
+    solid = (a[2] > 0) & (a[3] > 0) & (b[2] > 0) & (b[3] > 0)
+    met = overlap(a, b) > 0
+    return solid & met & (containment(a, b) >= least) if least > 0 else solid & met
+
+
+def in_viewport(b: tuple, width, height) -> Column:
+    """Whether any part of a box lies inside the viewport."""
+    return (b[0] + b[2] > 0) & (b[1] + b[3] > 0) & (b[0] < width) & (b[1] < height)
+
+
+def plausible(w: Column, h: Column) -> Column:
+    """Whether a detection has the proportions of an element: aspect 0.4 to 8, 14 to 600 wide, 12 to 90 high."""
+    return (h > 0) & (w / h).between(0.4, 8.0) & w.between(14, 600) & h.between(12, 90)
+
+
+def on_page(b: tuple) -> Column:
+    """Whether a box can be aimed at: not far off the page, with an area."""
+    return (b[0] >= -500) & (b[1] >= -500) & (b[2] > 0) & (b[3] > 0)

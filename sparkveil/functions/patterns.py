@@ -79,3 +79,27 @@ HIGH_RISK = (
     ("send", r"(?:(?:^|[\s_.-])send(?:[\s_.-]|$)|send[\s_-]?(?:message|email|mail|dm|chat|sms|funds|money)|submit[\s_-]?(?:message|post)|post[\s_-]?(?:comment|reply|tweet)|tweet|publish|dispatch)"),
     ("change_password", r"(?:(?:change|update|reset|modify|new|set)[\s_-]?(?:password|passwd|credentials|secret)|security[\s_-]?settings|two[\s_-]?factor|2fa|mfa)"),
 )
+
+# Badge texts over redacted regions.
+BADGES = {
+    "password": "[PASSWORD]", "passwd": "[PASSWORD]", "pwd": "[PASSWORD]", "passcode": "[PASSWORD]", "pin": "[PIN]", "otp": "[OTP]",
+    "card": "[CREDIT CARD]", "credit_card": "[CREDIT CARD]", "creditcard": "[CREDIT CARD]", "ssn": "[SSN]", "social": "[SSN]", "tax": "[TAX ID]", "email": "[EMAIL]",
+    "phone": "[PHONE]", "tel": "[PHONE]", "name": "[NAME]", "fullname": "[NAME]", "face": "[FACE]", "pii": "[PII]",
+}
+
+# Words that say nothing about an action's target.
+TARGET_STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from", "into")
+TARGET_VERBS = ("play", "click", "search", "open", "watch", "find", "listen", "start", "select")
+
+# Plans.
+TASK_VERBS = ("play", "click", "search", "enter", "type", "open", "press", "submit", "select", "find", "watch", "listen", "start")
+GIVEN_UP = ("cannot", "unable", "inaccessible", "could not", "not found", "redacted", "hidden", "no exposed")
+PLACEHOLDER_SELECTORS = ("#element-id", "element-id", "#play-btn", "#btn", "#target", "null", "none")
+PLACEHOLDER_REASONS = ("short explanation", "explanation", "null", "none", "")
+TYPED_STOP_WORDS = ("play", "click", "open", "watch", "listen", "find", "search", "get", "my")
+
+# The timed phases of a run.
+PHASES = ("capture_ms", "dom_extract_ms", "dom_detect_ms", "vision_detect_ms", "face_detect_ms", "ocr_detect_ms", "region_merge_ms", "image_redact_ms", "dom_redact_ms", "serialization_ms", "transport_ms", "action_execution_ms", "total_client_ms")
+
+# Tags that a compact tree keeps for themselves.
+COMPACT_TAGS = ("button", "input", "select", "textarea", "a", "form", "option")
