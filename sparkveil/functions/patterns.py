@@ -23,6 +23,8 @@ SQL_PATTERNS = {
     "email": EMAIL,
     "phone": r"(?:\+?[0-9]{1,3}[-.\s]?)?(?:\(?[0-9]{3}\)?[-.\s]?)?[0-9]{3}[-.\s]?[0-9]{4}\b",
 }
+# Passwords in clear in a serialised tree.
+CLEAR_PASSWORD = r'(?i:(?:secret|plaintext|cleartext)[-_ ]?password|(?:password|passwd|passcode)":\s*"(?!\[REDACTED_)[^"]+")'
 # The order in which spans are claimed.
 SPAN_PATTERNS = (("ssn", SSN), ("card", CARD), ("email", EMAIL), ("phone", PHONE_OPEN))
 
@@ -103,3 +105,9 @@ PHASES = ("capture_ms", "dom_extract_ms", "dom_detect_ms", "vision_detect_ms", "
 
 # Tags that a compact tree keeps for themselves.
 COMPACT_TAGS = ("button", "input", "select", "textarea", "a", "form", "option")
+
+# Fields in which an agent must not type, and marks of redaction.
+REFUSED_AUTOCOMPLETE = ("current-password", "new-password", "cc-number", "cc-csc", "cc-exp", "cc-exp-month", "cc-exp-year", "cc-type", "transaction-amount", "bday", "sex", "ssn")
+REFUSED_NAME = r"(?i)(password|passwd|pwd|passcode|secret|credit[-_]?card|card[-_]?num|cvv|cvc|security[-_]?code|ssn|social[-_]?sec)"
+REFUSED_DATA = (("data_sensitive", "true"), ("data_redacted", "true"), ("data_privacy", "redacted"))
+MARK = r"(?i)\[REDACTED(?:_[A-Z0-9]+)?\]"

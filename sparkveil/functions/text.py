@@ -38,20 +38,36 @@ def redact_url(url: Column, names: Column | None = None) -> Column:
     return F.aggregate(F.flatten(F.transform(usable, slugs)), out, lambda acc, s: F.regexp_replace(acc, F.concat(F.lit("(?i)(/)"), _quoted(s), F.lit(r"(?=/|\?|#|$)")), F.lit("$1" + token)))
 
 
-def redact_text(text: Column, names: Column | None = None, disabled: tuple[str, ...] = ()) -> Column:
-    """Personal data as typed tokens: given names, then cards, SSNs, e-mails, phones, then url slugs."""
+def redact_text(text: Column, names: Column | None = None, disabled: tuple[str, ...] = (), explicit: Column | None = None, custom: tuple[tuple[str, str], ...] = (), tokens: dict[str, str] | None = None) -> Column:
+    """Personal data as typed tokens: given texts, names, the caller's patterns, then cards, SSNs, e-mails, phones, then url slugs.
+
+    ``explicit``: array of struct(text, category); ``custom``: (pattern, token); ``tokens``: other tokens by category.
+    """
+    tokens = P.TOKENS | (tokens or {})
     out = text
+
+    def said(acc: Column, own: Column, token: Column) -> Column:
+        return F.regexp_replace(acc, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), _quoted(F.trim(own)), F.lit(r"(?![A-Za-z0-9_])")), F.regexp_replace(token, r"([$\\])", r"\\$1"))
+
+    if explicit is not None:
+        given = F.filter(explicit, lambda e: F.trim(e.text) != "")
+        known = F.create_map(*[F.lit(x) for k, v in P.TOKEN_OF.items() for x in (k, tokens[v])])
+        out = F.aggregate(given, out, lambda acc, e: said(acc, e.text, F.coalesce(F.try_element_at(known, F.lower(F.coalesce(e.category, F.lit("name")))), F.lit(tokens["pii"]))))
+        slugs_of = F.transform(F.filter(given, lambda e: F.coalesce(e.category, F.lit("name")) == "name"), lambda e: e.text)
+        names = slugs_of if names is None else F.concat(slugs_of, F.coalesce(names, F.array().cast("array<string>")))
     if names is not None:
-        given = F.filter(names, lambda n: F.trim(n) != "")
-        out = F.aggregate(given, out, lambda acc, n: F.regexp_replace(acc, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), _quoted(F.trim(n)), F.lit(r"(?![A-Za-z0-9_])")), F.lit(P.TOKENS["name"])))
+        given_names = F.filter(names, lambda n: F.trim(n) != "")
+        out = F.aggregate(given_names, out, lambda acc, n: said(acc, n, F.lit(tokens["name"])))
+    for pattern, token in custom:
+        out = F.regexp_replace(out, pattern, token)
     # the patterns are costly at every digit, so texts that cannot match are let through on a cheap test
     kept = out
     for category, pattern in P.TEXT_PATTERNS:
         if category not in disabled:
-            out = F.regexp_replace(out, pattern, P.TOKENS[category])
-    out = F.when(text.rlike(P.MAYBE), out).otherwise(kept) if names is None else out
+            out = F.regexp_replace(out, pattern, tokens[category])
+    out = F.when(kept.rlike(P.MAYBE), out).otherwise(kept) if names is None else out
     slugs = text.rlike("[/?&]")
-    return F.when(F.trim(text).isin(*P.TOKENS.values()), text).when(slugs, redact_url(out, names)).otherwise(out)
+    return F.when(F.trim(text).isin(*tokens.values()), text).when(slugs, redact_url(out, names)).otherwise(out)
 
 
 def has_pii(text: Column) -> Column:

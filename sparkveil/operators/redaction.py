@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -45,11 +45,103 @@ def pages_html_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assert_sanitized(payloads: DataFrame, text: str = "payload") -> DataFrame:
     """Fail closed: the job stops at the first payload that still holds a card, an SSN or a clear password."""
-    clear_password = r"(?i:\"password\"\s*:\s*\"(?!\[REDACTED_)[^\"]+\")"
-    leak = F.col(text).rlike(f"(?:{P.SSN})|(?:{P.CARD})|{clear_password}")
+    leak = F.col(text).rlike(f"(?:{P.SSN})|(?:{P.CARD})|{P.CLEAR_PASSWORD}")
     return payloads.where(F.when(leak, F.raise_error(F.lit("payload is not sanitized"))).otherwise(F.lit(True)).cast("boolean"))
 
 
+def payload_error(dom: Column, sources: Column, image_unchanged: Column, passwords: Column) -> Column:
+    """Why a payload must not leave; null if it may.
+
+    ``dom``: the serialised tree; ``sources``: sources of the redaction map; ``image_unchanged``: whether the image is the raw one;
+    ``passwords``: values of password fields.
+    """
+    patterns = f"(?:{P.SSN})|(?:{P.CARD})|{P.CLEAR_PASSWORD}"
+    return (
+        F.when(image_unchanged & (F.size(sources) > 0), "image is unredacted despite sensitive regions")
+        .when(dom.rlike(patterns), "sensitive pattern in the tree")
+        .when(F.exists(passwords, lambda v: (v != "") & ~F.startswith(v, F.lit("[REDACTED_"))), "password field is not redacted")
+        .when(F.exists(sources, lambda s: F.array_contains(F.split(s, r"\+"), "vision")), "redaction map holds vision items")
+    )
+
+
+PAYLOADS = (
+    ('{"text": "fine"}', ["dom"], False, ["[REDACTED_PASSWORD]"]), ('{"text": "fine"}', ["dom"], True, []), ('{"text": "fine"}', [], True, [""]), ('{"t": "987-65-4321"}', [], False, []), ('{"t": "4111 1111-1111 1111"}', [], False, []),
+    ('{"t": "my plaintext password"}', [], False, []), ('{"Password": "abc"}', [], False, []), ('{"password": "[REDACTED_PASSWORD]"}', [], False, []), ("{}", [], False, ["hunter2"]), ("{}", ["ocr", "dom+vision"], False, []),
+)
+
+
+def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(PAYLOADS)], "payload_id long, dom string, sources array<string>, same boolean, passwords array<string>")
+    return rows.select("payload_id", payload_error(F.col("dom"), F.col("sources"), F.col("same"), F.col("passwords")).alias("error"))
+
+
+def outgoing(requests: DataFrame, server_key: bool = True) -> Column:
+    """The JSON that leaves: known fields only, boxes of the redaction map without selector and text, no key in server-key mode."""
+    region = lambda r: F.struct(F.coalesce(r.bbox, F.array(*[F.lit(0.0)] * 4)).alias("bbox"), F.coalesce(r.category, F.lit("unknown")).alias("category"), F.coalesce(r.source, F.lit("client")).alias("source"), F.coalesce(r.confidence, F.lit(1.0)).alias("confidence"))
+    fields = [c for c in ("task", "dom_skeleton", "image_base64", "viewport", "coordinate_space", "image", "timestamp", "nonce", "step", "provider", "model", "base_url", "ui_elements", "session_id", "task_id", *(() if server_key else ("api_key",))) if c in requests.columns]
+    return F.to_json(F.struct(*fields, F.transform("redaction_map", region).alias("redaction_map")))
+
+
+def payload_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of each derived page as an outgoing payload: its keys, the keys of its regions, their number and the sum of their confidences."""
+    from .regions import boxes
+
+    region = F.struct(F.when(F.col("ord") % 3 != 0, F.array(*[F.col(c).cast("double") for c in "xywh"])).alias("bbox"), "category", F.when(F.col("ord") % 2 == 0, F.col("source")).alias("source"), F.when(F.col("ord") % 4 != 0, F.col("pct") / 100.0).alias("confidence"), F.lit("#secret").alias("selector"), F.lit("Ann").alias("text"))
+    rows = boxes(spark, sf_dir).groupBy("page").agg(F.collect_list(region).alias("redaction_map"))
+    rows = rows.select("page", "redaction_map", F.lit("pay").alias("task"), F.lit("k").alias("api_key"), F.lit(None).cast("string").alias("provider"), F.lit(1).alias("step"))
+    out = rows.select("page", outgoing(rows).alias("j"))
+    got = F.from_json("j", "redaction_map array<struct<bbox:array<double>,category:string,source:string,confidence:double>>")["redaction_map"]
+    return out.select("page", F.array_join(F.json_object_keys("j"), ",").alias("keys"), F.array_join(F.json_object_keys(F.get_json_object("j", "$.redaction_map[0]")), ",").alias("region_keys"), F.size(got).cast("long").alias("regions"), F.size(F.filter(got, lambda r: r.source == "client")).cast("long").alias("unnamed"), F.floor(F.aggregate(got, F.lit(0.0), lambda acc, r: acc + r.confidence) * 100 + 0.5).cast("long").alias("pct"))
+
+
+def visual_audit(entities: DataFrame, solid: DataFrame, blurred: DataFrame, mapped: DataFrame, scale: float) -> DataFrame:
+    """How each entity is hidden: by a solid box, a blur, or in the redaction map only.
+
+    An entity counts as hidden where its box, as it is or scaled, meets one; the map also by selector.  Columns page, ord, selector, x, y, w, h.
+    """
+    from ..functions import geometry as G
+    from .regions import within, xywh
+
+    keep = ["page", "ord", *"xywh"]
+    size = lambda c: F.greatest(F.lit(1).cast("long"), G.half_up(F.col(c) * scale).cast("long"))
+    spot = lambda c: G.half_up(F.col(c) * scale).cast("long")
+    either = entities.select(*keep).unionAll(entities.select("page", "ord", spot("x").alias("x"), spot("y").alias("y"), size("w").alias("w"), size("h").alias("h")))
+    met = lambda other: within(either, other.select(*keep), 0).where(G.overlaps(xywh("a_"), xywh("b_"))).select("page", F.col("a_ord").alias("ord"))
+    same = entities.where("selector <> ''").join(mapped.select("page", "selector"), ["page", "selector"], "left_semi").select("page", "ord")
+    flag = lambda rows, name: rows.distinct().withColumn("flag", F.lit(name))
+    flags = flag(met(solid), "solid").unionAll(flag(met(blurred), "blur")).unionAll(flag(met(mapped).unionAll(same), "map"))
+    own = flags.groupBy("page", "ord").agg(*[F.bool_or(F.col("flag") == f).alias(f) for f in ("solid", "blur", "map")])
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    method = F.when(no("solid"), "solid_black_mask").when(no("blur"), "gaussian_blur_or_pixelation").when(no("map"), "redaction_mapped").otherwise("none")
+    return entities.join(own, ["page", "ord"], "left").select("page", "ord", no("solid").alias("solid"), no("blur").alias("blur"), no("map").alias("mapped"), method.alias("method"))
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    from .regions import boxes
+
+    every = boxes(spark, sf_dir).withColumn("selector", F.concat(F.lit("#s"), F.col("ord") % 4))
+    return every.where("source = 'dom'"), every.where("category = 'card'"), every.where("category = 'email'"), every.where("category = 'phone' and pct > 95")
+
+
+def entity_visual_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visual_audit(*_audited(spark, sf_dir), 0.75)
+
+
+def redaction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden and visible entities, selectors that must not be in the map but are (J16), precision, recall and F1."""
+    entities, solid, blurred, mapped = _audited(spark, sf_dir)
+    seen = visual_audit(entities, solid, blurred, mapped, 0.75)
+    innocent = spark.createDataFrame([(s,) for s in INNOCENT], "selector string")
+    wrong = innocent.join(mapped.select("selector").distinct(), "selector", "left_semi")
+    counts = seen.agg(F.count_if(F.col("method") != "none").alias("tp"), F.count_if(F.col("method") == "none").alias("fn")).crossJoin(wrong.agg(F.count("*").alias("fp")))
+    p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / (F.col("tp") + F.col("fn"))
+    rounded = lambda c: F.floor(c * 10000 + 0.5) / 10000
+    return counts.select("tp", "fn", "fp", rounded(p).alias("precision"), rounded(r).alias("recall"), rounded(2 * p * r / (p + r)).alias("f1"))
+
+
+INNOCENT = ("h1", "#s3", "button#save", "#s9")
+
+
 def payload_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", X.redact_text(F.col("text")).alias("payload"))
     return assert_sanitized(docs).groupBy().agg(F.count("*").alias("payloads"), F.sum(F.length("payload").cast("long")).alias("chars"))
@@ -102,8 +194,26 @@ _CLEAN = _SLUG(_REDACT)
 _HAS = lambda e: "(" + " OR ".join(f"regexp_matches({e}, '{P.SQL_PATTERNS[c]}')" for c in P.SQL_PATTERNS) + ")"
 _N = lambda e, c: f"len(regexp_extract_all({e}, '{P.SQL_PATTERNS[c]}'))"
 
-QUERIES = {f.__name__: f for f in (pii_redaction_audit, pii_redacted_text, pii_category_counts, pii_spans_claimed, pages_html_leak, payload_fail_closed, url_parts_slug, category_tokens, leak_token_audit)}
+QUERIES = {f.__name__: f for f in (pii_redaction_audit, pii_redacted_text, pii_category_counts, pii_spans_claimed, pages_html_leak, payload_fail_closed, url_parts_slug, category_tokens, leak_token_audit, payload_errors, payload_projection, entity_visual_audit, redaction_quality)}
+
+
+def clean_sql(e: str) -> str:
+    """SQL of redact_text over an expression."""
+    return _CLEAN.replace("regexp_replace(text,", f"regexp_replace({e},")
+
+
+from .regions import _BOX  # noqa: E402
+
+_ENT = _BOX + """, s AS (SELECT *, '#s' || ord % 4 AS selector FROM b), z AS (SELECT *, floor(x * 0.75 + 0.5) AS x2, floor(y * 0.75 + 0.5) AS y2, greatest(1, floor(w * 0.75 + 0.5)) AS w2, greatest(1, floor(h * 0.75 + 0.5)) AS h2 FROM s WHERE source = 'dom'),
+    o AS (SELECT z.page, z.ord, s.category, s.pct, z.selector AS zs, s.selector AS ss, (least(z.x + z.w, s.x + s.w) > greatest(z.x, s.x) AND least(z.y + z.h, s.y + s.h) > greatest(z.y, s.y)) OR (least(x2 + w2, s.x + s.w) > greatest(x2, s.x) AND least(y2 + h2, s.y + s.h) > greatest(y2, s.y)) AS hit FROM z JOIN s ON z.page = s.page),
+    v AS (SELECT page, ord, bool_or(hit AND category = 'card') AS solid, bool_or(hit AND category = 'email') AS blur, bool_or(category = 'phone' AND pct > 95 AND (hit OR zs = ss)) AS mapped FROM o GROUP BY page, ord),
+    w AS (SELECT *, CASE WHEN solid THEN 'solid_black_mask' WHEN blur THEN 'gaussian_blur_or_pixelation' WHEN mapped THEN 'redaction_mapped' ELSE 'none' END AS method FROM v)"""
 ORACLE = {
+    "payload_errors": "SELECT * FROM (VALUES (0, NULL), (1, 'image is unredacted despite sensitive regions'), (2, NULL), (3, 'sensitive pattern in the tree'), (4, 'sensitive pattern in the tree'), (5, 'sensitive pattern in the tree'), (6, 'sensitive pattern in the tree'), (7, NULL), (8, 'password field is not redacted'), (9, 'redaction map holds vision items')) t(payload_id, error)",
+    "payload_projection": f"WITH {_BOX} SELECT page, 'task,step,redaction_map' AS keys, 'bbox,category,source,confidence' AS region_keys, count(*) AS regions, count(*) FILTER (ord % 2 <> 0) AS unnamed, CAST(sum(CASE WHEN ord % 4 <> 0 THEN pct ELSE 100 END) AS BIGINT) AS pct FROM b GROUP BY page",
+    "entity_visual_audit": f"WITH {_ENT} SELECT * FROM w",
+    "redaction_quality": f"""WITH {_ENT}, c AS (SELECT count(*) FILTER (method <> 'none') AS tp, count(*) FILTER (method = 'none') AS fn, (SELECT count(DISTINCT selector) FROM s WHERE category = 'phone' AND pct > 95 AND selector IN {INNOCENT}) AS fp FROM w),
+        r AS (SELECT *, tp / CAST(tp + fp AS DOUBLE) AS p, tp / CAST(tp + fn AS DOUBLE) AS r FROM c) SELECT tp, fn, fp, floor(p * 10000 + 0.5) / 10000 AS precision, floor(r * 10000 + 0.5) / 10000 AS recall, floor(2 * p * r / (p + r) * 10000 + 0.5) / 10000 AS f1 FROM r""",
     "pii_redaction_audit": f"""SELECT lang, source, count(*) AS docs, count(*) FILTER ({_HAS('text')}) AS docs_with_pii,
         {', '.join(f"CAST(coalesce(sum({_N('text', c)}), 0) AS BIGINT) AS n_{c}" for c in ('card', 'email', 'phone', 'ssn'))}, count(*) FILTER ({_HAS('clean')}) AS leaked
         FROM (SELECT *, {_CLEAN} AS clean FROM documents) GROUP BY lang, source""",

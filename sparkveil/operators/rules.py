@@ -95,20 +95,18 @@ def name_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = ("Mira Patel", "John von Neumann", "alan turing", "Terms of Service", "Grace", "Ludwig van der Rohe Jr", "Ana María de la Cruz Soto", "O'Brien Smith", "X1 Y2", "Jo", "Privacy Policy")
 
-REFUSED_AUTOCOMPLETE = ("current-password", "new-password", "cc-number", "cc-csc", "cc-exp", "cc-exp-month", "cc-exp-year", "cc-type", "transaction-amount", "bday", "sex", "ssn")
-REFUSED_NAME = r"(?i)(password|passwd|pwd|passcode|secret|credit[-_]?card|card[-_]?num|cvv|cvc|security[-_]?code|ssn|social[-_]?sec)"
-MARK = r"(?i)\[REDACTED(?:_[A-Z0-9]+)?\]"
 
-
-def refused(text: Column | None = None) -> Column:
-    """Whether an agent must not type into a node."""
+def refused(text: Column | None = None, data: tuple[str, ...] = ()) -> Column:
+    """Whether an agent must not type into a node (F14); ``data``: which of the data attributes the frame has."""
     out = F.lower(_s("type")) == "password"
-    for c in REFUSED_AUTOCOMPLETE:
+    for c in P.REFUSED_AUTOCOMPLETE:
         out = out | F.lower(_s("autocomplete")).contains(c)
     for c in ("name", "id", "placeholder", "aria_label", "class_name"):
-        out = out | _s(c).rlike(REFUSED_NAME)
-    out = out | _s("value").rlike(MARK) | _s("text").rlike(MARK)
-    return out if text is None else out | F.coalesce(text, F.lit("")).rlike(MARK)
+        out = out | _s(c).rlike(P.REFUSED_NAME)
+    for c, value in P.REFUSED_DATA:
+        out = out | (_s(c) == value) if c in data else out
+    out = out | _s("value").rlike(P.MARK) | _s("text").rlike(P.MARK)
+    return out if text is None else out | F.coalesce(text, F.lit("")).rlike(P.MARK)
 
 
 def field_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +240,7 @@ ORACLE = {
     "name_validate": f"""SELECT name, length(trim(name)) BETWEEN 3 AND 40 AND lower(trim(name)) NOT IN ({', '.join(map(_sql, P.UI_WORDS))}) AND len(w) BETWEEN 2 AND 4
         AND len(list_filter(w, lambda x: NOT (regexp_matches(x, '^[A-Za-zÀ-ÖØ-öø-ÿ''. -]+$') AND (x[1] <> lower(x[1]) OR lower(x) IN ({', '.join(map(_sql, P.PARTICLES))}))))) = 0 AS valid
         FROM (SELECT name, list_filter(string_split_regex(trim(name), '\\s+'), lambda x: x <> '') AS w FROM (SELECT c_name AS name FROM customer UNION VALUES {', '.join(f'({_sql(n)})' for n in NAMES)}))""",
-    "field_refusal": f"WITH {_NODES_SQL} SELECT CAST(node_id AS BIGINT) AS node_id, type = 'password' OR {' OR '.join(f'contains(lower(autocomplete), {_sql(c)})' for c in REFUSED_AUTOCOMPLETE)} OR {' OR '.join(f'regexp_matches({c}, {_sql(REFUSED_NAME)})' for c in ('name', 'id', 'placeholder', 'aria_label'))} AS refused FROM n",
+    "field_refusal": f"WITH {_NODES_SQL} SELECT CAST(node_id AS BIGINT) AS node_id, type = 'password' OR {' OR '.join(f'contains(lower(autocomplete), {_sql(c)})' for c in P.REFUSED_AUTOCOMPLETE)} OR {' OR '.join(f'regexp_matches({c}, {_sql(P.REFUSED_NAME)})' for c in ('name', 'id', 'placeholder', 'aria_label'))} AS refused FROM n",
     "action_validate": f"""WITH {_ACTIONS_SQL}, t AS (SELECT *, lower(coalesce(type, '')) AS k, lower(regexp_extract(trim(url), '^([a-zA-Z0-9+.-]+):', 1)) AS scheme FROM a),
         e AS (SELECT action_id, CASE WHEN k = '' THEN 'Missing or invalid action type' WHEN k NOT IN ({', '.join(map(_sql, ACTION_TYPES))}) THEN 'Unsupported action type: "' || k || '"' WHEN confidence NOT BETWEEN 0 AND 1 THEN 'Action confidence must be between 0.0 and 1.0'
         WHEN regexp_matches(target_selector, '(?i)<script|javascript:|on[a-z0-9_]+=') THEN 'Potentially unsafe script injection in selector' WHEN len(target_bbox) < 4 THEN 'target_bbox must be an array of at least 4 numbers [x, y, w, h]'
