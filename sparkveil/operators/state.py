@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..sources import table
 
 TTL_SECONDS, NONCE_SECONDS, RING = 1800, 60, 50
+RECORDS = 500
 
 
 def micros(ts) -> Column:
@@ -56,10 +57,44 @@ def nonce_replay_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nonce_replay(table(spark, sf_dir, "events"), seconds=3600)
 
 
+def last_of(events: DataFrame, key: str, most: int) -> DataFrame:
+    """The last rows of each key, newest first (k); a task passes on no more than that before the shuffle."""
+    order = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))
+    return events.select(key, "event_id", "ts").withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select(key, "event_id", F.col("k").cast("long").alias("k"))
+
+
 def recent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 50 events of each user (T5)."""
-    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "ts").withColumn("k", F.row_number().over(order)).where(F.col("k") <= RING).select("user_id", "event_id", F.col("k").cast("long").alias("k"))
+    return last_of(table(spark, sf_dir, "events"), "user_id", RING)
+
+
+def profiler_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 500 records of each kind of event (T4)."""
+    return last_of(table(spark, sf_dir, "events"), "event_type", RECORDS)
+
+
+TERMINAL = ("TASK_DONE", "TASK_EXHAUSTED", "TASK_STOPPED", "LOOP_ERROR")
+STEPS = 10
+
+
+def runs(log: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(session_id, task_id, steps, last_event, outcome) of agent runs from a log of status events.
+
+    ``log``: session_id, task_id, ts, ord, event.  A run ends with its first terminal event; one without has either used up
+    its steps or is still open.
+    """
+    at = F.struct("ts", "ord")
+    ended = F.min_by(F.when(F.col("event").isin(*TERMINAL), F.col("event")), F.when(F.col("event").isin(*TERMINAL), at))
+    got = log.groupBy("session_id", "task_id").agg(F.count_if(F.col("event") == "STEP_STARTED").alias("steps"), F.max_by("event", at).alias("last_event"), ended.alias("ended"))
+    return got.select("session_id", "task_id", "steps", "last_event", F.coalesce("ended", F.when(F.col("steps") >= steps, "TASK_EXHAUSTED").otherwise("OPEN")).alias("outcome"))
+
+
+def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a derived log: a session a user, a task a week."""
+    names = F.array(*map(F.lit, ("STEP_STARTED", "ACTION_DECIDED", "ACTION_EXECUTED")))
+    event = F.when(F.col("event_id") % 29 == 0, F.element_at(F.array(*map(F.lit, TERMINAL)), (F.col("event_id") % 4 + 1).cast("int"))).otherwise(F.element_at(names, (F.col("event_id") % 3 + 1).cast("int")))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.floor(micros("ts") / 604_800_000_000).alias("task_id"), "ts", F.col("event_id").alias("ord"), event.alias("event"))
+    return runs(log)
 
 
 def status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +116,17 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.sum("n").cast("long").alias("chars"))
 
 
-QUERIES = {"session_steps": session_steps_query, "nonce_replay": nonce_replay_query, "recent_ring": recent_ring, "status_fold": status_fold, "fresh_requests": fresh_requests, "conversation_turns": conversation_turns}
+QUERIES = {"profiler_ring": profiler_ring, "agent_runs": agent_runs, "session_steps": session_steps_query, "nonce_replay": nonce_replay_query, "recent_ring": recent_ring, "status_fold": status_fold, "fresh_requests": fresh_requests, "conversation_turns": conversation_turns}
 ORACLE = {
     "session_steps": """WITH s AS (SELECT event_id, user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 0 ELSE 1 END AS n FROM events))
         SELECT event_id, user_id, CAST(session AS BIGINT) AS session, row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS step FROM s""",
     "nonce_replay": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
         r AS (SELECT event_id, user_id, k, t AS anchor, true AS accepted FROM e WHERE k = 1 UNION ALL SELECT e.event_id, e.user_id, e.k, CASE WHEN e.t - anchor > 3600000000 THEN e.t ELSE anchor END, e.t - anchor > 3600000000 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
         SELECT event_id, user_id, accepted FROM r""",
+    "profiler_ring": "SELECT event_type, event_id, k FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 500",
+    "agent_runs": """WITH l AS (SELECT user_id AS session_id, CAST(floor(epoch_us(ts) / 604800000000.0) AS BIGINT) AS task_id, ts, event_id, CASE WHEN event_id % 29 = 0 THEN ['TASK_DONE', 'TASK_EXHAUSTED', 'TASK_STOPPED', 'LOOP_ERROR'][event_id % 4 + 1] ELSE ['STEP_STARTED', 'ACTION_DECIDED', 'ACTION_EXECUTED'][event_id % 3 + 1] END AS event FROM events),
+        g AS (SELECT session_id, task_id, count(*) FILTER (event = 'STEP_STARTED') AS steps, last(event ORDER BY ts, event_id) AS last_event, first(event ORDER BY ts, event_id) FILTER (event_id % 29 = 0) AS ended FROM l GROUP BY 1, 2)
+        SELECT session_id, task_id, steps, last_event, coalesce(ended, CASE WHEN steps >= 10 THEN 'TASK_EXHAUSTED' ELSE 'OPEN' END) AS outcome FROM g""",
     "recent_ring": "SELECT user_id, event_id, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 50",
     "status_fold": "SELECT user_id, last(event_type ORDER BY ts, event_id) AS last_event, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id",
     "fresh_requests": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS events, count(*) FILTER (abs(epoch_us(ts) - epoch_us(date_trunc('hour', ts + INTERVAL 30 MINUTE))) <= 60000000) AS fresh FROM events GROUP BY 1",
