@@ -149,19 +149,78 @@ def _areas(on: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def faces(image: np.ndarray, least: int = 16) -> list[tuple[int, int, int, int, float]]:
-    """Skin-coloured areas with a face's proportions (I5): aspect 0.55-1.45, fill 0.35-0.95, dark share 0.05-0.60."""
+def _luminance(image: np.ndarray) -> np.ndarray:
+    return image[..., :3].astype(float) @ (0.299, 0.587, 0.114)
+
+
+def faces(image: np.ndarray, most: int = 16) -> list[tuple[int, int, int, int, float]]:
+    """Skin-coloured areas with a face's proportions (I5), in reading order: x, y, w, h, confidence.
+
+    Sides of 14 pixels and 50 pixels of skin at least, aspect 0.55 to 1.45, fill 0.35 to 0.95; a share of dark pixels of 0.05 to
+    0.60 (eyes, mouth) raises the confidence from 0.82 to 0.94.
+    """
+    if min(image.shape[:2]) < 16:
+        return []
     r, g, b = (image[..., k].astype(int) for k in range(3))
-    skin = (r > 95) & (g > 40) & (b > 20) & (r > g) & (r > b) & (np.maximum(np.maximum(r, g), b) - np.minimum(np.minimum(r, g), b) > 15)
-    dark, out = (r + g + b) < 240, []
+    least, greatest = np.minimum(np.minimum(r, g), b), np.maximum(np.maximum(r, g), b)
+    skin = (r >= 50) & (g >= 30) & (b >= 20) & (r > b) & (r - g >= 12) & (greatest - least >= 15)
+    if skin.sum() < 30:
+        return []
+    light, out = _luminance(image), []
     for x, y, w, h, n in _areas(skin):
-        if w >= least and h >= least and 0.55 <= w / h <= 1.45 and 0.35 <= n / (w * h) <= 0.95:
-            share = float(dark[y : y + h, x : x + w].mean())
-            if 0.05 <= share <= 0.60:
-                out.append((x, y, w, h, 0.94))
+        if w >= 14 and h >= 14 and n >= 50 and 0.55 <= w / h <= 1.45 and 0.35 <= n / (w * h) <= 0.95:
+            dark = (light[y : y + h : 2, x : x + w : 2] < 110).sum() / max(1, w * h // 4)
+            out.append((x, y, w, h, 0.94 if 0.05 <= dark <= 0.60 else 0.82))
+    return out[:most]
+
+
+def ui_proposals(image: np.ndarray, most: int = 32) -> list[tuple[int, int, int, int, str, float]]:
+    """Areas behind an edge as UI candidates (I6), in scan order: x, y, w, h, label, confidence.
+
+    The scan steps over the image; at an edge of more than 35 the pixels within 45 of the one before it are flooded, 800 at most.
+    Blank images (contrast under 18) have none.
+    """
+    height, width = image.shape[:2]
+    if height < 8 or width < 8:
+        return []
+    light = np.floor(_luminance(image) + 0.5).astype(int)
+    sampled = light.ravel()[:: max(1, height * width // 1000)]
+    if sampled.max() - sampled.min() < 18:
+        return []
+    seen, out = np.zeros(light.shape, bool), []
+    for y in range(2, height - 2, max(2, height // 64)):
+        for x in range(2, width - 2, max(2, width // 64)):
+            own = light[y, x]
+            edge = int(max(abs(own - light[y, x + 1]), abs(own - light[y + 1, x])))
+            if edge <= 35 or seen[y, x]:
+                continue
+            todo, inside = [(x, y)], []
+            seen[y, x] = True
+            while todo and len(inside) < 800:
+                cx, cy = todo.pop()
+                inside.append((cx, cy))
+                for nx, ny in ((cx + 1, cy), (cx - 1, cy), (cx, cy + 1), (cx, cy - 1)):
+                    if 0 <= nx < width and 0 <= ny < height and not seen[ny, nx] and abs(light[ny, nx] - own) < 45:
+                        seen[ny, nx] = True
+                        todo.append((nx, ny))
+            (x0, y0), (x1, y1) = np.min(inside, 0).tolist(), np.max(inside, 0).tolist()
+            w, h = x1 - x0 + 1, y1 - y0 + 1
+            if w < 12 or h < 10 or w >= 0.95 * width or h >= 0.95 * height:
+                continue
+            out.append((x0, y0, w, h, _ui_label(w, h), round(min(0.96, max(0.65, 0.70 + edge / 255 * 0.25)), 4)))
+            if len(out) >= most:
+                return out
     return out
 
 
+def _ui_label(w: int, h: int) -> str:
+    if w >= 3 * h and h <= 45:
+        return "input"
+    if 0.8 <= w / h <= 1.3 and max(w, h) <= 48:
+        return "icon"
+    return "text" if w > 4 * h or h <= 18 else "button"
+
+
 def text_lines(image: np.ndarray, contrast: int = 40, least_width: int = 3, most_gap: int = 2) -> list[tuple[int, int, int, int]]:
     """Boxes of text lines: rows with enough foreground, islands split at gaps."""
     luminance = image[..., :3].astype(float) @ (0.299, 0.587, 0.114)

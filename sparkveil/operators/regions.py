@@ -7,6 +7,7 @@ first cell that both cover, so no pair is made twice and no page is compared wit
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,11 +82,51 @@ def region_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_edges(boxes(spark, sf_dir)).select("page", "a_ord", "b_ord")
 
 
+#: Pages of at most so many edges are settled in one task, page after page; larger ones by star contractions.
+PAGE_EDGES = 200_000
+
+
+def _page_roots(batches):
+    """Edges (page, a_ord, b_ord) sorted by page -> (page, ord, root): the smallest ord that each box of a page reaches."""
+    page, parent = None, {}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def done():
+        own = sorted(parent)
+        return [page] * len(own), own, [top(x) for x in own]
+
+    def rows(out):
+        return pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["page", "ord", "root"])
+
+    for batch in batches:
+        out = ([], [], [])
+        for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("page", "a_ord", "b_ord")), strict=True):
+            if p != page:
+                for c, v in zip(out, done(), strict=True):
+                    c += v
+                page, parent = p, {}
+            x, y = top(parent.setdefault(a, a) if a not in parent else a), top(parent.setdefault(b, b) if b not in parent else b)
+            parent[max(x, y)] = min(x, y)
+        yield rows(out)
+    yield rows(done())
+
+
 def clusters(frame: DataFrame) -> DataFrame:
     """The frame with ``root``: the smallest ord of each box's cluster."""
-    node = lambda c: F.struct(F.col("page"), F.col(c).alias("ord"))
-    found = connected_components(merge_edges(frame).select(node("a_ord").alias("a"), node("b_ord").alias("b")))
-    roots = found.select("node.page", "node.ord", F.col("component.ord").alias("root"))
+    edges, _ = scratch.write(merge_edges(frame).select("page", "a_ord", "b_ord"))
+    large = edges.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > PAGE_EDGES).select("page")
+    small, roots = edges, None
+    if not large.isEmpty():
+        node = lambda c: F.struct(F.col("page"), F.col(c).alias("ord"))
+        small = edges.join(large, "page", "left_anti")
+        found = connected_components(edges.join(large, "page", "left_semi").select(node("a_ord").alias("a"), node("b_ord").alias("b")))
+        roots = found.select("node.page", "node.ord", F.col("component.ord").alias("root"))
+    local = small.repartition("page").sortWithinPartitions("page").mapInArrow(_page_roots, "page long, ord long, root long")
+    roots = local if roots is None else local.unionAll(roots)
     return frame.join(roots, ["page", "ord"], "left").withColumn("root", F.coalesce("root", "ord"))
 
 
@@ -205,7 +246,13 @@ _ROOTS = _PAIR.replace("b AS (", "RECURSIVE b AS (", 1) + """, g AS (SELECT page
 _RANK = lambda e, order: "CASE " + e + " " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(order, 1)) + f" ELSE {len(order) + 1} END"
 _GAP = "sqrt(CAST(power(greatest(0, a.x - (c.x + c.w), c.x - (a.x + a.w)), 2) + power(greatest(0, a.y - (c.y + c.h), c.y - (a.y + a.h)), 2) AS DOUBLE))"
 QUERIES = {f.__name__: f for f in (bbox_pair_metrics, region_merge_edges, region_components, region_cluster_merge, region_merge_fixpoint, nms_boxes, face_heading_distance, node_region_best, dedupe_keep_first, reading_order, region_union)}
+_IOU_OF = "greatest(0, least(z.x + z.w, f.x + f.w) - greatest(z.x, f.x)) * greatest(0, least(z.y + z.h, f.y + f.h) - greatest(z.y, f.y))"
 ORACLE = {
+    "nms_boxes": f"""WITH RECURSIVE {_BOX}, f AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pct DESC, ord) AS k FROM b),
+        st AS (SELECT page, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(x BIGINT, y BIGINT, w BIGINT, h BIGINT)[]) AS kept, false AS stays FROM (SELECT DISTINCT page FROM f)
+            UNION ALL SELECT page, k, CASE WHEN stays THEN list_append(kept, {{'x': x, 'y': y, 'w': w, 'h': h}}) ELSE kept END, stays
+            FROM (SELECT f.page, f.k, st.kept, f.x, f.y, f.w, f.h, len(list_filter(st.kept, lambda z: ({_IOU_OF}) / CAST(z.w * z.h + f.w * f.h - ({_IOU_OF}) AS DOUBLE) > 0.45)) = 0 AS stays FROM st JOIN f ON f.page = st.page AND f.k = st.k + 1))
+        SELECT f.page, f.ord, f.pct FROM f JOIN st USING (page, k) WHERE stays""",
     "bbox_pair_metrics": f"WITH {_PAIR} SELECT page, a_ord, b_ord, CAST(inter AS BIGINT) AS inter, floor(inter / CAST(sa + sb - inter AS DOUBLE) * 10000 + 0.5) / 10000 AS iou, floor(inter / CAST(least(sa, sb) AS DOUBLE) * 10000 + 0.5) / 10000 AS containment FROM p WHERE inter > 0",
     "region_merge_edges": f"WITH {_PAIR} SELECT * FROM e",
     "region_components": f"WITH {_ROOTS} SELECT * FROM c",
