@@ -20,8 +20,8 @@ def _found(category, rule) -> Column:
     return F.struct(as_column(category).alias("category"), as_column(rule).alias("rule"))
 
 
-def sensitivity(form_names: bool = False, check_text: bool = False) -> Column:
-    """struct(category, rule) of the first rule that fits a node; null if none.
+def sensitivity(form_names: bool = False, check_text: bool = False, overrides: dict[str, str] | None = None) -> Column:
+    """struct(category, rule) of the first rule that fits a node; null if none.  ``overrides``: other categories by rule.
 
     Needs the columns tag, type, autocomplete, name, id, aria_label, placeholder,
     text, value, data_pii_type and n_children of a node table.
@@ -55,6 +55,9 @@ def sensitivity(form_names: bool = False, check_text: bool = False) -> Column:
     out = F.when(*cases[0])
     for case in cases[1:]:
         out = out.when(*case)
+    if overrides:
+        other = F.try_element_at(F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair]), out["rule"])
+        out = F.when(out.isNotNull(), F.struct(F.coalesce(other, out["category"]).alias("category"), out["rule"].alias("rule")))
     return out
 
 
@@ -113,6 +116,7 @@ def field_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_nodes(spark).select(F.col("node_id").cast("long").alias("node_id"), refused().alias("refused"))
 
 
+# Kinds of actions, and schemes that are never opened.
 ACTION_TYPES = ("click", "type", "input", "scroll", "wait", "navigate", "fill_secret", "done", "submit", "press", "hover")
 FORBIDDEN_SCHEMES = ("javascript", "data", "file", "chrome", "chrome-extension")
 
@@ -187,6 +191,24 @@ def risk_of(texts: Column, kind: Column, cross_origin: Column | None = None) ->
     return F.struct(F.when(kind.isin(*P.LOW_RISK_TYPES), "low").when(category.isNotNull(), "high").otherwise("medium").alias("risk"), category.alias("category"))
 
 
+def crosses_origin(url: Column, page_url: Column) -> Column:
+    """Whether a url leads to another origin than the page's; relative and missing urls do not."""
+    origin = lambda u: F.lower(F.regexp_extract(F.trim(u), r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1))
+    return F.coalesce((origin(url) != "") & (origin(url) != origin(page_url)), F.lit(False))
+
+
+def element_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk of derived actions by the labels of the elements that they point to (J8, F17), and of links that leave a page's origin."""
+    from .planning import element_texts, elements_of
+
+    rows = elements_of(spark, sf_dir).withColumn("label", F.when(F.col("ord") == 2, "Pay now").when(F.col("ord") == 3, "Delete item").otherwise(F.col("label")))
+    actions = rows.where("ord = 1").select(F.col("page").alias("action_id"), "page", F.when(F.col("page") % 2 == 0, "e2").alias("target_element_id"), F.when(F.col("page") % 3 == 0, "#card-3").alias("target_selector"), "x", "y")
+    told = actions.select("action_id").join(element_texts(actions, rows), "action_id", "left")
+    away = crosses_origin(F.when(F.col("action_id") % 5 == 0, "https://B.org/x").when(F.col("action_id") % 5 == 1, "https://A.org/y").otherwise("/z"), F.lit("https://a.org/"))
+    kind = F.when(F.col("action_id") % 7 < 3, "navigate").otherwise("click")
+    return told.withColumn("r", risk_of(F.coalesce("texts", F.array().cast("array<string>")), kind, away)).select("action_id", "r.risk", "r.category")
+
+
 def risk_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literal actions, and one action for each event type."""
     types = table(spark, sf_dir, "events").select("event_type").distinct().select(F.lit(-1).cast("long").alias("action_id"), F.lit("click").alias("type"), F.array("event_type").alias("texts"))
@@ -195,6 +217,7 @@ def risk_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("r", risk_of(F.col("texts"), F.col("type"))).select("action_id", F.array_join("texts", "|").alias("texts"), "r.risk", "r.category", (F.col("r.risk") == "high").alias("requires_confirmation"))
 
 
+# Hosts, words of navigation and phrases by which an action leaves the task.
 BAD_HOSTS = "evil.com|attacker|phishing|malicious|exploit|stealer"
 NAV_WORDS = "navigate|go to|visit|open|url|http://|https://|browse|website"
 INJECTION = "ignore task|override task|prompt injection|untrusted instruction"
@@ -225,8 +248,15 @@ _N = ["tag", "type", "autocomplete", "name", "id", "aria_label", "placeholder",
 _NODES_SQL = "n(node_id, " + ", ".join(_N) + ") AS (VALUES " + ", ".join(f"({k}, " + ", ".join(_sql({"tag": t, **a}.get(c, 0 if c == "n_children" else "")) for c in _N) + ")" for k, (t, a) in enumerate(_NODES)) + ")"
 _RISK = " ".join(f"WHEN regexp_matches(t, '(?i){p}') THEN '{c}'" for c, p in P.HIGH_RISK)
 
-QUERIES = {f.__name__: f for f in (sensitivity_cascade, keyword_classify, name_validate, field_refusal, action_validate, risk_tiers, task_deviation)}
+QUERIES = {f.__name__: f for f in (sensitivity_cascade, keyword_classify, name_validate, field_refusal, action_validate, risk_tiers, element_risks, task_deviation)}
+from .regions import _BOX  # noqa: E402
+
 ORACLE = {
+    "element_risks": f"""WITH {_BOX}, el AS (SELECT page, 'e' || ord AS id, '#' || category || '-' || ord AS sel, CASE ord WHEN 2 THEN 'Pay now' WHEN 3 THEN 'Delete item' ELSE category || ' ' || source END AS label, x, y, ord FROM b),
+        m AS (SELECT a.page, e.label, e.id FROM el a JOIN el e ON a.page = e.page WHERE a.ord = 1 AND ((a.page % 2 = 0 AND e.id = 'e2') OR (a.page % 3 = 0 AND e.sel = '#card-3') OR (abs(a.x - e.x) < 10 AND abs(a.y - e.y) < 10))),
+        r AS (SELECT DISTINCT page, id, CASE WHEN label = 'Pay now' THEN 'payment' WHEN label = 'Delete item' THEN 'delete' END AS c FROM m), f AS (SELECT page, first(c ORDER BY id) AS c FROM r WHERE c IS NOT NULL GROUP BY page),
+        k AS (SELECT a.page, coalesce(f.c, CASE WHEN a.page % 7 < 3 AND a.page % 5 = 0 THEN 'navigate' END) AS c FROM el a LEFT JOIN f ON f.page = a.page WHERE a.ord = 1)
+        SELECT page AS action_id, CASE WHEN c IS NULL THEN 'medium' ELSE 'high' END AS risk, c AS category FROM k""",
     "sensitivity_cascade": f"""WITH {_NODES_SQL}, k AS (SELECT *, {_KW('name')} AS kn, {_KW('aria_label')} AS ka, {_KW('placeholder')} AS kp, {_KW('id')} AS ki, {_KW("concat_ws(' ', name, id, aria_label, placeholder, text)")} AS ke, tag NOT IN ({', '.join(map(_sql, P.STRUCTURAL_TAGS))}) AS plain FROM n),
         r AS (SELECT node_id, CASE {' '.join(f"WHEN data_pii_type = '{a}' THEN '{c}:data_pii_{r}'" for a, (c, r) in P.PII_ATTRIBUTE.items())} WHEN data_pii_type <> '' THEN data_pii_type || ':data_pii_' || data_pii_type
         WHEN type = 'password' THEN 'password:type_password' WHEN regexp_matches(autocomplete, 'cc-[-a-z0-9]+') THEN 'card:autocomplete_card' WHEN regexp_matches(autocomplete, '\\bemail\\b') THEN 'email:autocomplete_email'

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +48,30 @@ def ocr_lines(rows: DataFrame, column: str = "payload") -> DataFrame:
     return rows.withColumn("line", F.explode(F.coalesce(at("$.data.lines"), at("$.lines"), whole, one))).drop(column)
 
 
+def recognised(images: DataFrame, recogniser: Callable[[bytes], list[dict]], key: str = "page_id", column: str = "image") -> DataFrame:
+    """Lines that a caller's recogniser finds in images: one row a line, as ``ocr_lines`` gives them.
+
+    The recogniser takes the bytes of one image and returns dicts with text, bbox (x, y, w, h), confidence and words.
+    """
+    kind = dict(images.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                cell = batch.column(column)[k]
+                lines = recogniser(cell.as_py()) if cell.is_valid else []
+                yield pa.record_batch([pa.array([batch.column(key)[k].as_py()] * len(lines), batch.schema.field(key).type), pa.array([json.dumps(line) for line in lines], pa.string())], names=[key, "payload"])
+
+    return ocr_lines(images.select(key, column).mapInArrow(run, f"{key} {kind}, payload string"))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A result as JSON lines."""
     report.write.mode("overwrite").json(path)
 
 
-def markdown(report: DataFrame, limit: int = 200) -> str:
-    """A small result as a Markdown table, its first rows only."""
-    rows = report.limit(limit).collect()
+def markdown(report: DataFrame) -> str:
+    """A small result as a Markdown table, all of its rows, read partition by partition."""
+    rows = report.toLocalIterator()
     head = "| " + " | ".join(report.columns) + " |\n|" + "-|" * len(report.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])

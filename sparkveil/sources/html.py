@@ -1,19 +1,21 @@
 """HTML pages as node rows: a tree walk in Arrow batches with the standard parser.
 
 One row a kept node, numbered in document order; there is no layout engine, so
-boxes are null.  Scripts, styles and the like are skipped, hidden nodes too, and so is what
-lies deeper than ``MAX_DEPTH``.  A node stays if it is the root, interactive, labelled,
+boxes are null.  Scripts, styles and the like are skipped, hidden nodes too (by attribute, by display, visibility or
+opacity in their style, or inside closed details), and so is what lies deeper than ``MAX_DEPTH``.  A node stays if it is the root, interactive, labelled,
 marked, has text of its own, or has a child that stays.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+# Tags without content, void tags, what makes a node interactive.
 SKIPPED = frozenset(("script", "style", "noscript", "template", "head", "meta", "link"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INTERACTIVE_TAGS = frozenset(("a", "button", "input", "select", "textarea", "option", "summary", "details", "label"))
@@ -25,6 +27,9 @@ MAX_DEPTH = 50
 FIELDS = ("tag", "role", "type", "aria_label", "text", "selector", "xpath", "id", "name", "class_name", "autocomplete", "placeholder", "value", "href", "src", "data_pii_type", "rel", "itemprop")
 
 
+_CLEAR = re.compile(r"(?:^|;)opacity:(?:0(?:\.0*)?|\.0+)(?:;|!|$)")
+
+
 class _Node:
     __slots__ = ("tag", "attrs", "parent", "children", "parts", "depth", "nth", "counts", "hidden")
 
@@ -34,7 +39,7 @@ class _Node:
         self.counts: dict[str, int] = {}
         self.nth = 1
         style = (attrs.get("style") or "").replace(" ", "").lower()
-        self.hidden = tag in SKIPPED or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style or bool(parent and parent.hidden)
+        self.hidden = tag in SKIPPED or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style or _CLEAR.search(style) is not None or bool(parent and (parent.hidden or (parent.tag == "details" and tag != "summary" and "open" not in parent.attrs)))
         if parent:
             self.nth = parent.counts[tag] = parent.counts.get(tag, 0) + 1
             parent.children.append(self)
@@ -85,6 +90,10 @@ def _text(node: _Node) -> str | None:
         return a.get("value") or a.get("placeholder") or " ".join(node.parts) or None
     if node.tag == "img":
         return a.get("alt") or None
+    if node.tag == "select":
+        options = [n for c in node.children for n in (c, *c.children) if n.tag == "option"]
+        chosen = next((n for n in options if "selected" in n.attrs), options[0] if options else None)
+        return " ".join(_inner(chosen).split()) or None if chosen else None
     return " ".join(" ".join(node.parts).split()) or None
 
 

@@ -144,3 +144,48 @@ def test_leak_tokens_of_a_long_manifest(spark):
     docs = spark.createDataFrame([(" ".join(f"<tok{k}>" for k in range(1001)),), ("<tok7>",), (None,)], "text string")
     got = {r.token: r.docs for r in redaction.leak_tokens(tokens, docs).collect()}
     assert got == {f"<tok{k}>": 1 + (k == 7) for k in range(1001)} | {"absent": 0, None: 0}
+
+
+def test_hidden_nodes_and_chosen_options():
+    page = "<body><details><summary>More</summary><p>inside</p></details><details open><p>shown</p></details><p style='opacity: 0'>gone</p><p style='opacity:0.5'>faint</p><select><option>a</option><option selected>b c</option></select></body>"
+    nodes = html.flatten(page)
+    texts = [n["text"] for n in nodes if n["tag"] in ("p", "summary", "select")]
+    assert texts == ["More", "shown", "faint", "b c"]
+
+
+def test_faces_and_ui_proposals():
+    image = np.full((60, 60, 4), 255, np.uint8)
+    image[10:40, 10:36, :3] = (200, 150, 120)
+    for y, x in ((10, 10), (10, 30), (34, 10), (34, 30)):  # round off the corners
+        image[y : y + 6, x : x + 6, :3] = 255
+    assert I.faces(image) == [(10, 10, 26, 30, 0.82)]
+    image[18:24, 14:30, :3] = 0
+    assert I.faces(image) == [(10, 10, 26, 30, 0.94)]
+    page = np.full((80, 80, 4), 255, np.uint8)
+    assert I.ui_proposals(page) == []
+    page[21:41, 11:31, :3] = 90
+    found = I.ui_proposals(page)
+    assert (11, 21, 20, 20, "icon") in [f[:5] for f in found] and all(0.65 <= f[5] <= 0.96 for f in found)
+
+
+def test_region_overrides_and_recogniser(spark):
+    row = spark.createDataFrame([("input", "tel")], "tag string, type string").select("*", *[F.lit(None).cast("string").alias(c) for c in ("autocomplete", "name", "id", "aria_label", "placeholder", "text", "value", "data_pii_type")], F.lit(0).alias("n_children"))
+    assert row.select(rules.sensitivity(overrides={"type_tel": "contact"}).alias("s")).first().s.category == "contact"
+    images = spark.createDataFrame([("p1", b"xy"), ("p2", None)], "page_id string, image binary")
+    got = corpus.recognised(images, lambda data: [{"text": data.decode(), "confidence": 0.5}]).collect()
+    assert [(r.page_id, r.line.text, r.line.confidence) for r in got] == [("p1", "xy", 0.5)]
+    assert corpus.markdown(spark.range(300)).count("\n") == 301
+
+
+def test_large_pages_use_contractions(spark, monkeypatch):
+    monkeypatch.setattr(regions, "PAGE_EDGES", 2)
+    rows = [(p, k, 10 * k, 0, 14, 10, "email", "dom", 90) for p in (1, 2) for k in range(1, 7 if p == 1 else 3)] + [(3, 1, 0, 0, 5, 5, "email", "dom", 90)]
+    frame = spark.createDataFrame(rows, BOX)
+    wide = {(r.page, r.ord): r.root for r in regions.clusters(frame.withColumn("w", F.lit(24).cast("long"))).collect()}
+    assert all(root == 1 for root in wide.values()) and len(wide) == 9
+
+
+def test_compaction_of_lists(spark):
+    rows = [("p", k, None, 0, "div", f"t{k}") for k in range(40)] + [("p", 100 + k, k, 1, "div", "x") for k in (3, 38)]
+    got = {r.node_id for r in dom.compact(spark.createDataFrame(rows, "page_id string, node_id int, parent_id int, depth int, tag string, text string")).collect()}
+    assert got == {*range(35), 103}
