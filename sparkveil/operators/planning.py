@@ -273,8 +273,8 @@ ORACLE = {
         WHERE a.ord = 1 AND (e.element_id = 'e2' OR e.selector = '#card-3' OR (abs(a.x - e.x) < 10 AND abs(a.y - e.y) < 10)) GROUP BY a.page""",
     "target_match": f"""WITH {_EL}, k AS (SELECT el.page, element_id, row_number() OVER (PARTITION BY el.page ORDER BY ord) AS k FROM el JOIN orders ON o_orderkey = el.page
         WHERE CASE WHEN el.page % 2 = 0 THEN regexp_matches(label, 'click|the|card|from|nowhere') ELSE regexp_matches(label, 'open|password|face') END) SELECT page, element_id FROM k WHERE k = 1""",
-    "ocr_span_boxes": "SELECT * FROM (VALUES (0, 'card', '4111 2222 3333 4444', 165, 100, 175, 30, 0.95), (1, 'email', 'a@b.co', 143, 100, 160, 30, 0.9)) t(line_id, category, found, x, y, w, h, confidence)",
-    "target_labels": "SELECT * FROM (VALUES (0, '#go'), (1, '#e1'), (2, 'vault:k'), (3, 'a.b/c'), (4, 'a.b'), (5, '(3, 4)'), (6, 'deltaY: -5'), (7, '[1,2,3,4]'), (8, '')) t(label_id, label)",
+    "ocr_span_boxes": "SELECT * REPLACE (CAST(line_id AS BIGINT) AS line_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, CAST(confidence AS DOUBLE) AS confidence) FROM (VALUES (0, 'card', '4111 2222 3333 4444', 165, 100, 175, 30, 0.95), (1, 'email', 'a@b.co', 143, 100, 160, 30, 0.9)) t(line_id, category, found, x, y, w, h, confidence)",
+    "target_labels": "SELECT * REPLACE (CAST(label_id AS BIGINT) AS label_id) FROM (VALUES (0, '#go'), (1, '#e1'), (2, 'vault:k'), (3, 'a.b/c'), (4, 'a.b'), (5, '(3, 4)'), (6, 'deltaY: -5'), (7, '[1,2,3,4]'), (8, '')) t(label_id, label)",
     "target_search": f"""WITH {_BOX}, q AS (SELECT o_orderkey AS query_id, o_orderkey % 5 AS k FROM orders), w AS (SELECT query_id, ['card', 'ocr,thing', 'zebra,videos', 'face', ''][k + 1] AS s, ['click,card,play', 'open,ocr,thing', 'find,zebra,videos', 'search,face', ''][k + 1] AS a FROM q),
         v AS (SELECT query_id, string_split(s, ',') AS s, string_split(a, ',') AS a FROM w WHERE a <> ''),
         u AS (SELECT page, ord, 'e' || ord AS element_id, '#e' || ord AS selector, 'click' AS action_type, lower(category) || ' play' AS t, 'e' || ord AS t2, x - CASE WHEN ord = 1 THEN 900 ELSE 0 END AS x, 1 AS base FROM b WHERE source <> 'ocr' AND ord % 2 = 1 AND ord > 1),
@@ -285,6 +285,6 @@ ORACLE = {
             UNION ALL SELECT query_id, ord, NULL, 'input[name=''q''], input[type=''search''], input[aria-label*=''Search'' i]', 'type', NULL, 5 FROM v JOIN b ON page = query_id WHERE ord = 4),
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source, ord) AS k FROM f)
         SELECT query_id, CAST(source AS BIGINT) AS source, element_id, selector, action_type, CAST(x AS DOUBLE) AS x FROM k WHERE k = 1""",
-    "plan_enrichment": """SELECT * FROM (VALUES (0, false, 'type input[name=''q''], input[type=''search''], input[aria-label*=''Search'' i] - for blue lamps -'), (1, true, 'done - - - -'), (2, false, 'click #s1 s1 - 10'), (3, false, 'click #sv sv - -'), (4, false, 'click - - - -'),
+    "plan_enrichment": """SELECT * REPLACE (CAST(plan_id AS BIGINT) AS plan_id) FROM (VALUES (0, false, 'type input[name=''q''], input[type=''search''], input[aria-label*=''Search'' i] - for blue lamps -'), (1, true, 'done - - - -'), (2, false, 'click #s1 s1 - 10'), (3, false, 'click #sv sv - -'), (4, false, 'click - - - -'),
         (5, false, 'click #s1 s1 - 10'), (6, false, 'type - x a -; click - y - -'), (7, false, 'click - y - -; wait - - - -'), (8, false, 'click - y - -'), (9, false, 'type input[name=''q''], input[type=''search''], input[aria-label*=''Search'' i] - lost umbrella -')) t(plan_id, task_complete, actions)""",
 }

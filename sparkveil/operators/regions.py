@@ -246,8 +246,23 @@ _ROOTS = _PAIR.replace("b AS (", "RECURSIVE b AS (", 1) + """, g AS (SELECT page
 _RANK = lambda e, order: "CASE " + e + " " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(order, 1)) + f" ELSE {len(order) + 1} END"
 _GAP = "sqrt(CAST(power(greatest(0, a.x - (c.x + c.w), c.x - (a.x + a.w)), 2) + power(greatest(0, a.y - (c.y + c.h), c.y - (a.y + a.h)), 2) AS DOUBLE))"
 QUERIES = {f.__name__: f for f in (bbox_pair_metrics, region_merge_edges, region_components, region_cluster_merge, region_merge_fixpoint, nms_boxes, face_heading_distance, node_region_best, dedupe_keep_first, reading_order, region_union)}
+
+
+def _rounds(n: int) -> str:
+    """SQL of ``n`` rounds of merging: tables m0 to m<n>."""
+    out = _BOX + ", m0 AS (SELECT page, ord, x, y, w, h, category, source, pct FROM b WHERE w > 0 AND h > 0)"
+    for k in range(n):
+        out += f""", p{k} AS (SELECT a.page, a.ord AS a_ord, c.ord AS b_ord, greatest(0, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x)) * greatest(0, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) AS i, a.w * a.h AS sa, c.w * c.h AS sb FROM m{k} a JOIN m{k} c ON a.page = c.page AND a.ord < c.ord),
+            e{k} AS (SELECT page, a_ord, b_ord FROM p{k} WHERE i / CAST(sa + sb - i AS DOUBLE) >= 0.3 OR i / CAST(least(sa, sb) AS DOUBLE) >= 0.8), g{k} AS (SELECT page, a_ord AS u, b_ord AS v FROM e{k} UNION SELECT page, b_ord, a_ord FROM e{k}),
+            r{k} AS (SELECT page, ord AS u, ord AS v FROM m{k} UNION SELECT r.page, r.u, g.v FROM r{k} r JOIN g{k} g ON r.page = g.page AND r.v = g.u), c{k} AS (SELECT page, u AS ord, min(v) AS root FROM r{k} GROUP BY page, u),
+            m{k + 1} AS (SELECT page, root AS ord, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, arg_min(category, ({_RANK('category', P.MERGE_PRIORITY)}) * 100 + ord) AS category,
+                concat_ws('+', CASE WHEN bool_or(contains(source, 'dom')) THEN 'dom' END, CASE WHEN bool_or(contains(source, 'ocr')) THEN 'ocr' END, CASE WHEN bool_or(contains(source, 'face')) THEN 'face' END) AS source, max(pct) AS pct FROM m{k} JOIN c{k} USING (page, ord) GROUP BY page, root)"""
+    return out
+
+
 _IOU_OF = "greatest(0, least(z.x + z.w, f.x + f.w) - greatest(z.x, f.x)) * greatest(0, least(z.y + z.h, f.y + f.h) - greatest(z.y, f.y))"
 ORACLE = {
+    "region_merge_fixpoint": f"WITH RECURSIVE {_rounds(10)} SELECT page, ord, x, y, w, h, category, source, pct FROM m10",
     "nms_boxes": f"""WITH RECURSIVE {_BOX}, f AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pct DESC, ord) AS k FROM b),
         st AS (SELECT page, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(x BIGINT, y BIGINT, w BIGINT, h BIGINT)[]) AS kept, false AS stays FROM (SELECT DISTINCT page FROM f)
             UNION ALL SELECT page, k, CASE WHEN stays THEN list_append(kept, {{'x': x, 'y': y, 'w': w, 'h': h}}) ELSE kept END, stays

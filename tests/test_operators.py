@@ -74,8 +74,8 @@ def test_payload_fails_closed(spark):
         redaction.assert_sanitized(frame).collect()
 
 
-PAGE = """<html><head><title>Ada Lovelace | Site</title><script type="application/ld+json">{"@graph": [{"@type": "Person", "name": "Mira Patel"}, {"@type": "Article", "author": {"@type": ["Person"], "givenName": "Alan", "familyName": "Turing"}}]}</script>
-</head><body><div style="display: none">hidden</div><label for="e">E-mail</label><input id="e" type="email" value="a@b.co"><a rel="author" href="/in/grace-hopper">Grace Hopper</a><div><span></span></div></body></html>"""
+PAGE = """<html><head><title>Una Brook | Site</title><script type="application/ld+json">{"@graph": [{"@type": "Person", "name": "Pia Roth"}, {"@type": "Article", "author": {"@type": ["Person"], "givenName": "Otto", "familyName": "Lind"}}]}</script>
+</head><body><div style="display: none">hidden</div><label for="e">E-mail</label><input id="e" type="email" value="a@b.co"><a rel="author" href="/in/sif-dahl">Sif Dahl</a><div><span></span></div></body></html>"""
 
 
 def test_html(spark):
@@ -84,7 +84,7 @@ def test_html(spark):
     assert rows[3]["aria_label"] == "E-mail" and rows[3]["role"] == "textbox" and rows[3]["selector"] == "#e" and rows[4]["xpath"] == "/html[1]/body[1]/a[1]"
     assert html.flatten(None) == [] and html.flatten("<p") == []
     pages = spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")
-    assert {r.name for r in dom.identities(pages).collect()} == {"Mira Patel", "Ada Lovelace", "Alan Turing", "Grace Hopper"}
+    assert {r.name for r in dom.identities(pages).collect()} == {"Pia Roth", "Una Brook", "Otto Lind", "Sif Dahl"}
     clean = {r.tag: r for r in dom.redact_nodes(html.nodes(pages)).collect()}
     assert clean["input"].value == "[REDACTED_EMAIL]" and clean["a"].href == "/in/[REDACTED_NAME]"
 
@@ -186,6 +186,32 @@ def test_large_pages_use_contractions(spark, monkeypatch):
 
 
 def test_compaction_of_lists(spark):
-    rows = [("p", k, None, 0, "div", f"t{k}") for k in range(40)] + [("p", 100 + k, k, 1, "div", "x") for k in (3, 38)]
+    rows = [("p", 10 * k, None, 0, "div", f"t{k}") for k in range(40)] + [("p", 10 * k + 1, 10 * k, 1, "div", "x") for k in (3, 38)]
     got = {r.node_id for r in dom.compact(spark.createDataFrame(rows, "page_id string, node_id int, parent_id int, depth int, tag string, text string")).collect()}
-    assert got == {*range(35), 103}
+    assert got == {*range(0, 350, 10), 31}
+
+
+PROFILE = """<html><head><title>Lena Ortiz | Team</title><meta content="Ivo Marin" name="author">
+<script type="application/ld+json">{"@graph": [{"@type": ["Thing", "Person"], "name": "Noor Haddad", "givenName": "Noor", "familyName": "El Haddad"}, {"@type": "Article", "author": {"@type": "Person", "name": "Tomas Berg"}}]}</script>
+<script type="application/ld+json">{broken</script></head><body><a rel="author" href="/u/x">Ada Quist</a><p class="bio p-name">Rui Costa</p><p>Not Marked</p><span itemprop="name">Search</span></body></html>"""
+
+
+def test_identities_of_a_page(spark):
+    pages = spark.createDataFrame([(1, PROFILE), (2, None), (3, "<p>nobody</p>")], "page_id long, html string")
+    assert {(r.page_id, r.name) for r in dom.identities(pages).collect()} == {(1, n) for n in ("Lena Ortiz", "Ivo Marin", "Noor Haddad", "Noor El Haddad", "Tomas Berg", "Ada Quist", "Rui Costa")}
+
+
+def test_page_nodes_by_hand(spark):
+    page = '<body><div id="a"><label for="m">Mail</label><input id="m" name="mail" value="x@y.zz"><p></p></div><ul><li>one<li>two</ul><button aria-labelledby="t">Go</button><b id="t">Start</b></body>'
+    rows = [(n["tag"], n["role"], n["aria_label"], n["text"], n["interactive"], n["n_children"], n["selector"]) for n in html.flatten(page)]
+    assert rows == [
+        ("body", None, None, None, False, 4, "body:nth-of-type(1)"), ("div", None, None, None, False, 2, "#a"), ("label", None, None, "Mail", True, 0, "#a > label:nth-of-type(1)"), ("input", "textbox", "Mail", "x@y.zz", True, 0, "#m"),
+        ("ul", "list", None, None, False, 2, "body:nth-of-type(1) > ul:nth-of-type(1)"), ("li", "listitem", None, "one", False, 0, "body:nth-of-type(1) > ul:nth-of-type(1) > li:nth-of-type(1)"), ("li", "listitem", None, "two", False, 0, "body:nth-of-type(1) > ul:nth-of-type(1) > li:nth-of-type(2)"),
+        ("button", "button", "Start", "Go", True, 0, "body:nth-of-type(1) > button:nth-of-type(1)"), ("b", None, None, "Start", False, 0, "#t"),
+    ]
+    nodes = html.nodes(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    assert [r.tag for r in dom.flat_skeleton(nodes).orderBy("node_id").collect()] == ["label", "input", "li", "li", "button", "b"]
+    clean = {r.node_id: (r.category, r.text, r.value) for r in dom.redact_nodes(nodes).collect()}
+    assert clean[3] == ("email", "[REDACTED_EMAIL]", "[REDACTED_EMAIL]") and clean[5] == (None, "one", None)
+    kept = {r.tag for r in dom.compact(nodes.withColumn("depth", F.col("depth") - 1)).collect()}
+    assert kept == {"body", "div", "label", "input", "ul", "li", "button", "b"}
