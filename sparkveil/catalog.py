@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import boxes, dom, metrics, plan_text, planning, redaction, regions, rules, state
+from .operators import boxes, dom, metrics, pictures, plan_text, planning, redaction, regions, rules, state
 from .streaming import queries as streams
 
-MODULES = [redaction, rules, regions, boxes, metrics, state, dom, plan_text, planning, streams]
+MODULES = [redaction, rules, regions, boxes, metrics, state, dom, plan_text, planning, pictures, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

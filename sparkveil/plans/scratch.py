@@ -8,6 +8,8 @@ Iterative operators cut their lineage by writing a table to the folder named by
 from __future__ import annotations
 
 import atexit
+import gc
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="sparkveil-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
     return f"file://{made}"
 
@@ -37,6 +40,11 @@ def write(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def own(spark: SparkSession, path: str) -> None:
+    """Have a folder that something else has written removed at exit."""
+    _written.append((spark, path))
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a table that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -53,3 +61,9 @@ def _clean() -> None:
                 drop(spark, path)
         except Exception:  # the session has ended: its owner cleans the shared folder
             return
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

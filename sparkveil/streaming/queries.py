@@ -15,6 +15,7 @@ def _run(spark: SparkSession, sf_dir: str, make) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     base = f"{scratch.shared_dir(spark).rstrip('/')}/sparkveil-stream-{uuid.uuid4().hex}"
+    scratch.own(spark, base)
     out = make(source)
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
