@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next stage gets
 it written as Parquet and read again.  All but the last return the columns of
 ``documents``.
+
+Edge cases, alike in all stages: an empty table stays empty; columns that a stage does not need
+pass through, whatever their names; rows are told apart by doc_id and text, so a repeated doc_id
+is no repeated document.  What each stage does with nulls, empty and long texts, ties and repeated
+rows is said with it.
 """
 
 from __future__ import annotations
@@ -15,27 +20,37 @@ from sparkveil.plans import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels outside its held-out fold, accepts."""
+    """Documents that the classifier, trained on the labels outside its held-out fold, accepts (score 0.5 or more).
+
+    Null and empty texts get the score of no features; repeated rows are judged alike; long texts whole.
+    """
     return op1_quality.keep_good(docs, op1_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each component of near copies, by the SimHash contract's links (4 words, 4 of 64 bits)."""
+    """The least document of each component of near copies, by the SimHash contract's links (4 words, 4 of 64 bits).
+
+    Null and word-less texts are copies of each other; of equal ids the least text digest stays, null ids come last; rows
+    equal in id and text are one.
+    """
     return op10_simhash.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark windows: spans go, mostly contaminated documents go whole."""
+    """Documents without benchmark windows: spans go, mostly contaminated documents go whole (more than half of the words hit).
+
+    Null and word-less texts stay as they are; repeated rows are treated alike; items without an id count.
+    """
     return op4_decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by marks."""
+    """All documents, secrets replaced by marks; null texts stay null, overlapping secrets become one mark."""
     return op9_secrets.clean(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the token ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the token ids of every row; null texts have none."""
     return op2_bpe.encode(docs, keep_ids=True)
 
 
