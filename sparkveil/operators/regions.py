@@ -204,6 +204,18 @@ def face_heading_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", F.col("a_ord").alias("face"), F.col("b_ord").alias("heading"), (F.floor(G.gap(xywh("a_"), xywh("b_")) * 10000 + 0.5) / 10000).alias("gap"))
 
 
+def face_names(faces: DataFrame, headings: DataFrame, distance: int = 160) -> DataFrame:
+    """(page, face, heading, name): headings near a face whose text can be a person's name."""
+    near = within(faces.select("page", "ord", *"xywh"), headings.select("page", "ord", *"xywh", "text"), distance)
+    return near.where(X.is_personal_name(F.col("b_text"))).select("page", F.col("a_ord").alias("face"), F.col("b_ord").alias("heading"), F.trim("b_text").alias("name"))
+
+
+def face_heading_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = boxes(spark, sf_dir)
+    text = F.element_at(F.array(*map(F.lit, (" Lena de Ortiz ", "Sign In", "lena ortiz", "Noor Haddad"))), (F.col("ord") % 4 + 1).cast("int"))
+    return face_names(every.where("source = 'face'"), every.where("source <> 'face'").withColumn("text", text), 25)
+
+
 def node_region_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every dom box the best overlapping region of another source: by redaction priority, then confidence."""
     every = boxes(spark, sf_dir)
@@ -245,7 +257,7 @@ _ROOTS = _PAIR.replace("b AS (", "RECURSIVE b AS (", 1) + """, g AS (SELECT page
     c AS (SELECT page, u AS ord, min(v) AS root FROM r GROUP BY page, u)"""
 _RANK = lambda e, order: "CASE " + e + " " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(order, 1)) + f" ELSE {len(order) + 1} END"
 _GAP = "sqrt(CAST(power(greatest(0, a.x - (c.x + c.w), c.x - (a.x + a.w)), 2) + power(greatest(0, a.y - (c.y + c.h), c.y - (a.y + a.h)), 2) AS DOUBLE))"
-QUERIES = {f.__name__: f for f in (bbox_pair_metrics, region_merge_edges, region_components, region_cluster_merge, region_merge_fixpoint, nms_boxes, face_heading_distance, node_region_best, dedupe_keep_first, reading_order, region_union)}
+QUERIES = {f.__name__: f for f in (bbox_pair_metrics, region_merge_edges, region_components, region_cluster_merge, region_merge_fixpoint, nms_boxes, face_heading_distance, face_heading_names, node_region_best, dedupe_keep_first, reading_order, region_union)}
 
 
 def _rounds(n: int) -> str:
@@ -275,6 +287,7 @@ ORACLE = {
         arg_min(category, ({_RANK('category', P.MERGE_PRIORITY)}) * 100 + ord) AS category, string_agg(DISTINCT source, '+' ORDER BY {_RANK('source', P.SOURCE_ORDER)}) AS source,
         floor(max(pct / 100.0) * 10000 + 0.5) / 10000 AS confidence, count(*) AS members FROM k GROUP BY page, root""".replace("string_agg(DISTINCT source, '+' ORDER BY " + _RANK("source", P.SOURCE_ORDER) + ")", "concat_ws('+', max(source) FILTER (source = 'dom'), max(source) FILTER (source = 'ocr'), max(source) FILTER (source = 'face'))"),
     "face_heading_distance": f"WITH {_BOX} SELECT a.page, a.ord AS face, c.ord AS heading, floor({_GAP} * 10000 + 0.5) / 10000 AS gap FROM b a JOIN b c ON a.page = c.page AND a.ord <> c.ord WHERE a.source = 'face' AND c.w > 40 AND {_GAP} <= 20",
+    "face_heading_names": f"WITH {_BOX} SELECT a.page, a.ord AS face, c.ord AS heading, CASE c.ord % 4 WHEN 0 THEN 'Lena de Ortiz' ELSE 'Noor Haddad' END AS name FROM b a JOIN b c ON a.page = c.page WHERE a.source = 'face' AND c.source <> 'face' AND c.ord % 4 IN (0, 3) AND {_GAP} <= 25",
     "node_region_best": f"""WITH {_BOX}, m AS (SELECT a.page, a.ord, c.ord AS region, c.category, row_number() OVER (PARTITION BY a.page, a.ord ORDER BY {_RANK('c.category', P.REDACTION_PRIORITY)}, c.pct DESC, c.ord) AS k
         FROM b a JOIN b c ON a.page = c.page WHERE a.source = 'dom' AND c.source <> 'dom' AND least(a.x + a.w, c.x + c.w) > greatest(a.x, c.x) AND least(a.y + a.h, c.y + c.h) > greatest(a.y, c.y))
         SELECT b.page, b.ord, m.region, m.category, '[REDACTED_' || upper(m.category) || ']' AS token FROM b LEFT JOIN m ON b.page = m.page AND b.ord = m.ord AND m.k = 1 WHERE b.source = 'dom'""",
