@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._common import fitting_sample, labelled_sample, map_slices, remainder, table
 
 BITS = 20
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import map_slices, table
 
 CHUNK_BITS = 9
-WORDS_KEPT, CHUNK_BYTES_KEPT = 300_000, 64_000_000
+WORDS_KEPT, CHUNK_BYTES_KEPT = 100_000, 16_000_000
 #: Words of these characters only are normalised by lower-casing alone, and then split by _PIECE as the pre-tokeniser does.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._common import fitting_sample, labelled_sample, map_slices, remainder, table
 
 BITS = 20
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: One in so many sampled documents sets the threshold instead of the weights.
 CHECKED = 5
 FALSE_ALARM = 3
