@@ -392,7 +392,9 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     blocks, buckets = max(24, -(-(size.bytes or 0) // BLOCK_BYTES)), max(24, -(-(size.bytes or 0) // BUCKET_BYTES))
     packed = pack(docs, _blocks(docs, size.n, blocks, size.null_bytes or 0))
     anchors, _ = scratch.write(answer_anchors(ask_anchors(packed, blocks, buckets), buckets))
+    scratch.release(docs.sparkSession)
     windows, _ = scratch.write(answer_windows(ask_windows(packed.unionAll(anchors), blocks, buckets), buckets))
+    scratch.release(docs.sparkSession)
     return remove(packed.unionAll(anchors).unionAll(windows), blocks, buckets, dict(docs.dtypes)["doc_id"], with_text)
 
 
