@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op2_bpe, op3_urls, op4_decontamination, op5_chat, op6_toxicity, op7_ann, op8_substring, op9_secrets, op10_simhash
+from . import op1_quality, op2_bpe, op3_urls, op4_decontamination, op5_chat, op6_toxicity, op7_ann, op8_substring, op9_secrets, op10_simhash, op11_fim, op12_token_counts, op13_repair
 
-MODULES = [op1_quality, op2_bpe, op3_urls, op4_decontamination, op5_chat, op6_toxicity, op7_ann, op8_substring, op9_secrets, op10_simhash]
+MODULES = [op1_quality, op2_bpe, op3_urls, op4_decontamination, op5_chat, op6_toxicity, op7_ann, op8_substring, op9_secrets, op10_simhash, op11_fim, op12_token_counts, op13_repair]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
