@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Tags without content, void tags, what makes a node interactive.
 SKIPPED = frozenset(("script", "style", "noscript", "template", "head", "meta", "link"))
@@ -31,23 +32,27 @@ _CLEAR = re.compile(r"(?:^|;)opacity:(?:0(?:\.0*)?|\.0+)(?:;|!|$)")
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "parts", "depth", "nth", "counts", "hidden")
+    __slots__ = ("tag", "attrs", "parent", "children", "parts", "depth", "nth", "counts", "hidden", "place", "order")
 
     def __init__(self, tag: str, attrs: dict, parent: _Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children, self.parts = tag, attrs, parent, [], []
         self.depth = parent.depth + 1 if parent else 0
         self.counts: dict[str, int] = {}
-        self.nth = 1
+        self.nth = self.place = 1
+        self.order: list[_Node | str] = []
         style = (attrs.get("style") or "").replace(" ", "").lower()
         self.hidden = tag in SKIPPED or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style or _CLEAR.search(style) is not None or bool(parent and (parent.hidden or (parent.tag == "details" and tag != "summary" and "open" not in parent.attrs)))
         if parent:
             self.nth = parent.counts[tag] = parent.counts.get(tag, 0) + 1
             parent.children.append(self)
+            self.place = len(parent.children)
+            parent.order.append(self)
 
 
 class _Tree(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, keep_text: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.keep_text = keep_text
         self.root = self.at = _Node("#document", {}, None)
 
     def handle_starttag(self, tag, attrs):
@@ -67,6 +72,8 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         if data.strip():
             self.at.parts.append(data)
+        if self.keep_text:
+            self.at.order.append(data)
 
 
 def role_of(tag: str, attrs: dict) -> str | None:
@@ -165,3 +172,53 @@ def nodes(pages: DataFrame, selectors: bool = True) -> DataFrame:
 
     schema = f"page_id {kind}, node_id int, parent_id int, depth int, n_children int, interactive boolean, " + ", ".join(f"{c} string" for c in FIELDS)
     return pages.select("page_id", "html").mapInArrow(run, schema)
+
+
+ELEMENT_FIELDS = "pre int, last int, parent int, tag string, id string, classes array<string>, attrs map<string,string>, nth int, nth_of_type int, siblings int, siblings_of_type int, text_from int, text_to int, text string"
+
+
+def numbered(html: str | None) -> list[dict]:
+    """Every element of a page, hidden ones too, as intervals: its number in document order and the last number inside it.
+
+    Number 0 is the document, which holds the page's whole text; an element's text is a piece of it (``text_from``, ``text_to``).
+    """
+    tree = _Tree(keep_text=True)
+    tree.feed(html or "")
+    tree.close()
+    rows: list[dict] = []
+    text: list[str] = []
+    chars = 0
+    stack: list[tuple[_Node | str | dict, int]] = [(tree.root, 0)]
+    while stack:
+        item, parent = stack.pop()
+        if isinstance(item, str):
+            text.append(item)
+            chars += len(item)
+        elif isinstance(item, dict):  # the end of an element
+            item["last"], item["text_to"] = len(rows) - 1, chars
+        else:
+            siblings, alike = (len(item.parent.children), item.parent.counts[item.tag]) if item.parent else (1, 1)
+            a = {k: v or "" for k, v in item.attrs.items()}
+            row = {"pre": len(rows), "parent": parent if rows else None, "tag": item.tag, "id": a.get("id"), "classes": a.get("class", "").split(), "attrs": list(a.items()), "nth": item.place, "nth_of_type": item.nth, "siblings": siblings, "siblings_of_type": alike, "text_from": chars, "text": None}
+            rows.append(row)
+            stack.append((row, 0))
+            stack += [(inner, row["pre"]) for inner in reversed(item.order)]
+    rows[0]["text"] = "".join(text)
+    return rows
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """Numbered elements of pages(page_id, html)."""
+    kind = dict(pages.dtypes)["page_id"]
+    fields = f"page_id {kind}, {ELEMENT_FIELDS}"
+    schema = to_arrow_schema(pages.sparkSession.createDataFrame([], fields).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                out = [{"page_id": p, **r} for p, h in zip(part.column("page_id").to_pylist(), part.column("html").to_pylist(), strict=True) for r in numbered(h)]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+
+    return pages.select("page_id", "html").mapInArrow(run, fields)
