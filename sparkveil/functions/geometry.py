@@ -87,21 +87,27 @@ def gap(a: tuple, b: tuple) -> Column:
     return F.sqrt((dx * dx + dy * dy).cast("double"))
 
 
-def centre(b: Column, vw, vh, scale=1.0, image_w=None, image_h=None) -> Column:
-    """A target's centre in the viewport: the box may be relative, in thousandths, scaled or in image pixels."""
-    x, y, right, low = b.x + b.w / 2, b.y + b.h / 2, b.x + b.w, b.y + b.h
-    vw, vh = F.lit(float(vw)), F.lit(float(vh))
-    unit = (right <= 1) & (low <= 1)
-    fits_scaled = (right <= vw * scale * 1.15) & (low <= vh * scale * 1.15)
-    px = F.when(unit, x * vw).when(fits_scaled & F.lit(scale < 1), x / scale)
-    py = F.when(unit, y * vh).when(fits_scaled & F.lit(scale < 1), y / scale)
-    if image_w and image_h:
-        inside = (right <= image_w) & (low <= image_h)
-        px, py = px.when(inside, x * vw / image_w), py.when(inside, y * vh / image_h)
-    thousand = (right <= 1000) & (low <= 1000) & ((right > vw) | (low > vh))
-    px, py = px.when(thousand, x * vw / 1000).otherwise(x), py.when(thousand, y * vh / 1000).otherwise(y)
-    zero = F.lit(0.0)
-    return F.struct(F.least(F.greatest(px, zero), vw).alias("x"), F.least(F.greatest(py, zero), vh).alias("y"))
+def centre(b: Column, vw, vh, scale=0.0, image_w=0.0, image_h=0.0, space=None) -> Column:
+    """A target's centre in whole pixels of the viewport (P7); the first that holds of the centre decides.
+
+    Both parts in (0, 1]: shares.  Space ``norm1000``, or ``1000`` with both at most 1000: thousandths.  A scale under one, within the
+    scaled viewport and 15 %: scaled.  An image of another size (by more than 5), within it and 10 pixels: image pixels.  Else pixels.
+    Scaled, image and plain pixels are kept inside the viewport.
+    """
+    x, y = b.x + b.w / 2, b.y + b.h / 2
+    number = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    vw, vh, scale, image_w, image_h = map(number, (vw, vh, scale, image_w, image_h))
+    space = space if isinstance(space, Column) else F.lit(space)
+    shares = (x > 0) & (x <= 1) & (y > 0) & (y <= 1)
+    thousandths = F.coalesce((space == "norm1000") | ((space == "1000") & (x <= 1000) & (y <= 1000)), F.lit(False))
+    scaled = (scale > 0) & (scale < 1) & (x <= vw * scale * 1.15) & (y <= vh * scale * 1.15)
+    other = (image_w > 0) & (image_h > 0) & ((F.abs(image_w - vw) > 5) | (F.abs(image_h - vh) > 5)) & (x <= image_w + 10) & (y <= image_h + 10)
+
+    def along(v: Column, size: Column, image: Column) -> Column:
+        kept = lambda c: F.greatest(F.lit(0.0), F.least(half_up(c).cast("double"), size - 1))
+        return F.when(shares, half_up(v * size)).when(thousandths, half_up(v / 1000 * size)).when(scaled, kept(v / F.nullif(scale, F.lit(0.0)))).when(other, kept(v * (size / F.nullif(image, F.lit(0.0))))).otherwise(kept(v)).cast("double")
+
+    return F.struct(along(x, vw, image_w).alias("x"), along(y, vh, image_h).alias("y"))
 
 
 _PARTS = ("x", "y", "w", "h", "left", "top", "width", "height", "x0", "y0", "x1", "y1")

@@ -121,6 +121,16 @@ def test_images():
     page = np.full((20, 40, 4), 255, np.uint8)
     page[3:6, 5:30, :3] = page[12:15, 8:20, :3] = 0
     assert I.text_lines(page) == [(5, 3, 25, 3), (8, 12, 12, 3)]
+    page[3:6, 14:20, :3] = 255  # a gap of six columns is none
+    assert I.text_lines(page)[0] == (5, 3, 25, 3)
+    page[3:6, 14:23, :3] = 255  # nine are
+    assert I.text_lines(page)[:2] == [(5, 3, 9, 3), (23, 3, 7, 3)]
+    page[7:9, 5:30, :3] = 0  # two rows are no line
+    assert len(I.text_lines(page)) == 3
+    assert I.text_lines(255 - page) == I.text_lines(page)  # light on dark
+    faint = np.full((20, 40, 4), 250, np.uint8)
+    faint[3:9, 5:30, :3] = 220
+    assert I.text_lines(faint) == [] and I.text_lines(np.where(faint == 220, 210, faint).astype(np.uint8)) == [(5, 3, 25, 6)]
     assert I.resize(image, 15).shape[:2] == (10, 15) and I.tensor(image, 8).shape == (3, 8, 8)
 
 
@@ -168,6 +178,26 @@ def test_faces_and_ui_proposals():
     assert (11, 21, 20, 20, "icon") in [f[:5] for f in found] and all(0.65 <= f[5] <= 0.96 for f in found)
 
 
+def test_large_areas_stop_at_their_number_of_cells():
+    """The extent of an area over the cap follows from the order of steps: up first, then down, left, right."""
+    field = I._Field(30, 30)
+    assert field.area(10, 10, np.ones((30, 30), bool), 11) == (10, 0, 1, 11, 11)  # up to the border
+    assert not field.free[11, 12] and field.free[12, 12]  # beside the column: reached, so taken; further: not
+    skin = np.full((200, 200, 4), 255, np.uint8)
+    skin[:, :, :3] = (200, 150, 120)
+    assert I.faces(skin) == [(0, 0, 149, 200, 0.82)]  # 15,000 cells of a picture that is all skin
+
+
+def test_centres(spark):
+    box = lambda *v: F.struct(*[F.lit(float(x)).alias(c) for x, c in zip(v, "xywh", strict=True)])
+    cases = [
+        ((995, 10, 200, 10), {}, (1023, 15)), ((0.1, 0.1, 0.2, 0.2), {}, (205, 154)), ((100, 100, 20, 20), {"space": "norm1000"}, (113, 84)), ((1200, 10, 0, 0), {"space": "1000"}, (1023, 10)), ((1200, 10, 0, 0), {"space": "norm1000"}, (1229, 8)),
+        ((100, 50, 20, 20), {"scale": 0.5}, (220, 120)), ((600, 50, 20, 20), {"scale": 0.5}, (610, 60)), ((1000, 500, 20, 20), {"image_w": 2048, "image_h": 1536}, (505, 255)), ((1000, 500, 20, 20), {"image_w": 1020, "image_h": 770}, (1010, 510)), ((-50, -9, 10, 2), {}, (0, 0)),
+    ]
+    got = spark.range(1).select(*[G.centre(box(*b), 1024, 768, **o).alias(f"c{k}") for k, (b, o, _) in enumerate(cases)]).first()
+    assert [(got[k].x, got[k].y) for k in range(len(cases))] == [want for *_, want in cases]
+
+
 def test_region_overrides_and_recogniser(spark):
     row = spark.createDataFrame([("input", "tel")], "tag string, type string").select("*", *[F.lit(None).cast("string").alias(c) for c in ("autocomplete", "name", "id", "aria_label", "placeholder", "text", "value", "data_pii_type")], F.lit(0).alias("n_children"))
     assert row.select(rules.sensitivity(overrides={"type_tel": "contact"}).alias("s")).first().s.category == "contact"
