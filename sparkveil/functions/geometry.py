@@ -113,14 +113,24 @@ def centre(b: Column, vw, vh, scale=0.0, image_w=0.0, image_h=0.0, space=None) -
 _PARTS = ("x", "y", "w", "h", "left", "top", "width", "height", "x0", "y0", "x1", "y1")
 
 
+def parsed_box(j: Column) -> Column:
+    """struct(many, one) of a box as JSON: its numbers if it is a list, its known fields if it is an object."""
+    return F.struct(F.from_json(F.when(F.startswith(F.trim(j), F.lit("[")), j), "array<double>").alias("many"), F.from_json(F.when(F.startswith(F.trim(j), F.lit("{")), j), ", ".join(f"{p} double" for p in _PARTS)).alias("one"))
+
+
 def box_from_json(j: Column, style: str = "merge") -> Column:
-    """struct(x, y, w, h) of doubles from a box as JSON: a list, or an object by corner and size, by edges, or by two corners.
+    """``box_of`` of a box as JSON."""
+    return box_of(parsed_box(j), style)
+
+
+def box_of(parsed: Column, style: str = "merge") -> Column:
+    """struct(x, y, w, h) of doubles from a parsed box: a list, or an object by corner and size, by edges, or by two corners.
 
     merge (P1): rounded, sizes at least zero, null if it is no box.  dom (P1b): as it is, zeros if it is no box, no two corners.
     ocr (P1c): rounded, lists of exactly four, zeros if it is no box.  server (P1e): as it is, short lists are filled up, far off the page is null.
     """
-    is_list, is_object = F.startswith(F.trim(j), F.lit("[")), F.startswith(F.trim(j), F.lit("{"))
-    many, one = F.from_json(F.when(is_list, j), "array<double>"), F.from_json(F.when(is_object, j), ", ".join(f"{p} double" for p in _PARTS))
+    many, one = parsed["many"], parsed["one"]
+    is_list, is_object = many.isNotNull(), one.isNotNull()
     get = lambda *names: F.coalesce(*[one[n] for n in names], F.lit(0.0))
     at = lambda k: F.coalesce(F.get(many, k), F.lit(0.0))
     box_ = lambda parts: F.struct(*[p.alias(n) for p, n in zip(parts, "xywh", strict=True)])

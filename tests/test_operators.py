@@ -245,3 +245,16 @@ def test_page_nodes_by_hand(spark):
     assert clean[3] == ("email", "[REDACTED_EMAIL]", "[REDACTED_EMAIL]") and clean[5] == (None, "one", None)
     kept = {r.tag for r in dom.compact(nodes.withColumn("depth", F.col("depth") - 1)).collect()}
     assert kept == {"body", "div", "label", "input", "ul", "li", "button", "b"}
+
+
+def test_plans_of_answers(spark):
+    """The shapes of answers and their quirks: names that are there but null, empty values, elements, boxes off the page."""
+    cases = {
+        '{"type": null, "action": "click", "text": "t"}': (["type - t -"], False, 0.9), '{"action": "", "url": "/u"}': (["navigate - /u -"], False, 0.9), '{"actions": [{"text": ""}, {"selector": ""}, "x", 5]}': ([], False, 1.0),
+        '{"actions": {"type": "click"}, "confidence": 0.2}': ([], False, 0.2), '{"tag": "BUTTON", "text": "go", "target_element_id": "e"}': (["click #e e -"], False, 0.85), '{"tag": "textarea", "selector": "#t", "text": "go"}': (["type #t go -"], False, 0.85),
+        '{"id": "", "target_bbox": [5, 6]}': (["click - - 5,6,0,0"], False, 0.85), '[{"bbox": [1, -200, 3, 4]}, {"secretKey": "k"}, {"type": "Done"}]': (["fill_secret - k -", "Done - - -"], True, 0.9), '{"task_complete": true}': ([], True, 1.0), "5": None, "nothing": None, None: None,
+    }
+    rows = spark.createDataFrame([(k, a) for k, a in enumerate(cases)], "k int, answer string")
+    for r, want in zip(plan_text.plans(rows).orderBy("k").collect(), cases.values(), strict=True):
+        shown = None if r.p is None else ([" ".join([a.type, a.target_selector or "-", a.target_element_id or a.secret_key or a.url or a.text or "-", ",".join(str(int(v)) for v in a.target_bbox) if a.target_bbox else "-"]) for a in r.p.actions], r.p.task_complete, r.p.confidence)
+        assert shown == want, (r.answer, shown, want)
