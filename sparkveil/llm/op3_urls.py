@@ -87,23 +87,41 @@ def resolved(link: Column, url: Column) -> Column:
     )
 
 
+# The parts of a page, the first that fits at a place: comments, elements whose content is no markup, tags.  Quotes count after "=" only.
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+"""
+_RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes"
+_PART = rf"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<({_RAW})(?=[\s/>]){_REST}>.*?(?:</\1(?=[\s/>])|\z)|</?[a-z]{_REST}>"
+_ATTRIBUTE = r"""(?s)[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
+
+
+def attributes(tag: Column) -> Column:
+    """A tag's attributes, split once, as (name, value); of two of one name the first counts."""
+    inner = F.regexp_extract(tag, r"(?s)^</?[A-Za-z][^\s/>]*(.*)>$", 1)
+
+    def one(text: Column) -> Column:
+        value = F.regexp_extract(text, r"(?s)=\s*(.*)$", 1)
+        quoted = F.left(value, F.lit(1)).isin('"', "'")
+        value = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return F.struct(F.lower(F.regexp_extract(text, r"^([^\s/>=]+)", 1)).alias("name"), F.trim(F.replace(value, F.lit("&amp;"), F.lit("&"))).alias("value"))
+
+    return F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(0)), one)
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """The value of a tag's attribute, in double, single or no quotes; empty if it has none."""
-    pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    value = F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
-    return F.trim(F.replace(value, F.lit("&amp;"), F.lit("&")))
+    """The value of an attribute of (tag, attributes); empty if it has none."""
+    return F.coalesce(F.get(F.filter(tag["own"], lambda a: a["name"] == name), 0)["value"], F.lit(""))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): url identities joined by canonical links and refresh redirects of the pages."""
+    """(a, b): url identities joined by canonical links and refresh redirects of the pages; comments, scripts and attribute values hold none."""
     html, url = F.col("html"), F.col("url")
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"), F.lit(0))
-    is_tag = lambda t, name: t.rlike(rf"(?i)^<{name}\b")
+    wanted = F.filter(F.regexp_extract_all(html, F.lit(_PART), F.lit(0)), lambda t: t.rlike(r"(?i)^<(?:link|meta|base)[\s/>]"))
+    is_tag = lambda t, name: t["tag"].rlike(rf"(?i)^<{name}[\s/>]")
     canonical = F.transform(F.filter("tags", lambda t: is_tag(t, "link") & attribute(t, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")), lambda t: attribute(t, "href"))
     to = lambda t: F.regexp_extract(attribute(t, "content"), r"(?is)(?:^|[;,\s])url\s*=\s*[\"']?\s*([^\"'\s]+)", 1)
     refresh = F.transform(F.filter("tags", lambda t: is_tag(t, "meta") & (F.lower(attribute(t, "http-equiv")) == "refresh")), to)
     base = F.get(F.filter(F.transform(F.filter("tags", lambda t: is_tag(t, "base")), lambda t: attribute(t, "href")), lambda h: h != ""), 0)
-    found = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select("url", tags.alias("tags"))
+    found = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(F.array(F.transform(wanted, lambda t: F.struct(t.alias("tag"), attributes(t).alias("own"))))).alias("tags"))
     found = found.select("url", base.alias("base"), F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("link"))
     found = found.select("url", F.coalesce(resolved(F.col("base"), url), url).alias("from"), "link")
     edges = found.select(node_of(url).alias("a"), node_of(resolved(F.col("link"), F.col("from"))).alias("b"))
@@ -143,14 +161,14 @@ WITH RECURSIVE p AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)?', 1) AS query FROM pages),
 tags AS (SELECT host, path, host || CASE WHEN path = '' THEN '/' ELSE path END || query AS a,
-         unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM p WHERE abs),
+         unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script|<style\b.*?</style|<title\b.*?</title|<textarea\b.*?</textarea', '', 'g'), '(?is)<[a-z](?:[^>=]|=\s*"[^"]*"|=\s*''[^'']*''|=)*>')) AS tag FROM p WHERE abs),
 parts AS (SELECT host, path, a, tag,
-         regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS rel,
-         regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS href,
-         regexp_extract(tag, '(?is)[\s"''/]http-equiv\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS equiv,
-         regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS content FROM tags),
+         regexp_extract(tag, '(?is)^<[^\s/>]+(?:[\s/]+[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"'']+))?)*?[\s/]+rel\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS rel,
+         regexp_extract(tag, '(?is)^<[^\s/>]+(?:[\s/]+[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"'']+))?)*?[\s/]+href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS href,
+         regexp_extract(tag, '(?is)^<[^\s/>]+(?:[\s/]+[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"'']+))?)*?[\s/]+http-equiv\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS equiv,
+         regexp_extract(tag, '(?is)^<[^\s/>]+(?:[\s/]+[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"'']+))?)*?[\s/]+content\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS content FROM tags),
 l AS (SELECT host, path, a, trim(replace(CASE WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(string_split_regex(lower(trim(rel, chr(34) || chr(39))), '\s+'), 'canonical') THEN trim(href, chr(34) || chr(39))
-        WHEN regexp_matches(tag, '(?i)^<meta') AND lower(trim(equiv, '"'' ')) = 'refresh' THEN regexp_extract(content, '(?is)[;,\s"'']url\s*=\s*["'']?\s*([^"''\s]+)', 1) ELSE '' END, '&amp;', '&')) AS link FROM parts),
+        WHEN regexp_matches(tag, '(?i)^<meta') AND lower(trim(equiv, '"'' ')) = 'refresh' THEN regexp_extract(trim(content, chr(34) || chr(39)), '(?is)(?:^|[;,\s])url\s*=\s*["'']?\s*([^"''\s]+)', 1) ELSE '' END, '&amp;', '&')) AS link FROM parts),
 t AS (SELECT a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN link LIKE '//%' THEN 'http:' || link
       WHEN link LIKE '/%' THEN 'http://' || host || link WHEN link = '' OR link LIKE '#%' OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
       WHEN link LIKE '?%' THEN 'http://' || host || path || link
