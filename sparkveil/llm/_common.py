@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from sparkveil.plans import scratch
+
 #: Texts are handed to an operator's kernel in slices of at most this many rows and characters (one text may be longer).
 SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
 
@@ -32,15 +34,16 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 
 
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over slices of a frame that has a ``text`` column; ``make`` builds the kernel once a task."""
+    """``mapInArrow`` over slices of a frame that has a ``text`` column; ``make`` builds the kernel once a task.  Columns may have any names."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch.rename_columns(names)):
                 yield kernel(part)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)
 
 
 def remainder(id_col: str, modulus: int):
@@ -59,18 +62,42 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, held: int, limi
     return rows.withColumn("place", F.xxhash64("sample_id")).orderBy("place", "sample_id").limit(limit)
 
 
-def fitting_sample(docs: DataFrame, chosen: DataFrame, most_bytes: int) -> DataFrame:
-    """The first rows of a labelled sample, in its order, whose whole texts have at most ``most_bytes`` together.
+class Replayed:
+    """Rows of a bounded sample, decoded, in order of ``place`` and ``tie``, as often as they are asked for.
 
-    A document is in the sample whole or not at all; the driver sees one number a sampled document.
+    The rows are a table in the shared folder.  The first ones, of about ``memory`` bytes, stay with the driver after the first
+    pass; the others are read again, a partition at a time, so a sampled document may have any length and none is left out.
     """
-    sizes = docs.select(F.col("doc_id").alias("sample_id"), F.octet_length("text").alias("n")).join(F.broadcast(chosen), "sample_id")
-    rows = sizes.groupBy("sample_id", "label", "place").agg(F.sum("n").alias("n")).collect()
-    kept, total = [], 0
-    for r in sorted(rows, key=lambda r: (r.place, r.sample_id)):
-        total += r.n or 0
-        if total > most_bytes:
-            break
-        kept.append((r.sample_id, r.label, r.place))
-    fields = sizes.select("sample_id", "label", "place").schema
-    return docs.sparkSession.createDataFrame(kept, fields)
+
+    def __init__(self, rows: DataFrame, decode: Callable[[Row], object], memory: int = 48_000_000) -> None:
+        self.table, self._path = scratch.write(rows)
+        self.decode, self.memory = decode, memory
+        self.kept: list = []
+        self.last: int | None = None
+        self.whole = self.passed = False
+
+    def _read(self, rows: DataFrame) -> Iterator[Row]:
+        return rows.orderBy("place", "tie").toLocalIterator()
+
+    def __iter__(self) -> Iterator:
+        if self.passed:
+            yield from self.kept
+            if not self.whole:
+                yield from map(self.decode, self._read(self.table if self.last is None else self.table.where(F.col("place") > self.last)))
+            return
+        used, group, place, kept, full = 0, [], None, [], False
+        for row in self._read(self.table):
+            item = self.decode(row)
+            if row.place != place and group and not full:
+                kept += group
+                self.last, group = place, []
+            place = row.place
+            used += sum(len(v) for v in row if isinstance(v, (bytes, bytearray)))
+            full = full or used > self.memory
+            if not full:
+                group.append(item)
+            yield item
+        self.kept, self.whole, self.passed = kept if full else kept + group, not full, True
+
+    def drop(self) -> None:
+        scratch.drop(self.table.sparkSession, self._path)

@@ -9,9 +9,9 @@ follow-the-regularised-leader updates, one document at a time; scoring is a spar
 dot product: a gather from the broadcast weight vector (a fixed 4 * 2**BITS bytes).
 
 Training reads a sample of at most ``sample`` labelled documents (a documented
-bound: 6,000 by default, chosen by a hash of the id; fewer if their texts would exceed
-``sample_bytes``, 24 MB by default, which bounds what the driver receives), every one
-of them whole.  Scoring reads every whole text.
+bound: 6,000 by default, chosen by a hash of the id), every one of them whole and of any
+length: features are made in tasks, lie in the shared folder, and the driver reads them again each epoch, holding
+``memory`` bytes of them at most beside the part it is reading.  Scoring reads every whole text.
 
 Edge cases: null and empty texts have no features, so their score is the logistic
 of the bias; without labels of both classes every score is the (smoothed) share
@@ -22,6 +22,7 @@ table gives no rows; columns other than doc_id, text and the label are not read,
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fitting_sample, labelled_sample, map_slices, remainder, table
+from ._common import Replayed, labelled_sample, map_slices, remainder, table
 
 BITS = 20
 WORDS_KEPT = 200_000
@@ -132,9 +133,9 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, sample: int = 6000, epochs: int = 4, sample_bytes: int = 24_000_000) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, sample: int = 6000, epochs: int = 4, memory: int = 48_000_000) -> np.ndarray:
     """Weights (the bias last) from at most ``sample`` labelled documents outside the held-out fold."""
-    chosen = F.broadcast(fitting_sample(docs, labelled_sample(labels, label, modulus, held, sample), sample_bytes))
+    chosen = F.broadcast(labelled_sample(labels, label, modulus, held, sample))
 
     def make():
         features = Features()
@@ -143,24 +144,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
             out = []
             for text in part.column("text").to_pylist():
                 at, count = np.unique(features(text), return_counts=True)
-                out.append((at.astype("<i4").tobytes(), count.astype("<i4").tobytes(), int(count.sum())))
-            ats, counts, totals = zip(*out, strict=True)
-            return pa.record_batch([part.column("place"), part.column("label"), pa.array(ats, pa.binary()), pa.array(counts, pa.binary()), pa.array(totals, pa.int64())], names=["place", "label", "at", "n", "total"])
+                out.append((hashlib.md5((text or "").encode()).digest(), at.astype("<i4").tobytes(), count.astype("<i4").tobytes(), int(count.sum())))
+            ties, ats, counts, totals = zip(*out, strict=True)
+            return pa.record_batch([part.column("place"), part.column("label"), *(pa.array(c, pa.binary()) for c in (ties, ats, counts)), pa.array(totals, pa.int64())], names=["place", "label", "tie", "at", "n", "total"])
 
         return kernel
 
     rows = docs.select(F.col("doc_id").alias("sample_id"), "text").join(chosen, "sample_id").select("place", "label", "text")
-    found = map_slices(rows, make, "place long, label int, at binary, n binary, total long").toArrow().to_pylist()
-    found = [(x["label"], np.frombuffer(x["at"], "<i4").astype(np.int64), np.frombuffer(x["n"], "<i4") / max(1, x["total"]) ** 0.5) for x in sorted(found, key=lambda x: (x["place"], x["at"]))]
-    model = Ftrl(1 << BITS)
-    ones = sum(y for y, _, _ in found)
-    if ones in (0, len(found)):
+    found = Replayed(map_slices(rows, make, "place long, label int, tie binary, at binary, n binary, total long"), lambda x: (x.label, np.frombuffer(x.at, "<i4"), np.frombuffer(x.n, "<i4"), x.total), memory)
+    seen = found.table.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
+    if seen.ones in (0, seen.n):
         out = np.zeros((1 << BITS) + 1)
-        out[-1] = np.log((ones + 1) / (len(found) - ones + 1))
+        out[-1] = np.log((seen.ones + 1) / (seen.n - seen.ones + 1))
         return out.astype(np.float32)
+    model = Ftrl(1 << BITS)
     for _ in range(epochs):
-        for y, at, value in found:
-            model.update(at, value, y)
+        for y, at, count, total in found:
+            model.update(at.astype(np.int64), count / max(1, total) ** 0.5, y)
+    found.drop()
     return model.weights().astype(np.float32)
 
 

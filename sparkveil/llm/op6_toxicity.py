@@ -13,8 +13,8 @@ Weights are fitted by AdaGrad with an L2 pull, for features of at least
 stay at zero or above: only evidence for toxicity adds up, so a sentence cannot be
 excused by its common words.  One sampled document in ``CHECKED`` does not train the weights but
 sets the threshold, which is moved to a score of one half.  Training reads at most ``sample`` labelled
-documents (a documented bound: 6,000 by default, chosen by a hash of the id; fewer if their texts would
-exceed ``sample_bytes``, 24 MB by default), every one of them whole.  Scoring reads every whole text in one pass without a shuffle; the model is a
+documents (a documented bound: 6,000 by default, chosen by a hash of the id), every one of them whole and of any length:
+their words' hashes lie in the shared folder and the driver reads them again each epoch, holding those of ``memory`` bytes.  Scoring reads every whole text in one pass without a shuffle; the model is a
 fixed 4 * 2**BITS bytes or so.
 
 Edge cases: null and empty texts have no sentence; their score is that of a sentence
@@ -26,6 +26,7 @@ doc_id, text and the label are not read, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fitting_sample, labelled_sample, map_slices, remainder, table
+from ._common import Replayed, labelled_sample, map_slices, remainder, table
 
 BITS = 20
 WORDS_KEPT = 200_000
@@ -138,39 +139,49 @@ def document_score(weights: np.ndarray, z: np.ndarray) -> float:
     return float(_logistic(logit(noisy_or(z)) - weights[-2]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, sample: int = 6000, epochs: int = 12, rate: float = 0.5, l2: float = 1e-4, start: float = -6.0, least_docs: int = 6, sample_bytes: int = 24_000_000) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, sample: int = 6000, epochs: int = 12, rate: float = 0.5, l2: float = 1e-4, start: float = -6.0, least_docs: int = 6, memory: int = 48_000_000) -> np.ndarray:
     """Weights (the bias last) from at most ``sample`` labelled documents outside the held-out fold."""
-    chosen = F.broadcast(fitting_sample(docs, labelled_sample(labels, label, modulus, held, sample), sample_bytes))
+    chosen = F.broadcast(labelled_sample(labels, label, modulus, held, sample))
 
     def make():
         sentences = Sentences()
 
         def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-            words, starts = [], []
+            ties, hashes, orders, starts = [], [], [], []
             for text in part.column("text").to_pylist():
                 w, s = sentences.words(text)
-                words.append(w.astype("<u8").tobytes())
+                _, first, order = np.unique(w[0], return_index=True, return_inverse=True)
+                ties.append(hashlib.md5((text or "").encode()).digest())
+                hashes.append(w[:, first].astype("<u8").tobytes())
+                orders.append(order.astype("<i4").tobytes())
                 starts.append(s.astype("<i4").tobytes())
-            return pa.record_batch([part.column("place"), part.column("label"), pa.array(words, pa.binary()), pa.array(starts, pa.binary())], names=["place", "label", "words", "starts"])
+            columns = [part.column("place"), part.column("label"), *(pa.array(c, pa.binary()) for c in (ties, hashes, orders, starts))]
+            return pa.record_batch(columns, names=["place", "label", "tie", "hashes", "words", "starts"])
 
         return kernel
 
     rows = docs.select(F.col("doc_id").alias("sample_id"), "text").join(chosen, "sample_id").select("place", "label", "text")
-    got = map_slices(rows, make, "place long, label int, words binary, starts binary").toArrow().to_pylist()
-    bags = []
-    for x in sorted(got, key=lambda x: (x["place"], x["words"])):
-        word, starts = np.frombuffer(x["words"], "<u8").reshape(3, -1), np.frombuffer(x["starts"], "<i4").astype(np.int64)
-        if word.size:
-            at, where = np.unique(Sentences.features(word, starts), return_inverse=True)
-            bags.append((x["label"], at, where.reshape(4, -1).astype(np.int32), starts))
+
+    def bag(x) -> tuple:
+        word = np.frombuffer(x.hashes, "<u8").reshape(3, -1)[:, np.frombuffer(x.words, "<i4")]
+        starts = np.frombuffer(x.starts, "<i4").astype(np.int64)
+        at, where = np.unique(Sentences.features(word, starts), return_inverse=True)
+        return x.label, at, where.reshape(4, -1).astype(np.int32), starts
+
+    got = map_slices(rows, make, "place long, label int, tie binary, hashes binary, words binary, starts binary")
+    bags = Replayed(got, bag, memory)  # some three times as large once decoded
+    sums = bags.table.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
+    worded = bags.table.where(F.octet_length("words") > 0)
+    classes = worded.select("label").distinct().count()
+    bags.table = worded
     common = np.zeros((1 << BITS) + 3, np.int32)  # documents of the sample that have a feature
     for _, at, _, _ in bags:
         common[at] += 1
     common = common >= least_docs
     common[_NOTHING] = False
-    ones, seen_docs = sum(x["label"] for x in got), len(got)
+    ones, seen_docs = sums.ones, sums.n
     w = np.zeros((1 << BITS) + 3)
-    if ones in (0, seen_docs) or len({b[0] for b in bags}) < 2:
+    if ones in (0, seen_docs) or classes < 2:
         # no sentence counts, whatever their number; the threshold puts that at the share of the documents
         w[-1] = -30 * np.log(10)
         w[-2] = logit(0.0) - np.log((ones + 1) / (seen_docs - ones + 1))
@@ -191,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
             g = slope.sum()
             seen[-1] += g * g
             w[-1] -= 0.2 * rate * g / np.sqrt(seen[-1])
-    checked = [(logit(noisy_or(np.add.reduceat(w[at][where].sum(0), starts) + w[-1])), y) for y, at, where, starts in bags[::CHECKED]]
+    checked = [(logit(noisy_or(np.add.reduceat(w[at][where].sum(0), starts) + w[-1])), y) for k, (y, at, where, starts) in enumerate(bags) if k % CHECKED == 0]
+    bags.drop()
     w[-2] = best_threshold(np.array([z for z, _ in checked]), np.array([y for _, y in checked]))
     return w.astype(np.float32)
 

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkveil.llm import _common, op1_quality, op2_bpe, op3_urls, op4_decontamination, op5_chat, op6_toxicity, op7_ann, op8_substring, op9_secrets, op10_simhash
 from sparkveil.llm import queries as Q
@@ -114,19 +115,31 @@ def test_one_class_gives_its_share(spark, label):
         assert len(got) == 10 and all(abs(r.score - share) < 1e-4 for r in got), module
 
 
-def test_sample_holds_whole_documents(spark):
-    docs = spark.createDataFrame([(k, "x" * 100 * (1 + k % 3)) for k in range(30)], "doc_id long, text string")
-    chosen = _common.labelled_sample(spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, l int"), "l", 3, 1, 12)
-    places = sorted((r.place, r.sample_id) for r in chosen.collect())
-    assert len(places) == 12
-    got = {r.sample_id for r in _common.fitting_sample(docs, chosen, 1000).collect()}
-    total, want = 0, set()
-    for _, k in places:
-        total += 100 * (1 + k % 3)
-        if total > 1000:
-            break
-        want.add(k)
-    assert got == want and 3 <= len(got) < 12
+def test_replayed_rows(spark):
+    rows = spark.createDataFrame([(k // 2 - 20, f"{k:03}".encode()) for k in range(80)], "place long, tie binary").repartition(5)
+    for memory in (0, 5, 6, 7, 60, 10_000):
+        replayed = _common.Replayed(rows, lambda x: bytes(x.tie), memory)
+        for _ in range(3):
+            assert list(replayed) == [f"{k:03}".encode() for k in range(80)], memory
+        assert replayed.whole == (memory > 240)
+        replayed.drop()
+    assert list(_common.Replayed(rows.limit(0), lambda x: x)) == []
+
+
+@needs_data
+@pytest.mark.parametrize(("module", "label", "modulus", "held"), [(op1_quality, "quality", 3, 1), (op6_toxicity, "toxic", 5, 0)])
+def test_long_documents_are_learned_from(spark, module, label, modulus, held):
+    """A document of 30 MB that comes first in the sample's order changes nothing for the others, nor does the driver's memory."""
+    docs, labels = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    first = _common.labelled_sample(labels, label, modulus, held, 6000).first().sample_id
+    docs = docs.select("doc_id", F.when(F.col("doc_id") == first, F.repeat(F.lit("so it goes on. "), 2_000_000)).otherwise(F.col("text")).alias("text"))
+    weights = module.fit(docs, labels)
+    assert (weights[:-3] != 0).sum() > 1_000
+    small = docs.where(F.col("doc_id") != first)
+    assert (module.fit(small, labels, memory=100_000) == module.fit(small, labels)).all()
+    got = module.score(docs, weights).join(labels, "doc_id").where(_common.remainder("doc_id", modulus) == held).toPandas()
+    assert ((got.score >= 0.5) == got[label]).mean() >= 0.85
 
 
 def test_located_sentences(spark):
