@@ -210,8 +210,8 @@ def find(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataF
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with what tells rows apart: no_id, own_id and a digest of the text, in the order in which a row is kept."""
-    return docs.select("*", F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("own_id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
+    """(row, no_id, own_id, digest): each row whole, and what tells it apart, in the order in which a row is kept.  Columns of any name stay inside ``row``."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("own_id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
 
 
 def keep_least(docs: DataFrame, chosen: DataFrame, once: bool = False) -> DataFrame:
@@ -238,10 +238,10 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
 
         return kernel
 
-    prints, _ = scratch.write(map_slices(own.select("no_id", "own_id", "digest", "text"), make, f"no_id boolean, own_id {types['own_id']}, digest string, fp long"))
+    prints, _ = scratch.write(map_slices(own.select("no_id", "own_id", "digest", F.col("row")["text"].alias("text")), make, f"no_id boolean, own_id {types['own_id']}, digest string, fp long"))
     joined = prints.join(rooted(prints.withColumnRenamed("own_id", "doc_id"), radius).select("fp", "root"), "fp")
     kept, _ = scratch.write(joined.groupBy("root").agg(F.min(F.struct("no_id", "own_id", "digest")).alias("w")).select("w.own_id", "w.digest"))
-    return keep_least(own, kept, repeats(prints)).select(docs.columns)
+    return keep_least(own, kept, repeats(prints)).select("row.*")
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

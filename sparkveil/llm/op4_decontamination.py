@@ -265,7 +265,7 @@ def without(text: str, spans: Iterable[tuple[int, int]]) -> str:
 
 def _clean_by_blocks(docs: DataFrame, bench: DataFrame, window: int, max_coverage: float, plan: tuple) -> DataFrame:
     """``clean`` for a benchmark of several blocks: each round cuts what all blocks hit, and changed documents go round again."""
-    others = [c for c in docs.columns if c != "text"]
+    others = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != "text"]
     todo = docs.select(F.struct(*others).alias("row"), "text")
     kept: DataFrame | None = None
     while True:
