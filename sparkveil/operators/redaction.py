@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..plans import scratch
 from ..sources import table
 
 
@@ -164,24 +169,101 @@ def category_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionAll(known).select("category", X.token_of(F.col("category")).alias("token"))
 
 
-#: Tokens that one pass over the documents looks for.
-TOKEN_BLOCK = 1000
+#: Bytes of tokens in one automaton (some sixty times as much in memory), and automata that a pass over the documents carries.
+BLOCK_BYTES, BLOCKS = 1 << 20, 4
+_automata: dict[str, list] = {}
+
+
+def _automaton(tokens: list[str]):
+    from ahocorasick import Automaton
+
+    made = Automaton()
+    for k, t in enumerate(tokens):
+        made.add_word(t, k)
+    made.make_automaton()
+    return made
+
+
+def _built(key: str, blocks: list) -> list:
+    """The automata of a pass, built once in a worker."""
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = [(b.value, _automaton(b.value)) for b in blocks]
+    return _automata[key]
 
 
-def leak_tokens(tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """(token, docs): in how many documents each raw token occurs.  ``tokens`` is a manifest that the driver can hold; each block of it is one pass."""
-    own = [r.token for r in tokens.select("token").where("token is not null").distinct().collect()]
-    found = tokens.select("token").limit(0)
-    for k in range(0, len(own), TOKEN_BLOCK):
-        block = F.array(*[F.lit(t) for t in own[k : k + TOKEN_BLOCK]])
-        found = found.unionAll(docs.select(F.explode(F.filter(block, lambda t: F.contains(F.col("text"), t))).alias("token")))
-    return tokens.join(found.groupBy("token").agg(F.count("*").alias("docs")), "token", "left").select("token", F.coalesce("docs", F.lit(0)).alias("docs"))
+def _dealt(rows, most: int):
+    """Lists of tokens of at most ``most`` bytes together (one token may be longer)."""
+    block, size = [], 0
+    for r in rows:
+        n = len(r.token.encode())
+        if block and size + n > most:
+            yield block
+            block, size = [], 0
+        block.append(r.token)
+        size += n
+    if block:
+        yield block
+
+
+def leak_tokens(tokens: DataFrame, docs: DataFrame, block_bytes: int = BLOCK_BYTES, blocks: int = BLOCKS) -> DataFrame:
+    """(token, docs): in how many documents each raw token occurs; a null token is in none, an empty one in every text.
+
+    All tokens are looked for at once by Aho-Corasick automata over blocks of tokens of a checked size.  The manifest passes
+    the driver a block at a time; what exceeds ``blocks`` of them takes a further pass over the documents, so neither the
+    driver nor a worker holds more.  A task sends one count a token and batch, not a row a hit.
+    """
+    spark = tokens.sparkSession
+    named = tokens.select("token").where("token <> ''").distinct().orderBy("token")
+    texts = docs.select("text").where("text is not null")
+    found, path = None, None
+
+    def count(sent: list) -> DataFrame:
+        key = uuid.uuid4().hex
+
+        def run(batches):
+            for batch in batches:
+                counts = [Counter() for _ in sent]
+                for text in batch.column(0).to_pylist():
+                    for own, (_, automaton) in zip(counts, _built(key, sent), strict=True):
+                        own.update({k for _, k in automaton.iter(text)})
+                rows = [(words[k], n) for own, (words, _) in zip(counts, _built(key, sent), strict=True) for k, n in own.items()]
+                if rows:
+                    yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["token", "n"])
+
+        return texts.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+    sent: list = []
+    for block in _dealt(named.toLocalIterator(), block_bytes):
+        if len(sent) == blocks:
+            one, path = scratch.write(count(sent))
+            found = one if found is None else found.unionAll(one)
+            sent = []
+        sent.append(spark.sparkContext.broadcast(block))
+    if sent:
+        found = count(sent) if found is None else found.unionAll(count(sent))
+    empty = tokens.select("token").where("token = ''").distinct().join(texts.agg(F.count("*").alias("n")))
+    found = empty if found is None else found.unionAll(empty)
+    return tokens.join(found, "token", "left").select("token", F.coalesce("n", F.lit(0)).cast("long").alias("docs"))
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, token): listed tokens, and the long words of the benchmark items as ones that must not get out."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]{7,})"), F.lit(1))).alias("token")).distinct()
+    listed = spark.createDataFrame([("listed", t) for t in LEAK_TOKENS], "kind string, token string")
+    return listed.unionAll(words.select(F.lit("benchmark"), "token"))
 
 
 def leak_token_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = spark.createDataFrame([(t,) for t in LEAK_TOKENS], "token string")
-    found = leak_tokens(tokens, table(spark, sf_dir, "documents").select("text"))
-    return found.select("token", "docs", (F.col("docs") > 0).alias("leaked"))
+    own = manifest(spark, sf_dir)
+    found = leak_tokens(own.select("token").distinct(), table(spark, sf_dir, "documents"))
+    return own.join(found, "token").select("kind", "token", "docs", (F.col("docs") > 0).alias("leaked"))
+
+
+def leak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of leaked raw tokens, in percent, by kind and of all (kind null)."""
+    counts = leak_token_audit(spark, sf_dir).rollup("kind").agg(F.count("*").alias("tokens"), F.count_if("leaked").alias("leaked"))
+    return counts.withColumn("leak_rate", F.floor(F.col("leaked") / F.col("tokens") * 1000000 + 0.5) / 10000)
 
 
 LEAK_TOKENS = ("the", "secret", "AKIA", "987-65-4321", "License")
@@ -194,7 +276,7 @@ _CLEAN = _SLUG(_REDACT)
 _HAS = lambda e: "(" + " OR ".join(f"regexp_matches({e}, '{P.SQL_PATTERNS[c]}')" for c in P.SQL_PATTERNS) + ")"
 _N = lambda e, c: f"len(regexp_extract_all({e}, '{P.SQL_PATTERNS[c]}'))"
 
-QUERIES = {f.__name__: f for f in (pii_redaction_audit, pii_redacted_text, pii_category_counts, pii_spans_claimed, pages_html_leak, payload_fail_closed, url_parts_slug, category_tokens, leak_token_audit, payload_errors, payload_projection, entity_visual_audit, redaction_quality)}
+QUERIES = {f.__name__: f for f in (pii_redaction_audit, pii_redacted_text, pii_category_counts, pii_spans_claimed, pages_html_leak, payload_fail_closed, url_parts_slug, category_tokens, leak_token_audit, leak_rate, payload_errors, payload_projection, entity_visual_audit, redaction_quality)}
 
 
 def clean_sql(e: str) -> str:
@@ -204,6 +286,8 @@ def clean_sql(e: str) -> str:
 
 from .regions import _BOX  # noqa: E402
 
+_LEAKS = f"""m AS (SELECT 'listed' AS kind, t AS token FROM (VALUES {', '.join(f"('{t}')" for t in LEAK_TOKENS)}) v(t) UNION ALL SELECT DISTINCT 'benchmark', unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{{7,}}')) FROM benchmark),
+    g AS (SELECT kind, token, count(d.doc_id) AS docs, count(d.doc_id) > 0 AS leaked FROM m LEFT JOIN documents d ON contains(d.text, m.token) GROUP BY kind, token)"""
 _ENT = _BOX + """, s AS (SELECT *, '#s' || ord % 4 AS selector FROM b), z AS (SELECT *, floor(x * 0.75 + 0.5) AS x2, floor(y * 0.75 + 0.5) AS y2, greatest(1, floor(w * 0.75 + 0.5)) AS w2, greatest(1, floor(h * 0.75 + 0.5)) AS h2 FROM s WHERE source = 'dom'),
     o AS (SELECT z.page, z.ord, s.category, s.pct, z.selector AS zs, s.selector AS ss, (least(z.x + z.w, s.x + s.w) > greatest(z.x, s.x) AND least(z.y + z.h, s.y + s.h) > greatest(z.y, s.y)) OR (least(x2 + w2, s.x + s.w) > greatest(x2, s.x) AND least(y2 + h2, s.y + s.h) > greatest(y2, s.y)) AS hit FROM z JOIN s ON z.page = s.page),
     v AS (SELECT page, ord, bool_or(hit AND category = 'card') AS solid, bool_or(hit AND category = 'email') AS blur, bool_or(category = 'phone' AND pct > 95 AND (hit OR zs = ss)) AS mapped FROM o GROUP BY page, ord),
@@ -223,7 +307,8 @@ ORACLE = {
     "payload_fail_closed": f"SELECT count(*) AS payloads, CAST(sum(length({_CLEAN})) AS BIGINT) AS chars FROM documents",
     "url_parts_slug": f"SELECT id, {_SLUG('url')} AS url FROM (SELECT page_id AS id, url FROM pages UNION ALL VALUES {', '.join(f'''({-k - 1}, '{u}')''' for k, u in enumerate(SLUGS))})",
     "category_tokens": "WITH m(category, token) AS (VALUES " + ", ".join(f"('{k}', '{P.TOKENS[v]}')" for k, v in P.TOKEN_OF.items()) + ") SELECT a.category, coalesce(m.token, '[REDACTED_PII]') AS token FROM (SELECT DISTINCT event_type AS category FROM events UNION ALL SELECT category FROM m) a LEFT JOIN m ON m.category = lower(a.category)",
-    "leak_token_audit": "SELECT t.token, count(d.doc_id) AS docs, count(d.doc_id) > 0 AS leaked FROM (VALUES " + ", ".join(f"('{t}')" for t in LEAK_TOKENS) + ") t(token) LEFT JOIN documents d ON contains(d.text, t.token) GROUP BY 1",
+    "leak_token_audit": f"WITH {_LEAKS} SELECT * FROM g",
+    "leak_rate": f"WITH {_LEAKS}, r AS (SELECT kind, count(*) AS tokens, count(*) FILTER (leaked) AS leaked FROM g GROUP BY ROLLUP (kind)) SELECT *, floor(leaked / CAST(tokens AS DOUBLE) * 1000000 + 0.5) / 10000 AS leak_rate FROM r",
     "pii_spans_claimed": "WITH " + ", ".join(
         f"""{c}_k AS (SELECT doc_id, text, unnest(range(1, len(m) + 1)) AS k, m, p FROM (SELECT doc_id, text, regexp_extract_all(text, '{r}') AS m, regexp_split_to_array(text, '{r}') AS p FROM documents)),
         {c} AS (SELECT doc_id, '{c}' AS category, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS s, m[k] AS t FROM {c}_k)"""

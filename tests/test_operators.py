@@ -149,11 +149,14 @@ def test_server_boxes(spark):
     assert row.two == [5.0, 6.0, 0.0, 0.0] and row.off is None and row.n == [0.1, 0.1, 0.02, 0.02]
 
 
-def test_leak_tokens_of_a_long_manifest(spark):
-    tokens = spark.createDataFrame([(f"<tok{k}>",) for k in range(1001)] + [("absent",), (None,)], "token string")
-    docs = spark.createDataFrame([(" ".join(f"<tok{k}>" for k in range(1001)),), ("<tok7>",), (None,)], "text string")
-    got = {r.token: r.docs for r in redaction.leak_tokens(tokens, docs).collect()}
-    assert got == {f"<tok{k}>": 1 + (k == 7) for k in range(1001)} | {"absent": 0, None: 0}
+@pytest.mark.parametrize(("block_bytes", "blocks"), [(1 << 20, 4), (4_000, 2), (50, 3)])
+def test_leak_tokens_of_a_long_manifest(spark, block_bytes, blocks):
+    n = 100_000 if block_bytes > 4_000 else 1_500 if block_bytes > 50 else 60
+    tokens = spark.createDataFrame([(f"<tok{k}>",) for k in range(n)] + [("absent",), (None,), ("",), ("tok1",), ("é<",)], "token string")
+    docs = spark.createDataFrame([(" ".join(f"<tok{k}>" for k in range(n)),), ("<tok7><tok7>é<tok",), (None,), ("",)], "text string").repartition(3)
+    got = {r.token: r.docs for r in redaction.leak_tokens(tokens, docs, block_bytes, blocks).collect()}
+    assert got == {f"<tok{k}>": 1 + (k == 7) for k in range(n)} | {"absent": 0, None: 0, "": 3, "tok1": 1, "é<": 1}
+    assert redaction.leak_tokens(tokens.limit(0), docs).count() == 0
 
 
 def test_hidden_nodes_and_chosen_options():
