@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import patterns as P
 from ..functions import text as X
-from ..plans import scratch
+from ..plans import greedy, scratch
 from ..plans.components import connected_components
 from ..sources import table
 
@@ -176,13 +176,37 @@ def region_merge_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_regions(boxes(spark, sf_dir))
 
 
-def nms(frame: DataFrame, least: float = 0.45, by: tuple[str, ...] = ("page",)) -> DataFrame:
+#: Groups of at most so many boxes are settled as one row; larger ones in rounds over the pairs that overlap.
+GROUP_BOXES = 500
+
+
+def split_by_size(frame: DataFrame, by: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups of at most ``most`` rows, and those of larger groups (None if there are none)."""
+    large, _ = scratch.write(frame.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*by))
+    if large.isEmpty():
+        return frame, None
+    return frame.join(large, by, "left_anti"), frame.join(large, by, "left_semi")
+
+
+def nms(frame: DataFrame, least: float = 0.45, by: tuple[str, ...] = ("page",), most: int = GROUP_BOXES) -> DataFrame:
     """Greedy non-maximum suppression: by falling confidence, then ord; a box goes if a kept one overlaps it by more than ``least``."""
-    rows = frame.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("pct")).alias("k"), "ord", "x", "y", "w", "h"))).alias("all"))
+    small, large = split_by_size(frame, list(by), most)
+    rows = small.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("pct")).alias("k"), "ord", "x", "y", "w", "h"))).alias("all"))
     at = lambda s: (s.x, s.y, s.w, s.h)
     none = F.slice("all", 1, 0)
     kept = F.aggregate("all", none, lambda acc, b: F.when(F.exists(acc, lambda k: G.iou(at(k), at(b)) > least), acc).otherwise(F.array_append(acc, b)))
-    return rows.select(*by, F.explode(kept).alias("b")).select(*by, "b.ord", (-F.col("b.k")).alias("pct"))
+    kept = rows.select(*by, F.explode(kept).alias("b")).select(*by, "b.ord", (-F.col("b.k")).alias("pct"))
+    if large is None:
+        return kept
+    own, _ = scratch.write(large.select(F.struct(*by).alias("page"), "ord", *"xywh", "pct"))
+    met = pairs(own).where(G.iou(xywh("a_"), xywh("b_")) > least)
+    rank = own.select("page", "ord", (-F.col("pct")).alias("k"))
+    met = met.join(rank.select("page", F.col("ord").alias("a_ord"), F.col("k").alias("a_k")), ["page", "a_ord"]).join(rank.select("page", F.col("ord").alias("b_ord"), F.col("k").alias("b_k")), ["page", "b_ord"])
+    node = lambda c: F.struct("page", F.col(c).alias("ord"))
+    first = F.struct("a_k", "a_ord") < F.struct(F.col("b_k").alias("a_k"), F.col("b_ord").alias("a_ord"))
+    gone = greedy.suppressed(met.select(F.when(first, node("a_ord")).otherwise(node("b_ord")).alias("hi"), F.when(first, node("b_ord")).otherwise(node("a_ord")).alias("lo")))
+    rest = own.join(gone.select("node.page", "node.ord"), ["page", "ord"], "left_anti")
+    return kept.unionAll(rest.select(*[F.col("page")[c].alias(c) for c in by], "ord", "pct"))
 
 
 def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
