@@ -56,7 +56,13 @@ LABELS = (("#go", "e1", None, None, 1, 2, None, None, "typed"), ("", "e1", "k",
 
 
 def target_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(LABELS)], _LABEL_ROWS)
+    """The shown target of an action for each order: one of the sampled kinds about the order's customer."""
+    kinds = spark.createDataFrame([(k, *r) for k, r in enumerate(LABELS)], _LABEL_ROWS).withColumnRenamed("label_id", "kind")
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("label_id"), F.col("o_custkey").cast("long").alias("cust"))
+    rows = own.join(F.broadcast(kinds), F.col("label_id") % len(LABELS) == F.col("kind"))
+    named = {c: F.when(F.col(c) != "", F.concat(c, F.col("cust").cast("string"))).otherwise(F.col(c)) for c in ("target_selector", "target_element_id", "secret_key", "url")}
+    rows = rows.withColumns(named | {c: F.when(F.col(c).isNotNull(), F.col("cust")) for c in ("x", "delta_y")})
+    rows = rows.withColumn("target_bbox", F.transform("target_bbox", lambda v, k: F.when(k == 0, F.col("cust")).otherwise(v)))
     return rows.select("label_id", shown_label(rows).alias("label"))
 
 
@@ -222,9 +228,18 @@ PLANS = (
 
 
 def plan_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, 1, *p) for k, p in enumerate(PLANS)], f"plan_id long, page long, task string, step int, task_complete boolean, actions array<{_ACTION}>")
-    ui = spark.createDataFrame([(1, 1, "s1", "Settings", 10.0, 20.0, 30.0, 40.0), (1, 2, "s2", "Save", -900.0, 0.0, 5.0, 5.0)], "page long, ord long, element_id string, label string, x double, y double, w double, h double")
-    dom = spark.createDataFrame([(1, 1, "sv", None, "button", None, "Save button", None, None, None, None), (1, 2, None, "q", "input", "text", None, "look here", None, None, None)], "page long, ord long, id string, name string, tag string, type string, text string, placeholder string, aria_label string, title string, selector string").withColumns({c: F.lit(None).cast("double") for c in "xywh"})
+    """A plan of one of the sampled kinds for each order, on a page of its own with two recognised elements and two fields."""
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("page"), F.col("o_custkey").cast("string").alias("cust"))
+    kinds = spark.createDataFrame([(k, *p) for k, p in enumerate(PLANS)], f"kind long, task string, step int, task_complete boolean, actions array<{_ACTION}>")
+    rows = pages.join(F.broadcast(kinds), F.col("page") % len(PLANS) == F.col("kind")).withColumn("plan_id", F.col("page"))
+    own = lambda text: F.concat(F.lit(text), "cust")
+    none = F.lit(None).cast("string")
+    element = lambda k, id_, label, *box: F.struct(F.lit(k).cast("long").alias("ord"), id_.alias("element_id"), F.lit(label).alias("label"), *[F.lit(float(v)).alias(c) for v, c in zip(box, "xywh", strict=True)])
+    ui = pages.select("page", F.inline(F.array(element(1, own("s"), "Settings", 10, 20, 30, 40), element(2, own("t"), "Save", -900, 0, 5, 5))))
+    names = ("id", "name", "tag", "type", "text", "placeholder", "aria_label", "title", "selector")
+    field = lambda k, **given: F.struct(F.lit(k).cast("long").alias("ord"), *[given.get(c, none).alias(c) for c in names])
+    dom = pages.select("page", F.inline(F.array(field(1, id=own("sv"), tag=F.lit("button"), text=F.lit("Save button")), field(2, name=F.lit("q"), tag=F.lit("input"), type=F.lit("text"), placeholder=F.lit("look here")))))
+    dom = dom.withColumns({c: F.lit(None).cast("double") for c in "xywh"})
     got = enrich_plans(rows, ui, dom)
     show = F.array_join(F.transform("actions", lambda a: F.concat_ws(" ", a.type, F.coalesce(a.target_selector, F.lit("-")), F.coalesce(a.target_element_id, F.lit("-")), F.coalesce(a.text, F.lit("-")), F.coalesce(F.get(a.target_bbox, 0).cast("int").cast("string"), F.lit("-")))), "; ")
     return got.select("plan_id", "task_complete", show.alias("actions"))
@@ -260,8 +275,11 @@ _KIND = "line_id long, text string, x double, y double, w double, h double, conf
 
 
 def ocr_span_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, t, 10.0, 100.0, 400.0, 30.0, 0.9, [(w, float(x), 100.0, 40.0, 30.0, 0.95) for x, w in words]) for k, (t, words) in enumerate(LINES)]
-    return span_boxes(spark.createDataFrame(rows, _KIND))
+    """Sensitive spans of a recognised line for each order: one of the sampled lines, at the order's own height on the page."""
+    kinds = spark.createDataFrame([(k, t, 10.0, 100.0, 400.0, 30.0, 0.9, [(w, float(x), 100.0, 40.0, 30.0, 0.95) for x, w in words]) for k, (t, words) in enumerate(LINES)], _KIND.replace("line_id", "kind"))
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("line_id"), (F.col("o_custkey") % 50).cast("double").alias("down"))
+    rows = own.join(F.broadcast(kinds), F.col("line_id") % len(LINES) == F.col("kind"))
+    return span_boxes(rows.withColumn("y", F.col("y") + F.col("down")).withColumn("words", F.transform("words", lambda w: w.withField("y", w.y + F.col("down")))))
 
 
 from .regions import _BOX  # noqa: E402
@@ -273,8 +291,10 @@ ORACLE = {
         WHERE a.ord = 1 AND (e.element_id = 'e2' OR e.selector = '#card-3' OR (abs(a.x - e.x) < 10 AND abs(a.y - e.y) < 10)) GROUP BY a.page""",
     "target_match": f"""WITH {_EL}, k AS (SELECT el.page, element_id, row_number() OVER (PARTITION BY el.page ORDER BY ord) AS k FROM el JOIN orders ON o_orderkey = el.page
         WHERE CASE WHEN el.page % 2 = 0 THEN regexp_matches(label, 'click|the|card|from|nowhere') ELSE regexp_matches(label, 'open|password|face') END) SELECT page, element_id FROM k WHERE k = 1""",
-    "ocr_span_boxes": "SELECT * REPLACE (CAST(line_id AS BIGINT) AS line_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, CAST(confidence AS DOUBLE) AS confidence) FROM (VALUES (0, 'card', '4111 2222 3333 4444', 165, 100, 175, 30, 0.95), (1, 'email', 'a@b.co', 143, 100, 160, 30, 0.9)) t(line_id, category, found, x, y, w, h, confidence)",
-    "target_labels": "SELECT * REPLACE (CAST(label_id AS BIGINT) AS label_id) FROM (VALUES (0, '#go'), (1, '#e1'), (2, 'vault:k'), (3, 'a.b/c'), (4, 'a.b'), (5, '(3, 4)'), (6, 'deltaY: -5'), (7, '[1,2,3,4]'), (8, '')) t(label_id, label)",
+    "ocr_span_boxes": """SELECT CAST(o_orderkey AS BIGINT) AS line_id, category, found, CAST(x AS BIGINT) AS x, CAST(100 + o_custkey % 50 AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(30 AS BIGINT) AS h, CAST(confidence AS DOUBLE) AS confidence
+        FROM orders JOIN (VALUES (0, 'card', '4111 2222 3333 4444', 165, 175, 0.95), (1, 'email', 'a@b.co', 143, 160, 0.9)) t(kind, category, found, x, w, confidence) ON o_orderkey % 3 = kind""",
+    "target_labels": """SELECT CAST(o_orderkey AS BIGINT) AS label_id, CASE o_orderkey % 9 WHEN 0 THEN '#go' || o_custkey WHEN 1 THEN '#e1' || o_custkey WHEN 2 THEN 'vault:k' || o_custkey WHEN 3 THEN 'a.b/c' WHEN 4 THEN 'a.b/' || o_custkey
+        WHEN 5 THEN '(' || o_custkey || ', 4)' WHEN 6 THEN 'deltaY: ' || o_custkey WHEN 7 THEN '[' || o_custkey || ',2,3,4]' ELSE '' END AS label FROM orders""",
     "target_search": f"""WITH {_BOX}, q AS (SELECT o_orderkey AS query_id, o_orderkey % 5 AS k FROM orders), w AS (SELECT query_id, ['card', 'ocr,thing', 'zebra,videos', 'face', ''][k + 1] AS s, ['click,card,play', 'open,ocr,thing', 'find,zebra,videos', 'search,face', ''][k + 1] AS a FROM q),
         v AS (SELECT query_id, string_split(s, ',') AS s, string_split(a, ',') AS a FROM w WHERE a <> ''),
         u AS (SELECT page, ord, 'e' || ord AS element_id, '#e' || ord AS selector, 'click' AS action_type, lower(category) || ' play' AS t, 'e' || ord AS t2, x - CASE WHEN ord = 1 THEN 900 ELSE 0 END AS x, 1 AS base FROM b WHERE source <> 'ocr' AND ord % 2 = 1 AND ord > 1),
@@ -285,6 +305,5 @@ ORACLE = {
             UNION ALL SELECT query_id, ord, NULL, 'input[name=''q''], input[type=''search''], input[aria-label*=''Search'' i]', 'type', NULL, 5 FROM v JOIN b ON page = query_id WHERE ord = 4),
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source, ord) AS k FROM f)
         SELECT query_id, CAST(source AS BIGINT) AS source, element_id, selector, action_type, CAST(x AS DOUBLE) AS x FROM k WHERE k = 1""",
-    "plan_enrichment": """SELECT * REPLACE (CAST(plan_id AS BIGINT) AS plan_id) FROM (VALUES (0, false, 'type input[name=''q''], input[type=''search''], input[aria-label*=''Search'' i] - for blue lamps -'), (1, true, 'done - - - -'), (2, false, 'click #s1 s1 - 10'), (3, false, 'click #sv sv - -'), (4, false, 'click - - - -'),
-        (5, false, 'click #s1 s1 - 10'), (6, false, 'type - x a -; click - y - -'), (7, false, 'click - y - -; wait - - - -'), (8, false, 'click - y - -'), (9, false, 'type input[name=''q''], input[type=''search''], input[aria-label*=''Search'' i] - lost umbrella -')) t(plan_id, task_complete, actions)""",
+    "plan_enrichment": """SELECT CAST(o_orderkey AS BIGINT) AS plan_id, o_orderkey % 10 IN (1) AS task_complete, CASE o_orderkey % 10 WHEN 0 THEN 'type input[name=''q''], input[type=''search''], input[aria-label*=''Search'' i] - for blue lamps -' WHEN 1 THEN 'done - - - -' WHEN 2 THEN 'click #s' || o_custkey || ' s' || o_custkey || ' - 10' WHEN 3 THEN 'click #sv' || o_custkey || ' sv' || o_custkey || ' - -' WHEN 4 THEN 'click - - - -' WHEN 5 THEN 'click #s' || o_custkey || ' s' || o_custkey || ' - 10' WHEN 6 THEN 'type - x a -; click - y - -' WHEN 7 THEN 'click - y - -; wait - - - -' WHEN 8 THEN 'click - y - -' WHEN 9 THEN 'type input[name=''q''], input[type=''search''], input[aria-label*=''Search'' i] - lost umbrella -' END AS actions FROM orders""",
 }

@@ -76,8 +76,11 @@ PAYLOADS = (
 
 
 def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(PAYLOADS)], "payload_id long, dom string, sources array<string>, same boolean, passwords array<string>")
-    return rows.select("payload_id", payload_error(F.col("dom"), F.col("sources"), F.col("same"), F.col("passwords")).alias("error"))
+    """Why a payload of each document may not leave; its tree holds the document's language beside one of the sampled kinds."""
+    kinds = spark.createDataFrame([(k, *p) for k, p in enumerate(PAYLOADS)], "kind long, dom string, sources array<string>, same boolean, passwords array<string>")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(F.broadcast(kinds), F.col("doc_id") % len(PAYLOADS) == F.col("kind"))
+    dom = F.concat(F.lit('{"lang": "'), "lang", F.lit('", "page": '), "dom", F.lit("}"))
+    return rows.select(F.col("doc_id").alias("payload_id"), payload_error(dom, F.col("sources"), F.col("same"), F.col("passwords")).alias("error"))
 
 
 def outgoing(requests: DataFrame, server_key: bool = True) -> Column:
@@ -293,7 +296,7 @@ _ENT = _BOX + """, s AS (SELECT *, '#s' || ord % 4 AS selector FROM b), z AS (SE
     v AS (SELECT page, ord, bool_or(hit AND category = 'card') AS solid, bool_or(hit AND category = 'email') AS blur, bool_or(category = 'phone' AND pct > 95 AND (hit OR zs = ss)) AS mapped FROM o GROUP BY page, ord),
     w AS (SELECT *, CASE WHEN solid THEN 'solid_black_mask' WHEN blur THEN 'gaussian_blur_or_pixelation' WHEN mapped THEN 'redaction_mapped' ELSE 'none' END AS method FROM v)"""
 ORACLE = {
-    "payload_errors": "SELECT * REPLACE (CAST(payload_id AS BIGINT) AS payload_id) FROM (VALUES (0, NULL), (1, 'image is unredacted despite sensitive regions'), (2, NULL), (3, 'sensitive pattern in the tree'), (4, 'sensitive pattern in the tree'), (5, 'sensitive pattern in the tree'), (6, 'sensitive pattern in the tree'), (7, NULL), (8, 'password field is not redacted'), (9, 'redaction map holds vision items')) t(payload_id, error)",
+    "payload_errors": "SELECT doc_id AS payload_id, error FROM documents JOIN (VALUES (0, NULL), (1, 'image is unredacted despite sensitive regions'), (2, NULL), (3, 'sensitive pattern in the tree'), (4, 'sensitive pattern in the tree'), (5, 'sensitive pattern in the tree'), (6, 'sensitive pattern in the tree'), (7, NULL), (8, 'password field is not redacted'), (9, 'redaction map holds vision items')) v(kind, error) ON doc_id % 10 = kind",
     "payload_projection": f"WITH {_BOX} SELECT page, 'task,step,redaction_map' AS keys, 'bbox,category,source,confidence' AS region_keys, count(*) AS regions, count(*) FILTER (ord % 2 <> 0) AS unnamed, CAST(sum(CASE WHEN ord % 4 <> 0 THEN pct ELSE 100 END) AS BIGINT) AS pct FROM b GROUP BY page",
     "entity_visual_audit": f"WITH {_ENT} SELECT * FROM w",
     "redaction_quality": f"""WITH {_ENT}, c AS (SELECT count(*) FILTER (method <> 'none') AS tp, count(*) FILTER (method = 'none') AS fn, (SELECT count(DISTINCT selector) FROM s WHERE category = 'phone' AND pct > 95 AND selector IN {INNOCENT}) AS fp FROM w),

@@ -78,8 +78,16 @@ def sample_nodes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, NODE)
 
 
+def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of one of the sampled kinds for each part; its names, texts and hints carry the part's own."""
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_name", "p_type", F.col("p_size").cast("string").alias("size"))
+    rows = own.join(F.broadcast(sample_nodes(spark).withColumnRenamed("node_id", "kind")), F.col("key") % len(_NODES) == F.col("kind"))
+    added = {c: F.concat(c, F.lit("_"), "size") for c in ("name", "id")} | {"text": F.concat("text", F.lit(" "), "p_name"), "placeholder": F.concat("placeholder", F.lit(" "), "p_type")}
+    return rows.withColumns(added).withColumnRenamed("key", "node_id")
+
+
 def sensitivity_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_nodes(spark).withColumn("found", sensitivity()).select(F.col("node_id").cast("long").alias("node_id"), "found.category", "found.rule")
+    return part_nodes(spark, sf_dir).withColumn("found", sensitivity()).select(F.col("node_id").cast("long").alias("node_id"), "found.category", "found.rule")
 
 
 def keyword_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +121,7 @@ def refused(text: Column | None = None, data: tuple[str, ...] = ()) -> Column:
 
 
 def field_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_nodes(spark).select(F.col("node_id").cast("long").alias("node_id"), refused().alias("refused"))
+    return part_nodes(spark, sf_dir).select(F.col("node_id").cast("long").alias("node_id"), refused().alias("refused"))
 
 
 # Kinds of actions, and schemes that are never opened.
@@ -169,9 +177,18 @@ def sample_actions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *(a.get(n) for n in names)) for k, a in enumerate(_ACTIONS)], f"action_id long, {ACTION}")
 
 
+def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An action of one of the sampled kinds for each order; its target, url and texts carry the order's own."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("key"), F.col("o_custkey").cast("string").alias("cust"), "o_orderpriority", "o_orderstatus")
+    rows = own.join(F.broadcast(sample_actions(spark).withColumnRenamed("action_id", "kind")), F.col("key") % len(_ACTIONS) == F.col("kind"))
+    url = F.when(F.trim("url") != "", F.concat("url", F.lit("/"), "cust")).otherwise(F.col("url"))
+    added = {"target_selector": F.concat("target_selector", F.lit("-"), "cust"), "text": F.concat("text", F.lit(" "), "o_orderpriority"), "reason": F.concat("reason", F.lit(" "), "o_orderstatus"), "url": url}
+    return rows.withColumns(added).withColumnRenamed("key", "action_id")
+
+
 def action_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = action_error()
-    return sample_actions(spark).select("action_id", error.isNull().alias("valid"), error.alias("error"))
+    return order_actions(spark, sf_dir).select("action_id", error.isNull().alias("valid"), error.alias("error"))
 
 
 def risk_of(texts: Column, kind: Column, cross_origin: Column | None = None) -> Column:
@@ -210,9 +227,9 @@ def element_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal actions, and one action for each event type."""
+    """Actions of all orders, and one action for each event type."""
     types = table(spark, sf_dir, "events").select("event_type").distinct().select(F.lit(-1).cast("long").alias("action_id"), F.lit("click").alias("type"), F.array("event_type").alias("texts"))
-    literal = sample_actions(spark).select("action_id", "type", F.filter(F.array("target_selector", "target_element_id", "text", "reason", "url", "secret_key"), lambda t: t.isNotNull()).alias("texts"))
+    literal = order_actions(spark, sf_dir).select("action_id", "type", F.filter(F.array("target_selector", "target_element_id", "text", "reason", "url", "secret_key"), lambda t: t.isNotNull()).alias("texts"))
     rows = literal.unionAll(types)
     return rows.withColumn("r", risk_of(F.col("texts"), F.col("type"))).select("action_id", F.array_join("texts", "|").alias("texts"), "r.risk", "r.category", (F.col("r.risk") == "high").alias("requires_confirmation"))
 
@@ -239,13 +256,15 @@ def _sql(v) -> str:
 
 
 _A = ["type", "target_selector", "target_element_id", "secret_key", "text", "url", "reason", "target_bbox", "confidence", "risk"]
-_ACTIONS_SQL = "a(action_id, " + ", ".join(_A) + ") AS (VALUES " + ", ".join(f"({k}, " + ", ".join(_sql(a.get(n)) for n in _A) + ")" for k, a in enumerate(_ACTIONS)) + ")"
+_ACTIONS_SQL = "v(kind, " + ", ".join(_A) + ") AS (VALUES " + ", ".join(f"({k}, " + ", ".join(_sql(a.get(n)) for n in _A) + ")" for k, a in enumerate(_ACTIONS)) + ")" + f""", a AS (SELECT CAST(o_orderkey AS BIGINT) AS action_id, v.* REPLACE (target_selector || '-' || o_custkey AS target_selector, text || ' ' || o_orderpriority AS text, reason || ' ' || o_orderstatus AS reason,
+    CASE WHEN trim(url) <> '' THEN url || '/' || o_custkey ELSE url END AS url) FROM orders JOIN v ON o_orderkey % {len(_ACTIONS)} = kind)"""
 _KW = lambda e: f"""coalesce(list_filter(list_transform(string_split_regex(regexp_replace({e}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+'), lambda t: lower(t)), lambda t: t IN ({', '.join(map(_sql, P.KEYWORDS))}))[1],
     CASE WHEN regexp_replace(lower({e}), '[^a-z0-9]', '', 'g') SIMILAR TO '.*(creditcard|cardnumber).*' THEN 'card' WHEN regexp_replace(lower({e}), '[^a-z0-9]', '', 'g') LIKE '%socialsecurity%' THEN 'ssn'
     WHEN regexp_replace(lower({e}), '[^a-z0-9]', '', 'g') SIMILAR TO '.*(securitycode|cvv|cvc).*' THEN 'card' END)"""
 _CAT = lambda e: "CASE " + " ".join(f"WHEN regexp_matches({e}, '{p}') THEN '{c}'" for c, p in P.KEYWORD_CATEGORY) + f" ELSE {e} END"
 _N = ["tag", "type", "autocomplete", "name", "id", "aria_label", "placeholder", "text", "data_pii_type", "n_children"]
-_NODES_SQL = "n(node_id, " + ", ".join(_N) + ") AS (VALUES " + ", ".join(f"({k}, " + ", ".join(_sql({"tag": t, **a}.get(c, 0 if c == "n_children" else "")) for c in _N) + ")" for k, (t, a) in enumerate(_NODES)) + ")"
+_NODES_SQL = "v(kind, " + ", ".join(_N) + ") AS (VALUES " + ", ".join(f"({k}, " + ", ".join(_sql({"tag": t, **a}.get(c, 0 if c == "n_children" else "")) for c in _N) + ")" for k, (t, a) in enumerate(_NODES)) + ")" + f""", n AS (SELECT CAST(p_partkey AS BIGINT) AS node_id, v.* REPLACE ({', '.join(f"CASE WHEN {c} <> '' THEN {c} || '{gap}' || {own} ELSE '' END AS {c}" for c, gap, own in (('name', '_', 'p_size'), ('id', '_', 'p_size'), ('text', ' ', 'p_name'), ('placeholder', ' ', 'p_type')))})
+    FROM part JOIN v ON p_partkey % {len(_NODES)} = kind)"""
 _RISK = " ".join(f"WHEN regexp_matches(t, '(?i){p}') THEN '{c}'" for c, p in P.HIGH_RISK)
 
 QUERIES = {f.__name__: f for f in (sensitivity_cascade, keyword_classify, name_validate, field_refusal, action_validate, risk_tiers, element_risks, task_deviation)}

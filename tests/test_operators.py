@@ -14,7 +14,7 @@ BOX = "page long, ord long, x long, y long, w long, h long, category string, sou
 
 
 def test_sensitivity_rules(spark):
-    got = {r.node_id: (r.category, r.rule) for r in rules.sensitivity_cascade(spark, "").collect()}
+    got = {r.node_id: (r.category, r.rule) for r in rules.sample_nodes(spark).withColumn("found", rules.sensitivity()).select("node_id", "found.category", "found.rule").collect()}
     names = [a for _, a in rules._NODES]
     by = lambda **a: got[names.index(a)][0]
     assert by(name="user_ssn") == "ssn" and by(id="cvv") == "card" and by(name="sms_otp") == "otp" and by(name="client_secret") == "password"
@@ -135,7 +135,8 @@ def test_images():
 
 
 def test_recognised_spans(spark):
-    got = {r.category: r for r in planning.ocr_span_boxes(spark, "").collect()}
+    rows = [(k, t, 10.0, 100.0, 400.0, 30.0, 0.9, [(w, float(x), 100.0, 40.0, 30.0, 0.95) for x, w in words]) for k, (t, words) in enumerate(planning.LINES)]
+    got = {r.category: r for r in planning.span_boxes(spark.createDataFrame(rows, planning._KIND)).collect()}
     card = got["card"]
     assert (card.x, card.y, card.w, card.h, card.confidence) == (165, 100, 175, 30, 0.95)
     assert got["email"].x == 10 + round(400 / 15 * 5) and set(got) == {"card", "email"}
