@@ -406,7 +406,9 @@ def test_index_returns_every_code_within_its_radius():
         got = index.within(q, 30)
         distance = np.bitwise_count(code ^ q).sum(1)
         assert set(np.flatnonzero(distance <= distance[got].max())) == set(got) and len(got) >= 30
-    assert 0 < index.swept < 40 and index.probed
+        wide = index.within(q, 30, 20)
+        assert set(np.flatnonzero(distance <= max(20, np.partition(distance, 29)[29]))) == set(wide)
+    assert 0 < index.swept < 80 and index.probed
 
 
 def _recall(x, queries, found):
@@ -428,11 +430,11 @@ def test_neighbours_at_fifty_thousand():
         model = op7_ann.learn(x[:4096])
         code = op7_ann.codes(x, model)
         index = op7_ann.Index(code)
-        enough = int(op7_ann.DEPTH_EACH * 10 + (op7_ann.DEPTH_SHARE if most == 1.0 else 0) * n)
-        enough = enough if most == 1.0 else 40
+        radius = op7_ann.reach(index, x, 10)
+        assert (radius < 16) == (most < 1)
 
-        def found(q, x=x, index=index, code=code, enough=enough):
-            rows = index.within(code[q], enough)
+        def found(q, x=x, index=index, code=code, radius=radius):
+            rows = index.within(code[q], 11, radius)
             rows = rows[rows != q]
             return rows[np.argsort(((x[rows] - x[q]) ** 2).sum(1), kind="stable")[:10]].tolist()
 
@@ -441,6 +443,26 @@ def test_neighbours_at_fifty_thousand():
         assert min(1.0, (index.probed + index.swept * n) / (len(queries) * n)) <= most
 
 
+def test_search_prunes_at_the_depth_it_ships(monkeypatch):
+    """The whole search of a part, as its task runs it: clustered vectors touch under a fifth of the codes, with their recall."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    n, d, k = 20_000, 48, 10
+    x = rng.normal(size=(500, d))[rng.integers(0, 500, n)] + 0.05 * rng.normal(size=(n, d))
+    made = []
+    monkeypatch.setattr(op7_ann, "Index", lambda code, kind=op7_ann.Index: made.append(kind(code)) or made[-1])
+    batch = pa.record_batch([pa.array([0] * n, pa.int32()), pa.array(list(x)), pa.array([[i] for i in range(n)])], names=["part", "v", "ids"])
+    queries = x[::400]
+    (got,) = op7_ann._search(iter([batch.slice(0, 9_000), batch.slice(9_000)]), queries, op7_ann.learn(x[:4096]), k)
+    near = {q: set() for q in range(len(queries))}
+    for q, ids in zip(got.column("query").to_pylist(), got.column("ids").to_pylist(), strict=True):
+        near[q].update(ids)
+    hit = sum(len(set(np.argsort(((x - v) ** 2).sum(1), kind="stable")[1 : k + 1].tolist()) & near[q]) for q, v in enumerate(queries))
+    assert hit / (k * len(queries)) >= 0.9
+    assert (made[0].probed + made[0].swept * n) / (len(queries) * n) < 0.2
+
+
 def test_neighbours_of_mixed_lengths_and_repeated_ids(spark):
     rng = np.random.default_rng(4)
     rows = [(k, rng.normal(size=5).tolist()) for k in range(0, 40, 4)] + [(k, rng.normal(size=3).tolist()) for k in range(1, 40, 4)]
