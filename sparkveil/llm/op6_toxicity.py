@@ -139,7 +139,7 @@ def document_score(weights: np.ndarray, z: np.ndarray) -> float:
     return float(_logistic(logit(noisy_or(z)) - weights[-2]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, sample: int = 6000, epochs: int = 12, rate: float = 0.5, l2: float = 1e-4, start: float = -6.0, least_docs: int = 6, memory: int = 48_000_000) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, sample: int = 6000, epochs: int = 12, rate: float = 0.5, l2: float = 1e-4, start: float = -6.0, least_docs: int = 6, memory: int = 128_000_000) -> np.ndarray:
     """Weights (the bias last) from at most ``sample`` labelled documents outside the held-out fold."""
     chosen = F.broadcast(labelled_sample(labels, label, modulus, held, sample))
 
