@@ -138,7 +138,31 @@ def combined(strategy: str = "probabilistic") -> Column:
     """Confidence of a cluster from the percentages of its members (A4)."""
     c = F.col("pct") / 100.0
     out = {"probabilistic": 1 - F.product(1 - c), "max": F.max(c), "average": F.avg(c)}[strategy]
-    return F.floor(out * 10000 + 0.5) / 10000
+    # rounded before, so that the order of the product does not decide a tie
+    return F.floor(F.round(out, 8) * 10000 + 0.5) / 10000
+
+
+def cluster_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence of each cluster by every strategy (A4)."""
+    own = clusters(usable(boxes(spark, sf_dir)))
+    return own.groupBy("page", "root").agg(*[combined(s).alias(s) for s in ("probabilistic", "max", "average")], F.count("*").alias("members"))
+
+
+# The confidence that a detection of each source must have.
+LEAST_CONFIDENCE = {"ocr": 0.0, "face": 0.5, "vision": 0.25}
+
+
+def confident(frame: DataFrame, least: dict[str, float] | None = None, confidence: str = "confidence") -> DataFrame:
+    """Detections that their source is sure enough of; a merged one counts by its first source, unknown sources have no threshold."""
+    known = F.create_map(*[F.lit(v) for pair in (LEAST_CONFIDENCE | (least or {})).items() for v in pair])
+    return frame.where(F.coalesce(F.col(confidence), F.lit(1.0)) >= F.coalesce(F.try_element_at(known, F.get(F.split("source", r"\+"), 0)), F.lit(0.0)))
+
+
+def confident_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes whose source is sure enough; OCR must reach 0.3 here."""
+    source = F.when(F.col("source") == "dom", "vision+dom").otherwise(F.col("source"))
+    rows = boxes(spark, sf_dir).withColumn("source", source).withColumn("confidence", F.when(F.col("ord") != 4, (F.col("pct") - 90) / 10.0))
+    return confident(rows, {"ocr": 0.3}).select("page", "ord", "source")
 
 
 def merge_clusters(frame: DataFrame, strategy: str = "probabilistic") -> DataFrame:
@@ -281,7 +305,7 @@ _ROOTS = _PAIR.replace("b AS (", "RECURSIVE b AS (", 1) + """, g AS (SELECT page
     c AS (SELECT page, u AS ord, min(v) AS root FROM r GROUP BY page, u)"""
 _RANK = lambda e, order: "CASE " + e + " " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(order, 1)) + f" ELSE {len(order) + 1} END"
 _GAP = "sqrt(CAST(power(greatest(0, a.x - (c.x + c.w), c.x - (a.x + a.w)), 2) + power(greatest(0, a.y - (c.y + c.h), c.y - (a.y + a.h)), 2) AS DOUBLE))"
-QUERIES = {f.__name__: f for f in (bbox_pair_metrics, region_merge_edges, region_components, region_cluster_merge, region_merge_fixpoint, nms_boxes, face_heading_distance, face_heading_names, node_region_best, dedupe_keep_first, reading_order, region_union)}
+QUERIES = {f.__name__: f for f in (cluster_confidence, confident_detections, bbox_pair_metrics, region_merge_edges, region_components, region_cluster_merge, region_merge_fixpoint, nms_boxes, face_heading_distance, face_heading_names, node_region_best, dedupe_keep_first, reading_order, region_union)}
 
 
 def _rounds(n: int) -> str:
@@ -306,6 +330,9 @@ ORACLE = {
         SELECT f.page, f.ord, f.pct FROM f JOIN st USING (page, k) WHERE stays""",
     "bbox_pair_metrics": f"WITH {_PAIR} SELECT page, a_ord, b_ord, CAST(inter AS BIGINT) AS inter, floor(inter / CAST(sa + sb - inter AS DOUBLE) * 10000 + 0.5) / 10000 AS iou, floor(inter / CAST(least(sa, sb) AS DOUBLE) * 10000 + 0.5) / 10000 AS containment FROM p WHERE inter > 0",
     "region_merge_edges": f"WITH {_PAIR} SELECT * FROM e",
+    "cluster_confidence": f"""WITH {_ROOTS}, kk AS (SELECT c.root, b.page, b.pct / 100.0 AS p FROM b JOIN c USING (page, ord)), gg AS (SELECT page, root, round(1 - product(1 - CAST(p AS DOUBLE)), 8) AS a, round(max(CAST(p AS DOUBLE)), 8) AS m, round(avg(CAST(p AS DOUBLE)), 8) AS v, count(*) AS members FROM kk GROUP BY page, root)
+        SELECT page, root, floor(a * 10000 + 0.5) / 10000 AS probabilistic, floor(m * 10000 + 0.5) / 10000 AS max, floor(v * 10000 + 0.5) / 10000 AS average, members FROM gg""",
+    "confident_detections": f"WITH {_BOX} SELECT page, ord, CASE source WHEN 'dom' THEN 'vision+dom' ELSE source END AS source FROM b WHERE ord = 4 OR (pct - 90) / 10.0 >= CASE source WHEN 'dom' THEN 0.25 WHEN 'face' THEN 0.5 ELSE 0.3 END",
     "region_components": f"WITH {_ROOTS} SELECT * FROM c",
     "region_cluster_merge": f"""WITH {_ROOTS}, k AS (SELECT c.root, b.* FROM b JOIN c USING (page, ord)) SELECT page, root, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h,
         arg_min(category, ({_RANK('category', P.MERGE_PRIORITY)}) * 100 + ord) AS category, string_agg(DISTINCT source, '+' ORDER BY {_RANK('source', P.SOURCE_ORDER)}) AS source,
