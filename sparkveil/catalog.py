@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import boxes, capacity, dom, metrics, pictures, plan_text, planning, redaction, regions, rules, selectors, state
+from .operators import boxes, capacity, dom, metrics, pictures, plan_text, planning, redaction, regions, rules, selectors, state, transitions
 from .streaming import queries as streams
 
-MODULES = [redaction, rules, regions, boxes, metrics, state, dom, plan_text, planning, pictures, selectors, capacity, streams]
+MODULES = [redaction, rules, regions, boxes, metrics, state, dom, plan_text, planning, pictures, selectors, capacity, transitions, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
