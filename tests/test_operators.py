@@ -262,3 +262,36 @@ def test_plans_of_answers(spark):
     for r, want in zip(plan_text.plans(rows).orderBy("k").collect(), cases.values(), strict=True):
         shown = None if r.p is None else ([" ".join([a.type, a.target_selector or "-", a.target_element_id or a.secret_key or a.url or a.text or "-", ",".join(str(int(v)) for v in a.target_bbox) if a.target_bbox else "-"]) for a in r.p.actions], r.p.task_complete, r.p.confidence)
         assert shown == want, (r.answer, shown, want)
+
+
+def test_prompt_against_a_plain_version(spark):
+    """Nested trees, escapes, shares, cuts and missing parts, as plain Python writes them."""
+    nodes = [(1, 0, None, "DIV", "a", None), (1, 1, 0, "p", None, 'é "q" 𝒳\n'), (1, 2, 1, "b", None, "x"), (1, 3, 0, "i", None, "y"), (2, 0, None, "p", None, "one"), (2, 1, None, "p", None, "two"), (None, 0, None, "p", None, "z")]
+    trees = {r.page_id: r.tree for r in plan_text.tree_json(spark.createDataFrame(nodes, "page_id long, node_id long, parent_id long, tag string, id string, text string")).collect()}
+    dump = lambda v: json.dumps(v, separators=(",", ":"))
+    first = {"tag": "div", "id": "a", "children": [{"tag": "p", "text": 'é "q" 𝒳\n', "children": [{"tag": "b", "text": "x"}]}, {"tag": "i", "text": "y"}]}
+    assert trees == {1: dump(first), 2: dump([{"tag": "p", "text": "one"}, {"tag": "p", "text": "two"}]), None: dump({"tag": "p", "text": "z"})}
+    element = {"id": "e1", "label": "ü 𝒳", "bbox": [1, 2, 3, 4]}
+    rows = [(1, [element] * 25, [("password", [10.0, 20.5, 30.0, 400.0]), (None, [0.25, 0.5, 1.0, 0.0]), ("", None)], trees[1]), (2, [], [], None), (3, [{"label": "l" * 3000}], [("card", [1.0])], "t" * 4001)]
+    schema = "k int, elements array<struct<id:string,element_id:string,label:string,category:string,bbox:array<long>,text:string>>, regions array<struct<type:string,bbox:array<double>>>, tree string"
+    frame = spark.createDataFrame([(k, [tuple(e.get(f) for f in plan_text.ELEMENT_FIELDS) for e in es], rs, t) for k, es, rs, t in rows], schema)
+    got = {r.k: r.p for r in frame.select("k", plan_text.prompt(F.lit("Task"), F.lit(1000), F.lit(500), F.col("elements"), F.col("regions"), F.col("tree")).alias("p")).collect()}
+    fence = lambda title, tag, text: f"{title}:\n{plan_text.OPENS}\n<{tag}>\n{text}\n</{tag}>\n{plan_text.CLOSES}\n"
+    for k, es, rs, tree in rows:
+        parts = ["TASK: Task\n", 'VIEWPORT: {"width": 1000, "height": 500}\n']
+        if es:
+            text = dump(es[:20])
+            parts.append(fence("DETECTED UI ELEMENTS", "untrusted_ui_elements", text if len(text) <= 2500 else text[:2500] + "... [truncated]"))
+        if rs:
+            lines = [plan_text.REGIONS_HEAD]
+            for n, (kind, box) in enumerate(rs, 1):
+                line = f'- Region {n}: type="{kind or "sensitive content"}"'
+                if box and len(box) >= 4:
+                    own = [int(v) if v == int(v) else round(v, 4) for v in box]
+                    share = [round(v / by, 4) for v, by in zip(box, (1000, 500, 1000, 500), strict=True)] if any(v > 1 for v in box) else [round(float(v), 4) for v in box]
+                    line += f", bbox={own}, normalised coordinates [x, y, w, h]={share} (normalized: {share})"
+                lines.append(line)
+            parts.append("\n".join([*lines, plan_text.REGIONS_FOOT]) + "\n")
+        if tree:
+            parts.append(fence("DOM SKELETON", "untrusted_dom_skeleton", tree if len(tree) <= 4000 else tree[:4000] + "... [truncated for context limit]"))
+        assert got[k] == "\n".join([*parts, plan_text.ASKS]), k
