@@ -53,13 +53,42 @@ def cells(frame: DataFrame, grow: int = 0, cell: int = CELL) -> DataFrame:
     return wide.withColumn("cy", F.explode(reach(F.col("y"), F.col("h"))))
 
 
+#: A cell of more boxes is cut finer, in halves of its sides, as long as its pieces are no smaller than its boxes are on average.
+DENSE, HALVINGS = 64, 4
+
+
+def leaves(crowded: DataFrame, cell: int) -> DataFrame:
+    """One row for each leaf that a box covers in its cell; ``step`` is the leaf's side, cx and cy count leaves.
+
+    All boxes of a cell see the same number of boxes (n) and the same mean side, so they agree on how it is cut.
+    """
+    wanted, possible = F.ceil(F.log2(F.col("n") / DENSE) / 2), F.floor(F.log2(cell / F.greatest("side", F.lit(1))))
+    parts = F.pow(F.lit(2), F.greatest(F.lit(0), F.least(wanted, possible, F.lit(HALVINGS)))).cast("int")
+    rows = crowded.withColumn("parts", parts).withColumn("step", cell / F.col("parts"))
+
+    def reach(low: Column, size: Column, at: Column) -> Column:
+        return F.sequence(F.greatest(F.floor(low / F.col("step")), at * F.col("parts")), F.least(F.floor((low + size) / F.col("step")), (at + 1) * F.col("parts") - 1))
+
+    rows = rows.withColumn("cx", F.explode(reach(F.col("x"), F.col("w"), F.col("cx"))))
+    return rows.withColumn("cy", F.explode(reach(F.col("y"), F.col("h"), F.col("cy"))))
+
+
 def pairs(frame: DataFrame, cell: int = CELL) -> DataFrame:
-    """Pairs a, b (a.ord < b.ord) of a page's boxes that share a cell, each once."""
-    left = cells(frame, 0, cell).select(F.col("page"), "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in ("ord", *"xywh")])
-    right = cells(frame, 0, cell).select(F.col("page"), "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in ("ord", *"xywh")])
-    both = left.join(right, ["page", "cx", "cy"]).where("a_ord < b_ord")
-    first = (F.col("cx") == F.greatest(F.floor(F.col("a_x") / cell), F.floor(F.col("b_x") / cell))) & (F.col("cy") == F.greatest(F.floor(F.col("a_y") / cell), F.floor(F.col("b_y") / cell)))
-    return both.where(first).drop("cx", "cy")
+    """Pairs a, b (a.ord < b.ord) of a page's boxes that overlap, each once, and some that are only near.
+
+    Boxes meet in cells, those of crowded cells in leaves of them; a pair counts where the corner lies at which its overlap begins.
+    """
+    own = Window.partitionBy("page", "cx", "cy")
+    listed = cells(frame.select("page", "ord", *"xywh"), 0, cell).withColumn("n", F.count("*").over(own)).withColumn("side", F.avg(F.greatest(F.least("w", F.lit(cell)), F.least("h", F.lit(cell)))).over(own))
+
+    def met(rows: DataFrame, keys: list[str], step: Column) -> DataFrame:
+        left, right = (rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ("ord", *"xywh")]) for side in "ab")
+        both = left.join(right, keys).where("a_ord < b_ord")
+        first = (F.col("cx") == F.floor(F.greatest("a_x", "b_x") / step)) & (F.col("cy") == F.floor(F.greatest("a_y", "b_y") / step))
+        return both.where(first).select("page", *[f"{side}_{c}" for side in "ab" for c in ("ord", *"xywh")])
+
+    plain = met(listed.where(F.col("n") <= DENSE), ["page", "cx", "cy"], F.lit(cell))
+    return plain.unionAll(met(leaves(listed.where(F.col("n") > DENSE), cell), ["page", "step", "cx", "cy"], F.col("step")))
 
 
 def merge_edges(frame: DataFrame) -> DataFrame:
